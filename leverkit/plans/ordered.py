@@ -57,6 +57,10 @@ def _chunk_key(df: DataFrame, name: str) -> Column:
         return F.unix_micros(c.cast("timestamp")).cast("double")
     if t == "date":
         return F.unix_date(c).cast("double")
+    if t == "string":
+        # first 6 bytes as a base-256 number: non-decreasing in string order
+        b = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(b, 16, 10).cast("double")
     return c.cast("double")
 
 
@@ -159,15 +163,15 @@ def row_number_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
             Window.partitionBy(*by).orderBy(*ocols)))
         return out.drop(const) if const else out
     dfc = ch.assign(df)
-    dfc = dfc.withColumn("_rn", F.row_number().over(
+    dfc = dfc.withColumn("__rnc", F.row_number().over(
         Window.partitionBy(*by, "_chunk").orderBy(*ocols)))
-    sizes = dfc.where("_heavy").groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.withColumn("_off", F.coalesce(F.sum("_c").over(
+    sizes = dfc.where("_heavy").groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("__c"))
+    before = sizes.withColumn("__off", F.coalesce(F.sum("__c").over(
         Window.partitionBy(*by).orderBy("_chunk")
-              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     out = dfc.join(ch._small(before), [*by, "_chunk"], "left")
-    out = out.withColumn(name, (F.col("_rn") + F.coalesce("_off", F.lit(0))).cast("int")) \
-             .drop("_rn", "_off", "_chunk", "_heavy")
+    out = out.withColumn(name, (F.col("__rnc") + F.coalesce("__off", F.lit(0))).cast("int")) \
+             .drop("__rnc", "__off", "_chunk", "_heavy")
     return out.drop(const) if const else out
 
 
