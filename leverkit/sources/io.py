@@ -43,7 +43,7 @@ def read_many(spark: SparkSession, paths: Sequence[str], reader) -> DataFrame:
 
 
 def tolerant_read(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
-                  fmt: str = "csv", header: bool = True,
+                  fmt: str = "csv", header: bool = True, null_value: str = "NA",
                   corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
     """Bulk ingest that keeps going past bad input.
 
@@ -57,7 +57,7 @@ def tolerant_read(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
               .option("columnNameOfCorruptRecord", corrupt_col)
               .option("ignoreCorruptFiles", "true"))
     if fmt == "csv":
-        r = r.option("header", header)
+        r = r.option("header", header).option("nullValue", null_value)
     df = r.format(fmt).load(paths)
     # a corrupt-record column may not be the only column referenced, so the
     # frame is cached once before splitting (Spark's own rule for it)
