@@ -48,7 +48,14 @@ def outs_recorded(pitches: DataFrame, half_keys: Sequence[str], order: Sequence[
     return x.groupBy(*keys).agg(strict_sum("_made").alias(name))
 
 
-def appearance_counts(pa: DataFrame, keys: Sequence[str], events: str = "events",
+def appearance_counts(pa: DataFrame, keys: Sequence[str], **kwargs) -> DataFrame:
+    """Per appearance: batters faced, K, BB+HBP, barrels, mean exit velocity
+    (0 when none), balls in play by type, hits, mean opponent rate and runs
+    allowed = max(post-play batting score) - min(pre-play batting score)."""
+    return pa.groupBy(*keys).agg(*appearance_count_exprs(**kwargs))
+
+
+def appearance_count_exprs(events: str = "events",
                       launch_speed_angle: str | None = "launch_speed_angle",
                       launch_speed: str | None = "launch_speed",
                       description: str | None = "description",
@@ -58,10 +65,8 @@ def appearance_counts(pa: DataFrame, keys: Sequence[str], events: str = "events"
                       strikeouts: Sequence[str] = STRIKEOUT_EVENTS,
                       walks: Sequence[str] = WALK_EVENTS,
                       hits: Sequence[str] = HIT_EVENTS,
-                      bb_levels: dict[str, str] | None = None) -> DataFrame:
-    """Per appearance: batters faced, K, BB+HBP, barrels, mean exit velocity
-    (0 when none), balls in play by type, hits, mean opponent rate and runs
-    allowed = max(post-play batting score) - min(pre-play batting score)."""
+                      bb_levels: dict[str, str] | None = None) -> list[Column]:
+    """The aggregate expressions of ``appearance_counts``."""
     aggs: list[Column] = [
         F.count(F.lit(1)).alias("batters_faced"),
         count_if(in_set(events, strikeouts)).alias("strikeouts"),
@@ -80,7 +85,7 @@ def appearance_counts(pa: DataFrame, keys: Sequence[str], events: str = "events"
             aggs.append(count_if(F.col(bb_type) == lv).alias(n))
     if opp_rate:
         aggs.append(F.avg(opp_rate).alias("mean_wOBA"))
-    return pa.groupBy(*keys).agg(*aggs)
+    return aggs
 
 
 def zone_share(pitches: DataFrame, keys: Sequence[str], zone: str,
@@ -92,14 +97,72 @@ def zone_share(pitches: DataFrame, keys: Sequence[str], zone: str,
     return pitches.groupBy(*keys).agg(*aggs)
 
 
+def pitch_rollup(pitches: DataFrame, keys: Sequence[str], half_keys: Sequence[str],
+                 order: Sequence[str], outs: str | None, zone: str | None = None,
+                 zone_levels: Sequence[str] = ZONES) -> DataFrame:
+    """Every pitch-level roll-up of an appearance in one aggregate: outs
+    recorded (needs one split-safe lead), pitch total, zone shares, and the
+    first/last pitch (order structs) used for the entry pitch count."""
+    x = pitches
+    aggs: list[Column] = [F.count(F.lit(1)).alias("num_pitches"),
+                          F.min(F.struct(*[F.col(o) for o in order])).alias("_first"),
+                          F.max(F.struct(*[F.col(o) for o in order])).alias("_last")]
+    if outs:
+        x = lead_in_group(x, list(half_keys), list(order), [outs], prefix="_n_")
+        made = F.coalesce(F.col(f"_n_{outs}"), F.lit(3)) - F.col(outs)
+        aggs.append(strict_sum(made).alias("outs_made"))
+    if zone:
+        n = F.count(F.lit(1))
+        aggs += [(count_if(F.col(zone) == lv) / n).alias(lv) for lv in zone_levels]
+    return x.groupBy(*keys).agg(*aggs)
+
+
+def entry_from_rollup(roll: DataFrame, game: str, pitcher: str,
+                      name: str = "pitch_number_appearance") -> tuple[DataFrame, DataFrame]:
+    """Entry pitch count from the per-appearance table: 1 + pitches of the
+    same (game, pitcher) in earlier appearances.  Exact when a pitcher's
+    appearances do not interleave in pitch order; the second frame holds
+    the (game, pitcher) pairs where they do (empty in game data)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(game, pitcher).orderBy("_first")
+    x = roll.withColumns({
+        name: (F.coalesce(F.sum("num_pitches").over(
+            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("long"),
+        "_prev_last": F.lag("_last").over(w)})
+    bad = x.where(F.col("_prev_last") > F.col("_first")).select(game, pitcher).distinct()
+    return x.drop("_prev_last"), bad
+
+
 def entry_pitch_count(pitches: DataFrame, game: str, pitcher: str, inning: str,
-                      order: Sequence[str], name: str = "pitch_number_appearance") -> DataFrame:
+                      order: Sequence[str], name: str = "pitch_number_appearance",
+                      exact: bool = False) -> DataFrame:
     """Running pitch count of (game, pitcher) at the first pitch of each
-    inning it pitched (1 = first pitch of the outing).  The running count
-    comes from the split-safe row number, then a partial ``min``."""
-    x = row_number_in_group(pitches.select(game, pitcher, inning, *order),
-                            [game, pitcher], list(order), "_rn")
-    return x.groupBy(game, pitcher, inning).agg(F.min("_rn").cast("long").alias(name))
+    inning it pitched (1 = first pitch of the outing).
+
+    Default: counts per appearance (a partial aggregate) accumulated over
+    the small per-appearance table - no shuffle of the pitches by pitcher.
+    If some appearances interleave in pitch order, or with ``exact``, the
+    running count comes from the split-safe row number instead.
+    """
+    keys = [game, pitcher, inning]
+    if not exact:
+        roll = pitch_rollup(pitches.select(*keys, *order), keys, [], order, None)
+        out, bad = entry_from_rollup(roll, game, pitcher, name)
+        if bad.limit(1).count() == 0:
+            return out.select(*keys, name)
+    x = row_number_in_group(pitches.select(*keys, *order), [game, pitcher], list(order), "_rn")
+    return x.groupBy(*keys).agg(F.min("_rn").cast("long").alias(name))
+
+
+def pa_rollup(pa: DataFrame, keys: Sequence[str], order: Sequence[str],
+              start_cols: dict[str, str], count_kwargs: dict | None = None) -> DataFrame:
+    """Start state and all plate-appearance counts in one aggregate."""
+    first = F.min_by(F.struct(*[F.col(c).alias(n) for n, c in start_cols.items()]),
+                     F.struct(*[F.col(o) for o in order])).alias("_start")
+    aggs = appearance_count_exprs(**(count_kwargs or {}))
+    out = pa.groupBy(*keys).agg(first, *aggs)
+    return out.select(*keys, *[F.col(f"_start.{n}").alias(n) for n in start_cols],
+                      *[c for c in out.columns if c not in (*keys, "_start")])
 
 
 def appearance_table(pitches: DataFrame, pa: DataFrame, spine: DataFrame,
@@ -111,20 +174,21 @@ def appearance_table(pitches: DataFrame, pa: DataFrame, spine: DataFrame,
     """One row per appearance of the spine (e.g. relief appearances):
     start state, counts, outs, zone shares, entry pitch count.
 
-    The seven plate-appearance roll-ups are one aggregate and the pitch
-    roll-ups another, so the appearance grain is reached with two
-    aggregates and two joins instead of a chain of nine joins.
+    The plate-appearance roll-ups are one aggregate and the pitch roll-ups
+    another (after one split-safe lead for the outs), and the entry pitch
+    count comes from the pitch roll-up itself, so the appearance grain is
+    reached with two aggregates and two joins instead of a chain of nine
+    joins.
     """
     keys = [game, pitcher, inning]
-    start = appearance_start_state(pa, keys, order, start_cols)
-    counts = appearance_counts(pa, keys, **(count_kwargs or {}))
-    outs_df = outs_recorded(pitches, [game, inning, half], order, outs, keys)
-    entry = entry_pitch_count(pitches, game, pitcher, inning, order)
-    pitch_level = outs_df.join(entry, keys, "full")
-    if zone:
-        pitch_level = pitch_level.join(zone_share(pitches, keys, zone, zone_levels), keys, "full")
-    pa_level = start.join(counts, keys, "left")
-    allk = pa_level.join(pitch_level, keys, "left")
+    pa_level = pa_rollup(pa, keys, order, start_cols, count_kwargs)
+    roll = pitch_rollup(pitches, keys, [game, inning, half], order, outs, zone, zone_levels)
+    pitch_level, bad = entry_from_rollup(roll, game, pitcher)
+    if bad.limit(1).count() > 0:
+        exact = entry_pitch_count(pitches, game, pitcher, inning, order, exact=True)
+        pitch_level = pitch_level.drop("pitch_number_appearance").join(exact, keys, "left")
+    pitch_level = pitch_level.drop("_first", "_last")
+    allk = pa_level.join(pitch_level, keys, "full")
     out = spine.select(*keys).distinct().join(allk, keys, "left")
     if "avg_exit_velocity" in out.columns:
         out = out.withColumn("avg_exit_velocity", F.coalesce("avg_exit_velocity", F.lit(0.0)))

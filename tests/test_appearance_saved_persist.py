@@ -31,6 +31,14 @@ def test_entry_pitch_count_and_start_state(spark):
     assert s[(9, 7)] == (0, None) and s[(9, 8)] == (0, None) and s[(4, 8)] == (2, 6)
 
 
+def test_entry_pitch_count_interleaved_falls_back_to_exact(spark):
+    rows = [(1, 9, 1, 1, 1), (1, 9, 2, 2, 1), (1, 9, 1, 3, 1), (1, 9, 3, 4, 1)]
+    df = spark.createDataFrame(rows, "g long, pit long, inn int, ab int, p int")
+    e = {r.inn: r.pitch_number_appearance
+         for r in app.entry_pitch_count(df, "g", "pit", "inn", ["ab", "p"]).collect()}
+    assert e == {1: 1, 2: 2, 3: 4}
+
+
 def test_zone_shares_sum_to_one(spark):
     df = spark.createDataFrame([(1, "Heart"), (1, "Heart"), (1, "Waste"), (2, "Chase")],
                                "k int, z string")
