@@ -183,11 +183,10 @@ def appearance_table(pitches: DataFrame, pa: DataFrame, spine: DataFrame,
     keys = [game, pitcher, inning]
     pa_level = pa_rollup(pa, keys, order, start_cols, count_kwargs)
     roll = pitch_rollup(pitches, keys, [game, inning, half], order, outs, zone, zone_levels)
-    pitch_level, bad = entry_from_rollup(roll, game, pitcher)
-    if bad.limit(1).count() > 0:
-        exact = entry_pitch_count(pitches, game, pitcher, inning, order, exact=True)
-        pitch_level = pitch_level.drop("pitch_number_appearance").join(exact, keys, "left")
-    pitch_level = pitch_level.drop("_first", "_last")
+    # entry count from a narrow per-appearance aggregate (keys + order only),
+    # so the interleave check never forces the outs window
+    entry = entry_pitch_count(pitches, game, pitcher, inning, order)
+    pitch_level = roll.drop("_first", "_last").join(entry, keys, "left")
     allk = pa_level.join(pitch_level, keys, "full")
     out = spine.select(*keys).distinct().join(allk, keys, "left")
     if "avg_exit_velocity" in out.columns:

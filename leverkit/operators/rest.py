@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div, zsum
+from ..session import materialize
 from ..plans.ordered import lag_bounded
 from .verbs import group_filter_not_min, having_group_total, pivot_fixed, semi_by_values
 
@@ -146,7 +147,9 @@ def rest_bucket_performance(apps: DataFrame, rest: DataFrame, entity: str, game:
     cond = F.col(days) <= max_rest
     if season_after is not None:
         cond = cond & (F.col(season) > season_after)
-    x = x.where(cond)
+    # the joined appearances feed the first-date filter, the table means and
+    # the roll-up: written once, read three times
+    x = materialize(x.where(cond))
     x = group_filter_not_min(x, [entity, season], date)
     x = x.withColumns({"_rapo": F.col(runs_bs) - F.col(runs_allowed),
                        "_xrapo": F.col(runs_bs) - F.col(exp_runs)})

@@ -54,3 +54,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = shared_dir(spark)
     sub = tempfile.mktemp(prefix=f"{name}-", dir="")  # unique name only
     return os.path.join(base, os.path.basename(sub))
+
+
+MATERIALIZE_CONF = "leverkit.materialize"
+
+
+def materialize(df):
+    """Write an intermediate that several branches consume to the shared
+    checkpoint folder and continue from the written copy.
+
+    This cuts the lineage (a lost executor recomputes from the checkpoint,
+    not from the raw scans) and keeps the plan from duplicating the
+    upstream work into every branch.  Disabled with
+    ``leverkit.materialize=false``.
+    """
+    spark = df.sparkSession
+    if (spark.conf.get(MATERIALIZE_CONF, "true") or "true").lower() != "true":
+        return df
+    shared_dir(spark)
+    return df.checkpoint(eager=True)
