@@ -68,7 +68,7 @@ def _estimator(kind: str, label: str, p: dict, rounds: int, seed: int):
     common = dict(labelCol=label, featuresCol="features", maxDepth=int(p.get("max_depth", 4)),
                   subsamplingRate=float(p.get("subsample", 1.0)),
                   stepSize=float(p.get("eta", 0.3)), maxIter=int(rounds), seed=seed,
-                  maxBins=64)
+                  maxBins=64, checkpointInterval=10)
     if kind == "classifier":
         # a logistic node's hessian is at most 1/4 per row, so a weight of w
         # needs at least 4w rows
@@ -87,6 +87,8 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, kind: str = "reg
     without a grid the ``fixed`` settings are used and the round count is
     ``fixed['rounds']`` or the validation argmin.
     """
+    from ..session import shared_dir
+    shared_dir(df.sparkSession)  # GBT checkpoints its state every 10 rounds there
     data = df.where(F.col(label).isNotNull())
     data = data.withColumn(label, F.col(label).cast("double"))
     key = list(key) if key else []
