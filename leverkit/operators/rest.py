@@ -74,7 +74,8 @@ def rest_profile(rest: DataFrame, entity: str, season: str, date: str,
     season's first date; ``season_after`` keeps seasons strictly after it.
     """
     x = rest.where(F.col(days) <= max_rest)
-    x = group_filter_not_min(x, [entity, season], date)
+    # one row per outing: (entity, season) groups are bounded by the calendar
+    x = group_filter_not_min(x, [entity, season], date, bounded=True)
     if season_after is not None:
         x = x.where(F.col(season) > season_after)
     x = x.withColumn("_label", rest_label(days))

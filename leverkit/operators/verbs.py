@@ -57,9 +57,19 @@ def attach_group_agg(df: DataFrame, by: Sequence[str], aggs: dict[str, Column],
     return join_keys_null_safe(df, g, list(by), "left")
 
 
-def group_filter_not_min(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+def group_filter_not_min(df: DataFrame, by: Sequence[str], col: str,
+                         bounded: bool = False) -> DataFrame:
     """Drop the rows that hold the group minimum of ``col``
-    (``group_by(g) %>% filter(x != min(x))``)."""
+    (``group_by(g) %>% filter(x != min(x))``).
+
+    ``bounded=True`` (groups small by construction, e.g. one row per
+    outing of a season) uses a window min, which reuses an existing
+    partitioning on ``by``; otherwise a partial aggregate is joined back.
+    """
+    if bounded:
+        w = Window.partitionBy(*by)
+        return (df.withColumn("_gmin", F.min(col).over(w))
+                  .where(F.col(col) != F.col("_gmin")).drop("_gmin"))
     m = df.groupBy(*by).agg(F.min(col).alias("_gmin"))
     return (join_keys_null_safe(df, m, list(by), "inner")
               .where(F.col(col) != F.col("_gmin")).drop("_gmin"))

@@ -67,8 +67,8 @@ def delta_win_expectancy(pa: DataFrame, game: str, half: str, at_bat: str, we: s
     PA in its half: (1 - next PA's WE in the game) - WE.
     """
     x = lead_in_group(pa, [game, half], [at_bat], [we], prefix="_nh_")
-    x = lead_in_group(x, [game], [at_bat], [we], prefix="_ng_")
-    x = attach_group_agg(x, [game], {"_maxab": F.max(at_bat)})
+    x = lead_in_group(x, [game], [at_bat], [we], prefix="_ng_",
+                      group_aggs={"_maxab": F.max(at_bat)})
     d = F.col(f"_nh_{we}") - F.col(we)
     last = F.col(at_bat) == F.col("_maxab")
     out = (F.when(last & (F.col(post_fld) > F.col(post_bat)), 1 - F.col(we))
@@ -124,11 +124,11 @@ def leverage_credit(pa: DataFrame, game: str, at_bat: str, pitch: str, half: str
         "_margin": F.col(bat_score) - F.col(fld_score)})
     order = [game, at_bat, pitch]
     if scope == "game":
-        x = lead_in_group(x, [game], [at_bat, pitch], ["_margin", leverage], prefix="_n_")
-        x = attach_group_agg(x, [game], {
-            "_maxab": F.max(at_bat),
-            "_maxab_h": F.max(F.when(F.col("_home") == 1, F.col(at_bat))),
-            "_maxab_a": F.max(F.when(F.col("_home") == 0, F.col(at_bat)))})
+        x = lead_in_group(x, [game], [at_bat, pitch], ["_margin", leverage], prefix="_n_",
+                          group_aggs={
+                              "_maxab": F.max(at_bat),
+                              "_maxab_h": F.max(F.when(F.col("_home") == 1, F.col(at_bat))),
+                              "_maxab_a": F.max(F.when(F.col("_home") == 0, F.col(at_bat)))})
     elif scope == "table":
         x = table_lead(x, game, [at_bat, pitch], ["_margin", leverage], prefix="_n_")
         tot = x.agg(F.max(at_bat).alias("_maxab"),

@@ -112,12 +112,16 @@ def _with_const_group(df: DataFrame, by: Sequence[str]):
 def lead_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
                   cols: Sequence[str], prefix: str = "next_",
                   max_rows: int | None = None,
-                  last_flag: str | None = None) -> DataFrame:
+                  last_flag: str | None = None,
+                  group_aggs: dict[str, Column] | None = None) -> DataFrame:
     """``lead(c, 1) over (partition by by order by order)`` for each c.
 
     ``by`` may be empty (a lead over the whole table).  ``order`` must be a
     total order inside each group (add a tiebreak column).  When
     ``last_flag`` is given, a boolean column marks each group's last row.
+    ``group_aggs`` (name -> aggregate Column) adds whole-group aggregates:
+    computed in the same window when no group is heavy (no extra
+    exchange), else as a partial aggregate joined back.
     """
     df, by, const = _with_const_group(df, by)
     limit = max_group_rows(df, max_rows)
@@ -128,6 +132,9 @@ def lead_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
         out = df.withColumns({f"{prefix}{c}": F.lead(c).over(w) for c in cols})
         if last_flag:
             out = out.withColumn(last_flag, F.lead(F.lit(1)).over(w).isNull())
+        if group_aggs:
+            wg = Window.partitionBy(*by)
+            out = out.withColumns({n: a.over(wg) for n, a in group_aggs.items()})
         return out.drop(const) if const else out
 
     dfc = ch.assign(df)
@@ -148,9 +155,21 @@ def lead_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
         out = out.withColumn(last_flag, F.col("_last_in_chunk") & F.col("_nf").isNull())
     drop = [f"_w_{c}" for c in cols] + ["_last_in_chunk", "_nf", "_chunk", "_heavy"]
     out = out.drop(*drop)
+    if group_aggs:
+        g = df.groupBy(*by).agg(*[a.alias(n) for n, a in group_aggs.items()])
+        out = _join_null_safe(out, g, by)
     return out.drop(const) if const else out
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    r = right.withColumnsRenamed({k: f"__rk_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"__rk_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, "left").drop(*[f"__rk_{k}" for k in keys])
+
+
 def row_number_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
                         name: str = "rn", max_rows: int | None = None) -> DataFrame:
     """``row_number() over (partition by by order by order)``, split-safe."""

@@ -36,24 +36,40 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests)
-    a fresh folder under the system temp dir is created and registered.
+    Read from the session's ``spark.checkpoint.dir``.  Only a local-mode
+    session (tests, the bench) without one gets a fresh temp folder; on a
+    cluster an unset folder is an error, never a machine-local path.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="leverkit-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path of the shared folder (never a machine-local path
-    unless the session itself is local and has no shared folder)."""
-    base = shared_dir(spark)
-    sub = tempfile.mktemp(prefix=f"{name}-", dir="")  # unique name only
-    return os.path.join(base, os.path.basename(sub))
+def scale_conf(input_bytes: int, total_cores: int,
+               target_partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
+    """Shuffle and scan sizing for a given input size.
+
+    Start from about one shuffle partition per 128 MB of input (at least
+    3 waves of the cores) and let AQE coalesce small ones and split skewed
+    ones at run time.  100 TB gives ~800k initial partitions, capped at
+    200k, which AQE coalesces toward the advisory size.
+    """
+    initial = max(3 * total_cores, min(200_000, input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
 
 
 MATERIALIZE_CONF = "leverkit.materialize"
