@@ -144,7 +144,9 @@ def rest_bucket_performance(apps: DataFrame, rest: DataFrame, entity: str, game:
     their table means, then summed per (days, entity).  Entities with
     ``min_total`` or fewer appearances over all buckets are dropped.
     """
-    x = apps.join(rest.select(entity, game, season, date, days), [entity, game], "left")
+    # season and date come from the outing's rest row
+    x = apps.drop(season, date, days).join(rest.select(entity, game, season, date, days),
+                                           [entity, game], "left")
     cond = F.col(days) <= max_rest
     if season_after is not None:
         cond = cond & (F.col(season) > season_after)
