@@ -105,3 +105,15 @@ def test_histogram(spark):
 
 if __name__ == "__main__":  # pragma: no cover
     pytest.main([__file__])
+
+
+def test_trimmed_with_centering_and_game_grouping(spark):
+    # the unused branch of the source: centre on table means, trim per game
+    rows = [(1, g, 2024, float(v), 0.0, 3) for g, v in [(1, 1), (1, 2), (1, 3), (2, 10)]]
+    df = spark.createDataFrame(rows, "p int, g int, y int, actual_rapo double, "
+                                     "expected_rapo double, outs int")
+    out = saved.trimmed_season_runs_saved(df, "p", "g", "y", "outs", by=["p", "g", "y"],
+                                          center=True, min_appearances=0).collect()
+    # only the middle value of game 1 survives: (2 - 4) centred, over 3 outs
+    assert len(out) == 1 and out[0].appearances == 1 and out[0].outs_made == 3
+    assert math.isclose(out[0].actual_rapo_season, (2 - 4) / 3 * 3)

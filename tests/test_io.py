@@ -45,3 +45,15 @@ def test_date_spine(spark):
     s = io.date_spine(spark, "2024-02-27", "2024-03-01").collect()
     assert [r.day for r in s] == [dt.date(2024, 2, 27), dt.date(2024, 2, 28),
                                   dt.date(2024, 2, 29), dt.date(2024, 3, 1)]
+
+
+def test_csv_sink_round_trip_and_row_bind(spark):
+    d = tempfile.mkdtemp(prefix="lk-io-")
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 2), 7)], SCHEMA)
+    io.write_csv(df, os.path.join(d, "out"))
+    back = io.read_csv(spark, os.path.join(d, "out"), SCHEMA)
+    assert back.collect() == df.collect()
+    other = spark.createDataFrame([(2, 9)], "game_pk long, extra long")
+    both = io.read_many(spark, ["a", "b"], lambda s, p: df if p == "a" else other)
+    rows = sorted(both.collect(), key=lambda r: r.game_pk)
+    assert rows[0].extra is None and rows[1].pitcher is None

@@ -76,3 +76,30 @@ def test_career_weighted(spark):
 
 if __name__ == "__main__":  # pragma: no cover
     pytest.main([__file__])
+
+
+def test_rest_bucket_performance_and_slices(spark):
+    days = [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 14, 15, 16, 18, 19, 20, 22]
+    rest_rows, app_rows = [], []
+    for i, day in enumerate(days):
+        rest_rows.append((7, 100 + i, 2024, dt.date(2024, 6, day)))
+        for inning in (7, 8):
+            app_rows.append((7, 100 + i, inning, 1.0, 0.0 if inning == 7 else 1.0, 0.5, 3))
+    outs = spark.createDataFrame(rest_rows, "pitcher long, game_pk long, game_year int, game_date date")
+    r = rest.days_of_rest(outs, "pitcher", "game_year", "game_date", "game_pk")
+    apps = spark.createDataFrame(app_rows, "pitcher long, game_pk long, inning int, runs_bs double, "
+                                           "runs_allowed double, exp_runs_allowed double, outs_made int")
+    perf = rest.rest_bucket_performance(apps, r, "pitcher", "game_pk", "game_year", "game_date",
+                                        "runs_bs", "runs_allowed", "exp_runs_allowed", "outs_made",
+                                        min_total=15)
+    got = {x.days_of_rest: x for x in perf.collect()}
+    assert sum(x.appearances for x in got.values()) == 2 * (len(days) - 1)
+    # centred values sum to zero over all kept appearances
+    assert math.isclose(sum(x.rapo * x.outs_made / 3 for x in got.values()), 0.0, abs_tol=1e-9)
+    sl = rest.rest_bucket_slices(perf)
+    assert set(sl) == {"b2b2b", "b2b", "one_to_three"}
+    assert all(x.days_of_rest < 0 for x in sl["b2b2b"].collect())
+    too_few = rest.rest_bucket_performance(apps, r, "pitcher", "game_pk", "game_year", "game_date",
+                                           "runs_bs", "runs_allowed", "exp_runs_allowed",
+                                           "outs_made", min_total=100)
+    assert too_few.count() == 0
