@@ -97,7 +97,10 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, kind: str = "reg
         data = data.withColumn("_rowkey", F.monotonically_increasing_id())
         key = ["_rowkey"]
     bins = numeric_strata_bins if kind == "regressor" and strata == label else None
-    split = stratified_split(data, key, strata, prop, seed=seed, numeric_bins=bins).cache()
+    # the split is read by every grid fit: written once to the shared
+    # folder, so fits (and recovery from a lost executor) start from it
+    from ..session import materialize
+    split = materialize(stratified_split(data, key, strata, prop, seed=seed, numeric_bins=bins))
     train = split.where("is_train = 1")
     valid = split.where("is_train = 0")
     fixed = dict(fixed or {})
@@ -122,8 +125,7 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, kind: str = "reg
     rounds = int(fixed.get("rounds", best["rounds"]))
     params = {k: v for k, v in best.items() if k not in ("rounds", "metric")}
     est = _estimator(kind, label, params, rounds, seed)
-    model = Pipeline(stages=_stages(features, nullable, est)).fit(data.drop("_rowkey"))
-    split.unpersist()
+    model = Pipeline(stages=_stages(features, nullable, est)).fit(split.drop("_rowkey", "is_train"))
     return FitResult(model, params, rounds, best["metric"], results)
 
 

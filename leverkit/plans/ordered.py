@@ -25,7 +25,9 @@ DEFAULT_MAX_GROUP_ROWS = 2_000_000
 # heavy groups are broadcast as a boundary table; above this many heavy
 # groups the boundary tables are joined with a shuffle instead
 BROADCAST_HEAVY_LIMIT = 20_000
-MAX_CHUNKS = 4096
+# chunks per heavy group: about two per ``max_group_rows`` rows, so a group
+# holding a third of 1e12 rows at the default limit gets ~65k chunks
+MAX_CHUNKS = 65_536
 
 
 def _names(cols) -> list[str]:
@@ -80,27 +82,49 @@ class _Chunking:
             self.bounds = None
             return
         n_chunks = min(MAX_CHUNKS, 2 * math.ceil(int(stats["m"]) / limit))
+        self.n_chunks = n_chunks
         probs = [i / n_chunks for i in range(1, n_chunks)]
+        # sketch accuracy follows the chunk count (rank error ~ 1/accuracy)
+        accuracy = int(min(1_000_000, max(10_000, 20 * n_chunks)))
         keys = heavy.select(*by)
         if self.n_heavy <= BROADCAST_HEAVY_LIMIT:
             keys = F.broadcast(keys)
         self.bounds = (df.join(keys, by, "left_semi")
                          .groupBy(*by)
                          .agg(F.percentile_approx(_chunk_key(df, self.key_name),
-                                                  probs, 10_000).alias("_bounds")))
+                                                  probs, accuracy).alias("_bounds")))
 
     def _small(self, d: DataFrame) -> DataFrame:
         return F.broadcast(d) if self.n_heavy <= BROADCAST_HEAVY_LIMIT else d
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``_chunk`` (0 for light groups) and ``_heavy``."""
+        """Add ``_chunk`` (0 for light groups) and ``_heavy``.
+
+        The chunk is the number of boundaries <= the row's key, found by a
+        binary search: one ``aggregate`` over ~log2(chunks) steps, so a row
+        costs a few comparisons however many chunks its group has.  Rows of
+        light groups (no boundaries) skip it.
+        """
         b = self._small(self.bounds)
         key = _chunk_key(df, self.key_name)
-        out = df.join(b, self.by, "left")
+        steps = max(1, math.ceil(math.log2(self.n_chunks + 1)))
+
+        def step(acc, _):
+            lo, hi = acc["lo"], acc["hi"]
+            mid = F.floor((lo + hi) / 2).cast("int")
+            go = lo < hi
+            right = go & (F.element_at(F.col("_bounds"), mid + 1) <= F.col("_ck"))
+            return F.struct(F.when(right, mid + 1).otherwise(lo).alias("lo"),
+                            F.when(go & ~right, mid).otherwise(hi).alias("hi"))
+
+        search = F.aggregate(F.sequence(F.lit(1), F.lit(steps)),
+                             F.struct(F.lit(0).alias("lo"), F.size("_bounds").alias("hi")),
+                             step, lambda acc: acc["lo"])
+        out = df.join(b, self.by, "left").withColumn("_ck", key)
         return (out.withColumn("_heavy", F.col("_bounds").isNotNull())
-                   .withColumn("_chunk", F.coalesce(
-                       F.size(F.filter("_bounds", lambda x: x <= key)), F.lit(0)))
-                   .drop("_bounds"))
+                   .withColumn("_chunk", F.when(F.col("_bounds").isNull(), F.lit(0))
+                               .otherwise(search))
+                   .drop("_bounds", "_ck"))
 
 
 def _with_const_group(df: DataFrame, by: Sequence[str]):

@@ -25,6 +25,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is also the only executor
+        conf["spark.driver.memory"] = "8g"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
