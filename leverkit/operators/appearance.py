@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import count_if, in_set, strict_sum
 from ..functions.zones import ZONES
 from ..plans.ordered import lead_in_group, row_number_in_group
+from ..session import materialize
 
 # --- fixed values: event and batted-ball names counted per appearance
 STRIKEOUT_EVENTS = ["strikeout", "strikeout_double_play"]
@@ -146,6 +147,8 @@ def entry_pitch_count(pitches: DataFrame, game: str, pitcher: str, inning: str,
     """
     keys = [game, pitcher, inning]
     if not exact:
+        # a narrow partial aggregate: recomputing it for the check is cheaper
+        # than writing it out
         roll = pitch_rollup(pitches.select(*keys, *order), keys, [], order, None)
         out, bad = entry_from_rollup(roll, game, pitcher, name)
         if bad.limit(1).count() == 0:
@@ -182,11 +185,15 @@ def appearance_table(pitches: DataFrame, pa: DataFrame, spine: DataFrame,
     """
     keys = [game, pitcher, inning]
     pa_level = pa_rollup(pa, keys, order, start_cols, count_kwargs)
-    roll = pitch_rollup(pitches, keys, [game, inning, half], order, outs, zone, zone_levels)
-    # entry count from a narrow per-appearance aggregate (keys + order only),
-    # so the interleave check never forces the outs window
-    entry = entry_pitch_count(pitches, game, pitcher, inning, order)
-    pitch_level = roll.drop("_first", "_last").join(entry, keys, "left")
+    # one row per appearance, read twice (interleave check, final join):
+    # written once to the shared folder
+    roll = materialize(pitch_rollup(pitches, keys, [game, inning, half], order, outs,
+                                    zone, zone_levels))
+    pitch_level, bad = entry_from_rollup(roll, game, pitcher)
+    if bad.limit(1).count() > 0:
+        exact = entry_pitch_count(pitches, game, pitcher, inning, order, exact=True)
+        pitch_level = pitch_level.drop("pitch_number_appearance").join(exact, keys, "left")
+    pitch_level = pitch_level.drop("_first", "_last")
     allk = pa_level.join(pitch_level, keys, "full")
     out = spine.select(*keys).distinct().join(allk, keys, "left")
     if "avg_exit_velocity" in out.columns:
