@@ -33,7 +33,7 @@ def base_state(on_1b: ColOrName, on_2b: ColOrName, on_3b: ColOrName) -> Column:
 def runners_on(state: ColOrName) -> Column:
     """Number of occupied bases of a state code."""
     s = col(state)
-    return (F.length(F.regexp_replace(s, "_", "")).cast("int"))
+    return F.length(F.translate(s, "_", "")).cast("int")
 
 
 def max_runs_possible(state: ColOrName) -> Column:

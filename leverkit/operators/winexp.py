@@ -56,6 +56,30 @@ def starter_id(pitches: DataFrame, by: Sequence[str], order: Sequence[str],
     return join_keys_null_safe(pitches, first, list(by), "left")
 
 
+def attach_game_context(pitches: DataFrame, game: str, half: str, order: Sequence[str],
+                        pitcher: str, home_score: str, away_score: str,
+                        label: str = "home_win", sp: str = "sp") -> DataFrame:
+    """``game_winner_label`` and ``starter_id`` in one join on the game.
+
+    Both are per-game facts (the starters as a short list of (half,
+    pitcher) pairs, NULL half included), so the fact table is shuffled
+    once, by game, instead of once per key set.
+    """
+    last = top_ties(pitches.select(game, *order, home_score, away_score), [game], list(order))
+    lab = last.select(home_score, away_score, game).distinct() \
+              .select(game, flag(F.col(home_score) > F.col(away_score)).alias(label))
+    starts = (pitches.groupBy(game, half)
+                     .agg(F.min_by(F.col(pitcher), F.struct(*[F.col(o) for o in order]))
+                          .alias("_sp"))
+                     .groupBy(game)
+                     .agg(F.collect_list(F.struct(F.col(half).alias("h"),
+                                                  F.col("_sp").alias("p"))).alias("_starts")))
+    per_game = lab.join(starts, game, "full")
+    out = pitches.join(per_game, game, "left")
+    pick = F.filter("_starts", lambda x: x["h"].eqNullSafe(F.col(half)))
+    return out.withColumn(sp, F.element_at(pick, 1)["p"]).drop("_starts")
+
+
 def delta_win_expectancy(pa: DataFrame, game: str, half: str, at_bat: str, we: str,
                          post_bat: str, post_fld: str, des: str,
                          pattern: str = "balk", name: str = "new_delta_win_exp") -> DataFrame:

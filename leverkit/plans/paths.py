@@ -43,10 +43,10 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
     woba = winexp.batter_season_rate(pitches, "batter", "game_year", "events",
                                      "woba_value", "woba_denom")
     woba_b = woba.withColumnRenamed("wOBA", "batter_season_wOBA")
-    x = winexp.game_winner_label(pitches, "game_pk", GAME_ORDER, "home_score", "away_score")
+    x = winexp.attach_game_context(pitches, "game_pk", "inning_topbot", GAME_ORDER, "pitcher",
+                                   "home_score", "away_score")
     x = x.withColumns({"pitching_win": winexp.side_win_label("home_win", "inning_topbot"),
                        "base_sit": st.base_state("on_1b", "on_2b", "on_3b")})
-    x = winexp.starter_id(x, ["game_pk", "inning_topbot"], GAME_ORDER, "pitcher")
     x = x.join(woba_b, ["batter", "game_year"], "left")
     pa = materialize(winexp.to_plate_appearance(x, "game_pk", "at_bat_number", "pitch_number"))
     ctx = dict(half="inning_topbot", rate="batter_season_wOBA", bat_score="bat_score",

@@ -112,3 +112,16 @@ def test_season_leverage_total_rank(spark):
 
 if __name__ == "__main__":  # pragma: no cover
     pytest.main([__file__])
+
+
+def test_game_context_equals_separate_operators(spark):
+    rows = [(1, 1, 1, "Top", 10, 0, 0), (1, 2, 1, "Bot", 11, 1, 0), (1, 3, 1, "Top", 12, 2, 3),
+            (2, 1, 1, "Top", 20, 5, 1), (2, 2, 1, None, 21, 5, 5), (2, 3, 1, None, 22, 5, 6)]
+    df = spark.createDataFrame(rows, "g long, ab long, p int, half string, pit long, hs int, aw int")
+    a = winexp.attach_game_context(df, "g", "half", ["ab", "p"], "pit", "hs", "aw")
+    b = winexp.starter_id(winexp.game_winner_label(df, "g", ["ab", "p"], "hs", "aw"),
+                          ["g", "half"], ["ab", "p"], "pit")
+    key = lambda r: (r.g, r.ab)
+    assert sorted(((r.g, r.ab, r.home_win, r.sp) for r in a.collect()), key=lambda t: t[:2]) == \
+        sorted(((r.g, r.ab, r.home_win, r.sp) for r in b.collect()), key=lambda t: t[:2])
+    _ = key
