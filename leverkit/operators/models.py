@@ -129,6 +129,12 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, kind: str = "reg
     return FitResult(model, params, rounds, best["metric"], results)
 
 
+def top_grid(fit: FitResult, n: int = 5) -> list[dict]:
+    """The ``n`` best grid points by held-out loss (ties: grid order)."""
+    order = sorted(range(len(fit.grid)), key=lambda i: (fit.grid[i]["metric"], i))
+    return [fit.grid[i] for i in order[:n]]
+
+
 def score(model: PipelineModel, df: DataFrame, name: str, kind: str = "regressor",
           floor: float | None = None) -> DataFrame:
     """Add the model's prediction (P(label = 1) for a classifier)."""

@@ -34,6 +34,21 @@ def test_classifier_probabilities_and_loss(spark, toy):
     assert stats.ll < base
 
 
+def test_top_grid_and_model_round_trip(spark, toy):
+    import tempfile
+    from leverkit.sources import io
+    fit = models.fit_gbt(toy, ["a", "b"], "z", grid={"max_depth": [2, 3], "subsample": [1.0]},
+                         max_rounds=4, key=["k"])
+    best = models.top_grid(fit, 5)
+    assert len(best) == 2 and best[0]["metric"] <= best[1]["metric"]
+    path = tempfile.mkdtemp(prefix="lk-model-") + "/m"
+    io.save_model(fit.model, path)
+    back = io.load_model(path)
+    a = models.score(fit.model, toy, "zh").orderBy("k").select("zh").collect()
+    b = models.score(back, toy, "zh").orderBy("k").select("zh").collect()
+    assert a == b
+
+
 def test_regressor_beats_mean_and_is_deterministic(spark, toy):
     kw = dict(grid={"max_depth": [2]}, fixed={"eta": 0.3, "weight": 2}, max_rounds=6, key=["k"])
     f1 = models.fit_gbt(toy, ["a", "b"], "z", **kw)
