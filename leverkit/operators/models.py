@@ -20,11 +20,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import state as st
-from ..functions.nulls import flag, in_set
+from ..functions.nulls import flag
 from ..functions.zones import ZONES
 from .verbs import one_hot, stratified_split
 
@@ -231,7 +231,3 @@ def runs_allowed_statline_features(apps: DataFrame, outs_start: str, state: str,
     x = x.withColumn("max_possible_runs", st.max_possible_runs(state, batters_faced))
     more = ["max_possible_runs", *statline]
     return x.withColumns({c: F.col(c).cast("double") for c in more}), feats + more
-
-
-def in_states(state: str, states: Sequence[str]) -> Column:
-    return in_set(state, states)

@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import flag, in_set, ratio_or_zero, zsum
 from ..functions.state import max_runs_possible
 from ..plans.ordered import lead_in_group, row_number_in_group
-from .verbs import attach_group_agg, center, join_keys_null_safe, scale_by_mean_abs, top_ties
+from .verbs import center, join_keys_null_safe, scale_by_mean_abs, top_ties
 
 
 def to_plate_appearance(pitches: DataFrame, game: str, at_bat: str, pitch: str,
@@ -230,4 +230,3 @@ def rank_in_season(df: DataFrame, season: str, metric: str, tiebreak: str,
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]
-_ = Window

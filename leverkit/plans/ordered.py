@@ -30,10 +30,6 @@ BROADCAST_HEAVY_LIMIT = 20_000
 MAX_CHUNKS = 65_536
 
 
-def _names(cols) -> list[str]:
-    return [c for c in cols]
-
-
 def max_group_rows(df: DataFrame, override: int | None = None) -> int:
     if override is not None:
         return int(override)
