@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 MAX_GROUP_ROWS_CONF = "leverkit.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
-# heavy groups are broadcast as a boundary table; above this many heavy
-# groups the boundary tables are joined with a shuffle instead
-BROADCAST_HEAVY_LIMIT = 20_000
+# the per-(heavy group, chunk) tables are broadcast while they hold at most
+# this many values (heavy groups x chunks, ~32 MB of doubles); above it
+# they are joined with a shuffle instead
+BROADCAST_VALUES_LIMIT = 4_000_000
 # chunks per heavy group: about two per ``max_group_rows`` rows, so a group
 # holding a third of 1e12 rows at the default limit gets ~65k chunks
 MAX_CHUNKS = 65_536
@@ -74,16 +75,19 @@ class _Chunking:
         stats = heavy.agg(F.count(F.lit(1)).alias("k"),
                           F.max("_n").alias("m")).first()
         self.n_heavy = int(stats["k"])
+        self.n_chunks = 1
+        self.broadcast_ok = True
         if self.n_heavy == 0:
             self.bounds = None
             return
         n_chunks = min(MAX_CHUNKS, 2 * math.ceil(int(stats["m"]) / limit))
         self.n_chunks = n_chunks
+        self.broadcast_ok = self.n_heavy * n_chunks <= BROADCAST_VALUES_LIMIT
         probs = [i / n_chunks for i in range(1, n_chunks)]
         # sketch accuracy follows the chunk count (rank error ~ 1/accuracy)
         accuracy = int(min(1_000_000, max(10_000, 20 * n_chunks)))
         keys = heavy.select(*by)
-        if self.n_heavy <= BROADCAST_HEAVY_LIMIT:
+        if self.n_heavy <= BROADCAST_VALUES_LIMIT:
             keys = F.broadcast(keys)
         self.bounds = (df.join(keys, by, "left_semi")
                          .groupBy(*by)
@@ -91,7 +95,7 @@ class _Chunking:
                                                   probs, accuracy).alias("_bounds")))
 
     def _small(self, d: DataFrame) -> DataFrame:
-        return F.broadcast(d) if self.n_heavy <= BROADCAST_HEAVY_LIMIT else d
+        return F.broadcast(d) if self.broadcast_ok else d
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Add ``_chunk`` (0 for light groups) and ``_heavy``.

@@ -62,3 +62,16 @@ def test_chunked_plan_has_no_unpartitioned_window(spark):
     out = ordered.lead_in_group(df, ["g"], ["t", "id"], ["v"], max_rows=2)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_chunk_tables_joined_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BROADCAST_VALUES_LIMIT", 0)
+    df = _table(spark, 21, 100, 0.5)
+    w = Window.partitionBy("g").orderBy("t", "id")
+    exp = {r.id: (r.nv, r.rn) for r in df.withColumn("nv", F.lead("v").over(w))
+           .withColumn("rn", F.row_number().over(w)).collect()}
+    a = ordered.lead_in_group(df, ["g"], ["t", "id"], ["v"], prefix="n", max_rows=3)
+    a = ordered.row_number_in_group(a, ["g"], ["t", "id"], "rn", max_rows=3)
+    assert {r.id: (r.nv, r.rn) for r in a.collect()} == exp
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan or "_bounds" not in plan
