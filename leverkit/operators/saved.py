@@ -45,19 +45,12 @@ def season_runs_saved(df: DataFrame, entity: str, game: str, season: str, outs:
         s = s.withColumn("outs_made", F.col("_so"))
     s = s.drop("_so", "_sa", "_se")
     if lookup is not None:
-        s = s.join(F.broadcast(lookup) if _is_small(lookup) else lookup, entity, "left")
+        # broadcast or not is Spark's size-checked decision (plan estimate,
+        # then AQE's runtime statistics against the broadcast threshold)
+        s = s.join(lookup, entity, "left")
     return s
 
 
-def _is_small(df: DataFrame) -> bool:
-    """Broadcast a lookup only when its plan-time size estimate is small."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size.toString()) < 64 * 1024 * 1024
-    except Exception:  # pragma: no cover - estimate unavailable
-        return False
-
-
 def trim_open_quantiles(df: DataFrame, by: Sequence[str], value: str,
                         lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Keep rows strictly inside the (lo, hi) type-7 quantiles of ``value``

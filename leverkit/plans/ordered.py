@@ -26,6 +26,10 @@ DEFAULT_MAX_GROUP_ROWS = 2_000_000
 # this many values (heavy groups x chunks, ~32 MB of doubles); above it
 # they are joined with a shuffle instead
 BROADCAST_VALUES_LIMIT = 4_000_000
+# heavy-group keys are broadcast for the boundary sketch up to this count
+# (each heavy group has more than max_group_rows rows, so the count is at
+# most rows / max_group_rows)
+BROADCAST_KEYS_LIMIT = 1_000_000
 # chunks per heavy group: about two per ``max_group_rows`` rows, so a group
 # holding a third of 1e12 rows at the default limit gets ~65k chunks
 MAX_CHUNKS = 65_536
@@ -87,7 +91,7 @@ class _Chunking:
         # sketch accuracy follows the chunk count (rank error ~ 1/accuracy)
         accuracy = int(min(1_000_000, max(10_000, 20 * n_chunks)))
         keys = heavy.select(*by)
-        if self.n_heavy <= BROADCAST_VALUES_LIMIT:
+        if self.n_heavy <= BROADCAST_KEYS_LIMIT:
             keys = F.broadcast(keys)
         self.bounds = (df.join(keys, by, "left_semi")
                          .groupBy(*by)
