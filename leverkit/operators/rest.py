@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.nulls import safe_div, zsum
 from ..session import materialize
 from ..plans.ordered import lag_bounded
-from .verbs import group_filter_not_min, having_group_total, pivot_fixed, semi_by_values
+from .verbs import (group_filter_not_min, having_group_total, pivot_fixed, scalar_aggs,
+                    semi_by_values)
 
 # --- fixed values: rest labels for -1 .. 10 days of rest, in order
 REST_LABELS = ["B2B2B", "B2B", "OneDay", "TwoDay", "ThreeDay", "FourDay", "FiveDay",
@@ -156,10 +157,8 @@ def rest_bucket_performance(apps: DataFrame, rest: DataFrame, entity: str, game:
     x = group_filter_not_min(x, [entity, season], date)
     x = x.withColumns({"_rapo": F.col(runs_bs) - F.col(runs_allowed),
                        "_xrapo": F.col(runs_bs) - F.col(exp_runs)})
-    means = x.agg(F.avg("_rapo").alias("_m1"), F.avg("_xrapo").alias("_m2"))
-    x = x.crossJoin(F.broadcast(means)) \
-         .withColumns({"_rapo": F.col("_rapo") - F.col("_m1"),
-                       "_xrapo": F.col("_xrapo") - F.col("_m2")})
+    m = scalar_aggs(x, {"m1": F.avg("_rapo"), "m2": F.avg("_xrapo")})
+    x = x.withColumns({"_rapo": F.col("_rapo") - m["m1"], "_xrapo": F.col("_xrapo") - m["m2"]})
     g = x.groupBy(days, entity).agg(
         F.count(F.lit(1)).alias("appearances"),
         zsum(outs).alias("outs_made"),

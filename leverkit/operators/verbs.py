@@ -16,8 +16,18 @@ from pyspark.sql import functions as F
 from ..functions.nulls import in_set
 from ..plans.ordered import exact_quantiles, row_number_in_group
 
-# one-row tables (global means and the like) are always safe to broadcast
-_ONE_ROW = F.broadcast
+
+
+def scalar_aggs(df: DataFrame, aggs: dict[str, Column]) -> dict[str, Column]:
+    """Table-wide aggregates as one scalar subquery.
+
+    The subquery is a partial aggregate run once before the main plan; its
+    value is used as a constant, so there is no join at all, and a branch
+    that does not use it does not compute it.  The returned Columns are
+    fields of the same struct subquery (Spark reuses it).
+    """
+    sub = df.select(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("_s")).scalar()
+    return {n: sub[n] for n in aggs}
 
 
 def top_ties(df: DataFrame, by: Sequence[str], order_col: str | Sequence[str],
@@ -90,26 +100,20 @@ def center(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     The mean is a one-row aggregate, broadcast to every task; there is no
     un-partitioned window over the table.
     """
-    means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols])
-    out = df.crossJoin(_ONE_ROW(means))
-    out = out.withColumns({f"{c}{suffix}": F.col(c) - F.col(f"_mean_{c}") for c in cols})
-    return out.drop(*[f"_mean_{c}" for c in cols])
+    m = scalar_aggs(df, {c: F.avg(c) for c in cols})
+    return df.withColumns({f"{c}{suffix}": F.col(c) - m[c] for c in cols})
 
 
 def scale_by_mean_abs(df: DataFrame, col: str, name: str) -> DataFrame:
     """``abs(x) / mean(abs(x))`` over the whole table."""
-    m = df.agg(F.avg(F.abs(F.col(col))).alias("_mabs"))
-    return (df.crossJoin(_ONE_ROW(m))
-              .withColumn(name, F.abs(F.col(col)) / F.col("_mabs")).drop("_mabs"))
+    m = scalar_aggs(df, {"mabs": F.avg(F.abs(F.col(col)))})
+    return df.withColumn(name, F.abs(F.col(col)) / m["mabs"])
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """Replace NULLs by the column mean of the same frame (one pass)."""
-    means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols])
-    out = df.crossJoin(_ONE_ROW(means))
-    out = out.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.col(f"_mean_{c}"))
-                           for c in cols})
-    return out.drop(*[f"_mean_{c}" for c in cols])
+    m = scalar_aggs(df, {c: F.avg(c) for c in cols})
+    return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), m[c]) for c in cols})
 
 
 def one_hot(df: DataFrame, col: str, levels: Sequence[str], na_level: bool = False,
@@ -143,10 +147,10 @@ def one_hot_drop_modal(df: DataFrame, col: str, levels: Sequence[str],
     for the kept levels instead, which needs no driver round trip.
     """
     if long_form:
-        lv = df.sparkSession.createDataFrame([(x,) for x in levels], "level string")
-        kept = lv.crossJoin(_ONE_ROW(modal_level(df, col))) \
-                 .where(F.col("level") != F.col("_modal")).select("level")
-        return (df.select(*key, col).crossJoin(F.broadcast(kept))
+        modal = modal_level(df, col).scalar()
+        every = F.array(*[F.lit(x) for x in levels])
+        return (df.select(*key, col, F.explode(every).alias("level"))
+                  .where(~F.col("level").eqNullSafe(modal))
                   .select(*key, "level",
                           F.coalesce((F.col(col) == F.col("level")).cast("int"),
                                      F.lit(0)).alias("indicator")))
@@ -190,8 +194,8 @@ def stratified_split(df: DataFrame, key: Sequence[str], strata: str, prop: float
         probs = {f"_b{i}": i / numeric_bins for i in range(1, numeric_bins)}
         num = df.withColumn("_sv", F.col(strata).cast("double"))
         qs = exact_quantiles(num, [], "_sv", probs).select(
-            F.array(*[F.col(k) for k in probs]).alias("_qb"))
-        df = df.crossJoin(_ONE_ROW(qs)).withColumn(
+            F.array(*[F.col(k) for k in probs]).alias("_qb")).scalar()
+        df = df.withColumn("_qb", qs).withColumn(
             "_stratum", F.size(F.filter("_qb", lambda b: b < F.col(strata)))).drop("_qb")
         s = F.col("_stratum")
     else:
@@ -211,11 +215,12 @@ def describe_quantiles(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
     simple = df.agg(F.min(c).alias(f"{prefix}min"), F.avg(c).alias(f"{prefix}mean"),
                     F.max(c).alias(f"{prefix}max"),
                     F.count_if(c.isNull()).alias(f"{prefix}n_null"))
-    qs = exact_quantiles(df, [], col, {f"{prefix}q1": 0.25, f"{prefix}median": 0.5,
-                                        f"{prefix}q3": 0.75})
-    return simple.crossJoin(qs).select(
-        f"{prefix}min", f"{prefix}q1", f"{prefix}median", f"{prefix}mean",
-        f"{prefix}q3", f"{prefix}max", f"{prefix}n_null")
+    names = [f"{prefix}q1", f"{prefix}median", f"{prefix}q3"]
+    qs = exact_quantiles(df, [], col, dict(zip(names, [0.25, 0.5, 0.75])))
+    q = qs.select(F.struct(*names).alias("_q")).scalar()
+    return simple.select(f"{prefix}min", q[names[0]].alias(names[0]),
+                         q[names[1]].alias(names[1]), f"{prefix}mean",
+                         q[names[2]].alias(names[2]), f"{prefix}max", f"{prefix}n_null")
 
 
 def union_outings(a: DataFrame, b: DataFrame) -> DataFrame:

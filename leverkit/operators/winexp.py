@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import flag, in_set, ratio_or_zero, zsum
 from ..functions.state import max_runs_possible
 from ..plans.ordered import lead_in_group, row_number_in_group
-from .verbs import center, join_keys_null_safe, scale_by_mean_abs, top_ties
+from .verbs import center, join_keys_null_safe, scalar_aggs, scale_by_mean_abs, top_ties
 
 
 def to_plate_appearance(pitches: DataFrame, game: str, at_bat: str, pitch: str,
@@ -155,10 +155,11 @@ def leverage_credit(pa: DataFrame, game: str, at_bat: str, pitch: str, half: str
                               "_maxab_a": F.max(F.when(F.col("_home") == 0, F.col(at_bat)))})
     elif scope == "table":
         x = table_lead(x, game, [at_bat, pitch], ["_margin", leverage], prefix="_n_")
-        tot = x.agg(F.max(at_bat).alias("_maxab"),
-                    F.max(F.when(F.col("_home") == 1, F.col(at_bat))).alias("_maxab_h"),
-                    F.max(F.when(F.col("_home") == 0, F.col(at_bat))).alias("_maxab_a"))
-        x = x.crossJoin(F.broadcast(tot))
+        tot = scalar_aggs(x, {
+            "_maxab": F.max(at_bat),
+            "_maxab_h": F.max(F.when(F.col("_home") == 1, F.col(at_bat))),
+            "_maxab_a": F.max(F.when(F.col("_home") == 0, F.col(at_bat)))})
+        x = x.withColumns(tot)
     else:
         raise ValueError("scope must be 'game' or 'table'")
     L, Ln = F.col(leverage), F.col(f"_n_{leverage}")
