@@ -129,6 +129,28 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, kind: str = "reg
     return FitResult(model, params, rounds, best["metric"], results)
 
 
+def cross_fit_score(df: DataFrame, features: Sequence[str], label: str, name: str,
+                    fold_key: str, k: int = 5, kind: str = "regressor",
+                    params: dict | None = None, rounds: int = 50, seed: int = 101,
+                    nullable: Sequence[str] = (), floor: float | None = None) -> DataFrame:
+    """Out-of-fold scores: rows are split into ``k`` folds by a hash of
+    ``fold_key`` (e.g. the game), and each fold is scored by a model fitted
+    on the other folds, so no row is scored by a model that saw it."""
+    fold = F.pmod(F.xxhash64(F.col(fold_key), F.lit(seed)), F.lit(k))
+    x = df.withColumn("_fold", fold)
+    parts = []
+    for i in range(k):
+        train = x.where((F.col("_fold") != i) & F.col(label).isNotNull()) \
+                 .withColumn(label, F.col(label).cast("double"))
+        est = _estimator(kind, label, params or {}, rounds, seed)
+        m = Pipeline(stages=_stages(features, nullable, est)).fit(train)
+        parts.append(score(m, x.where(F.col("_fold") == i), name, kind, floor))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("_fold")
+
+
 def top_grid(fit: FitResult, n: int = 5) -> list[dict]:
     """The ``n`` best grid points by held-out loss (ties: grid order)."""
     order = sorted(range(len(fit.grid)), key=lambda i: (fit.grid[i]["metric"], i))

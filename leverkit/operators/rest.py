@@ -39,7 +39,8 @@ def unify_outings(primary: DataFrame, secondary: DataFrame, entity: str,
 
 
 def days_of_rest(outs: DataFrame, entity: str, season: str, date: str, game: str,
-                 first_value: int = 3, name: str = "days_of_rest") -> DataFrame:
+                 first_value: int = 3, name: str = "days_of_rest",
+                 flag_double_header: bool = False) -> DataFrame:
     """Days of rest before each outing, per (entity, season) in date order.
 
     gap = days since the previous outing - 1 (the first outing of a season
@@ -55,6 +56,10 @@ def days_of_rest(outs: DataFrame, entity: str, season: str, date: str, game: str
     x = lag_bounded(x, [entity, season], order, "_gap", 1, "_prev_gap")
     x = x.withColumn(name, F.when((F.col("_gap") == 0) & (F.col("_prev_gap") == 0),
                                   F.col("_gap") - 1).otherwise(F.col("_gap")))
+    if flag_double_header:
+        # -1 means both "third day running" and "second game that day";
+        # this flag tells them apart without changing the value
+        x = x.withColumn("double_header", F.col("_prev_date") == F.col(date))
     return x.drop("_prev_date", "_gap", "_prev_gap")
 
 

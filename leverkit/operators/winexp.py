@@ -124,7 +124,7 @@ def leverage_credit(pa: DataFrame, game: str, at_bat: str, pitch: str, half: str
                     leverage: str, state: str, xr: str, events: str,
                     scope: str = "game", top: str = "Top",
                     walk_events: Sequence[str] = ("walk", "hit_by_pitch"),
-                    name: str = "LI_diff") -> DataFrame:
+                    margin: str = "batting", name: str = "LI_diff") -> DataFrame:
     """Leverage-weighted credit of each plate appearance (``LI_diff``).
 
     Run expectancy is clamped first.  With a next PA (same ``scope``):
@@ -139,13 +139,25 @@ def leverage_credit(pa: DataFrame, game: str, at_bat: str, pitch: str, half: str
     ``scope='table'`` reproduces the ungrouped original, where the next PA
     of a game's last PA is the following game's first PA and "last" means
     the table-wide maximum at-bat number.
+
+    "Score unchanged" compares the batting side's margin with the next
+    PA's (``margin='batting'``, as the original; the sign flips when the
+    half changes) or the home side's margin (``margin='home'``).
     """
     home = F.col(half) == top
+    bat_margin = F.col(bat_score) - F.col(fld_score)
+    if margin == "home":
+        # the visitors bat in the top half
+        m = F.when(home, -bat_margin).otherwise(bat_margin)
+    elif margin == "batting":
+        m = bat_margin
+    else:
+        raise ValueError("margin must be 'batting' or 'home'")
     x = pa.withColumns({
         "_home": home.cast("int"),
         "_mx": max_runs_possible(state).cast("double"),
         "_xr": clamp_run_expectancy(xr, state, events, walk_events),
-        "_margin": F.col(bat_score) - F.col(fld_score)})
+        "_margin": m})
     order = [game, at_bat, pitch]
     if scope == "game":
         x = lead_in_group(x, [game], [at_bat, pitch], ["_margin", leverage], prefix="_n_",

@@ -89,3 +89,11 @@ def test_features_fixed_schema(spark):
     assert len(feats) == 9 + 7
     row = x.where("h = 'Bot'").first()
     assert row.walkoff_possibility == 1.0 and row.inning_capped == 10.0
+
+
+def test_cross_fit_scores_every_row_once(spark, toy):
+    out = models.cross_fit_score(toy, ["a", "b"], "z", "zh", "k", k=3,
+                                 params={"max_depth": 2}, rounds=3)
+    assert out.count() == toy.count()
+    assert out.select("k").distinct().count() == toy.count()
+    assert out.where("zh IS NULL").count() == 0

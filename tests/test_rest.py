@@ -103,3 +103,10 @@ def test_rest_bucket_performance_and_slices(spark):
                                            "runs_bs", "runs_allowed", "exp_runs_allowed",
                                            "outs_made", min_total=100)
     assert too_few.count() == 0
+
+
+def test_double_header_flag(spark):
+    out = rest.days_of_rest(_outings(spark), "pitcher", "game_year", "game_date", "game_pk",
+                            flag_double_header=True)
+    got = {r.game_pk: (r.days_of_rest, r.double_header) for r in out.collect()}
+    assert got[105] == (-1, True) and got[103] == (-1, False) and got[90][1] is None

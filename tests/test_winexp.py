@@ -125,3 +125,22 @@ def test_game_context_equals_separate_operators(spark):
     assert sorted(((r.g, r.ab, r.home_win, r.sp) for r in a.collect()), key=lambda t: t[:2]) == \
         sorted(((r.g, r.ab, r.home_win, r.sp) for r in b.collect()), key=lambda t: t[:2])
     _ = key
+
+
+def test_credit_home_margin_option(spark):
+    # a scoreless change of half: batting margin 0 -> 0 stays "unchanged"
+    # either way; a 1-0 lead flips sign for the batting margin only
+    rows = [(1, 1, 1, "Top", 9, 0, 1, 0, 0, 0, 1.0, None, None, None, 0.2, "x"),
+            (1, 2, 1, "Bot", 9, 1, 0, 0, 0, 0, 2.0, None, None, None, 0.2, "x"),
+            (1, 3, 1, "Bot", 9, 1, 0, 1, 0, 0, 3.0, None, None, None, 0.2, "x")]
+    df = spark.createDataFrame(rows, "g long, ab long, p int, half string, inning int, bat int, "
+                               "fld int, ph int, pa int, bsd int, L double, o1 int, o2 int, "
+                               "o3 int, xr double, ev string") \
+              .withColumn("s", st.base_state("o1", "o2", "o3"))
+    args = ("g", "ab", "p", "half", "inning", "bat", "fld", "ph", "pa", "bsd", "L", "s", "xr", "ev")
+    bat = {r.ab: r.LI_diff for r in winexp.leverage_credit(df, *args).collect()}
+    home = {r.ab: r.LI_diff for r in winexp.leverage_credit(df, *args, margin="home").collect()}
+    # PA 1: batting margin -1 (visitors trail) vs next +1 -> changed
+    assert math.isclose(bat[1], -abs((1.0 - 2.0) * 0.2))
+    # home margin +1 then +1 -> unchanged
+    assert math.isclose(home[1], (1.0 - 2.0) * (1 - 0.2))
