@@ -184,8 +184,16 @@ def base_state_dummies(df: DataFrame, state: str, drop_level: str | None = None,
 
 def win_expectancy_features(pa: DataFrame, half: str, rate: str, bat_score: str,
                             fld_score: str, inning: str, outs: str, state: str,
-                            drop_level: str | None = "___") -> tuple[DataFrame, list[str]]:
-    """Context of a plate appearance for the win-probability model."""
+                            drop_level: str | None = "modal") -> tuple[DataFrame, list[str]]:
+    """Context of a plate appearance for the win-probability model.
+
+    The base-state one-hot leaves out ``drop_level``; ``'modal'`` (default)
+    finds the most frequent state of this frame with one tiny aggregate.
+    """
+    if drop_level == "modal":
+        from .verbs import modal_level
+        row = modal_level(pa, state).first()
+        drop_level = row["_modal"] if row else None
     ctx = st.score_context(bat_score, fld_score, inning)
     x = pa.withColumns({"on_home_team": st.is_home_pitcher(half), "_rate": F.col(rate), **ctx})
     x = x.withColumn("tying_winning_run", st.tying_run_flag("pitcher_score_diff", state))
