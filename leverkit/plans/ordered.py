@@ -227,9 +227,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     """Type-7 (linear interpolation) quantiles of ``value`` per group.
 
     NULL values are ignored; a group of only NULLs gives NULL.  Light
-    groups use the exact ``percentile`` aggregate; groups above the row
-    limit are resolved from split-safe row numbers, so no group's values
-    are ever collected in one place.
+    groups use the exact ``percentile`` aggregate.  Groups above the row
+    limit are split into chunks; per-chunk counts locate the chunk that
+    holds each wanted order statistic, and only those chunks are sorted,
+    so no group's values are ever collected or sorted in one place.
     """
     df, by, const = _with_const_group(df, by)
     limit = max_group_rows(df, max_rows)
@@ -242,31 +243,41 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     marked = ch.assign(base)
     light = (marked.where(~F.col("_heavy")).groupBy(*by).agg(*[
         F.percentile(F.col(value), p).alias(k) for k, p in probs.items()]))
-    hv = marked.where(F.col("_heavy") & F.col(value).isNotNull()).drop("_chunk", "_heavy")
-    ranked = row_number_in_group(hv, by, [value], "_rn", max_rows=limit)
-    n = hv.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    # heavy groups: selection by chunk counts.  The chunk holding each
+    # wanted position is found from per-chunk counts (a small table), and
+    # only those chunks are sorted - not the whole group.
+    hv = marked.where(F.col("_heavy") & F.col(value).isNotNull()).drop("_heavy")
+    sizes = hv.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_c"))
+    wg = Window.partitionBy(*by)
+    sizes = sizes.withColumns({
+        "_off": F.coalesce(F.sum("_c").over(wg.orderBy("_chunk").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)),
+        "_n": F.sum("_c").over(wg)})
     picks = []
-    for k, p in probs.items():
+    for i, (k, p) in enumerate(probs.items()):
         h = (F.col("_n") - 1) * F.lit(p)
-        picks.append(F.struct(F.floor(h).alias("lo"), F.ceil(h).alias("hi"),
-                              (h - F.floor(h)).alias("fr")).alias(k))
-    want = n.select(*by, *picks)
-    pos = ranked.withColumn("_pos", F.col("_rn") - 1).drop("_rn")
-    pairs = []
-    for k in probs:
-        sel = want.select(*by, F.col(f"{k}.lo").alias("_lo"),
-                          F.col(f"{k}.hi").alias("_hi"), F.col(f"{k}.fr").alias("_fr"))
-        joined = (pos.join(ch._small(sel), by)
-                     .where((F.col("_pos") == F.col("_lo")) | (F.col("_pos") == F.col("_hi")))
-                     .groupBy(*by)
-                     .agg(F.max(F.when(F.col("_pos") == F.col("_lo"), F.col(value))).alias("_xl"),
-                          F.max(F.when(F.col("_pos") == F.col("_hi"), F.col(value))).alias("_xh"),
-                          F.first("_fr").alias("_fr"))
-                     .select(*by, (F.col("_xl") + F.col("_fr") * (F.col("_xh") - F.col("_xl"))).alias(k)))
-        pairs.append(joined)
-    heavy_q = pairs[0]
-    for p in pairs[1:]:
-        heavy_q = heavy_q.join(p, by)
+        for side, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            picks.append(sizes.select(*by, "_chunk", "_off", "_c",
+                                      F.lit(i).alias("_k"), F.lit(side).alias("_side"),
+                                      (h - F.floor(h)).alias("_fr"), pos.alias("_pos")))
+    want = picks[0]
+    for w_ in picks[1:]:
+        want = want.unionByName(w_)
+    want = want.where((F.col("_pos") >= F.col("_off")) & (F.col("_pos") < F.col("_off") + F.col("_c"))) \
+               .select(*by, "_chunk", "_k", "_side", "_fr",
+                       (F.col("_pos") - F.col("_off")).alias("_local"))
+    need = want.select(*by, "_chunk").distinct()
+    rows = hv.join(ch._small(need), [*by, "_chunk"], "left_semi")
+    rows = rows.withColumn("_local", F.row_number().over(
+        Window.partitionBy(*by, "_chunk").orderBy(value)) - 1)
+    got = rows.join(ch._small(want), [*by, "_chunk", "_local"])
+    per = got.groupBy(*by, "_k").agg(
+        F.max(F.when(F.col("_side") == "lo", F.col(value))).alias("_xl"),
+        F.max(F.when(F.col("_side") == "hi", F.col(value))).alias("_xh"),
+        F.first("_fr").alias("_fr"))
+    per = per.withColumn("_q", F.col("_xl") + F.col("_fr") * (F.col("_xh") - F.col("_xl")))
+    heavy_q = per.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_k") == i, F.col("_q"))).alias(k) for i, k in enumerate(probs)])
     out = light.unionByName(heavy_q)
     return out.drop(const) if const else out
 

@@ -73,3 +73,22 @@ def test_chunk_tables_joined_without_broadcast(spark, monkeypatch):
     a = ordered.lead_in_group(df, ["g"], ["t", "id"], ["v"], prefix="n", max_rows=3)
     a = ordered.row_number_in_group(a, ["g"], ["t", "id"], "rn", max_rows=3)
     assert {r.id: (r.nv, r.rn) for r in a.collect()} == exp
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(seed=hs.integers(0, 10_000), limit=hs.sampled_from([1, 4, 30]),
+       hot=hs.sampled_from([0.3, 0.9]))
+def test_exact_quantiles_selection_property(spark, seed, limit, hot):
+    rnd = random.Random(seed)
+    rows = [(0 if rnd.random() < hot else rnd.randint(1, 4),
+             rnd.choice([None, float(rnd.randint(0, 9)), rnd.random()])) for _ in range(160)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = {"p0": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p1": 1.0}
+    exp = {r.g: tuple(r[k] for k in probs) for r in df.groupBy("g").agg(
+        *[F.percentile("v", p).alias(k) for k, p in probs.items()]).collect()}
+    got = {r.g: tuple(r[k] for k in probs) for r in ordered.exact_quantiles(
+        df, ["g"], "v", probs, max_rows=limit).collect()}
+    assert got.keys() == exp.keys()
+    for g in exp:
+        for x, y in zip(got[g], exp[g]):
+            assert (x is None and y is None) or abs(x - y) < 1e-12, (g, got[g], exp[g])
