@@ -181,3 +181,34 @@ def rest_path(mlb_pa: DataFrame, aaa_plays: DataFrame, apps_with_saved: DataFram
         perf = perf.join(names, "pitcher", "left")
     return {"rest_days": days, "rest_profile": profile, "career": career,
             "rest_performance": perf, "rest_slices": rest.rest_bucket_slices(perf)}
+
+
+def write_outputs(results: dict, out_dir: str, fmt: str = "parquet",
+                  season: str = "game_year") -> list[str]:
+    """Write every DataFrame of a path's result dict under ``out_dir``
+    (nested dicts become sub-folders; fitted models are saved as
+    pipelines).  Parquet tables with a season column are partitioned by it,
+    so later reads of one season prune the rest.  Returns the paths."""
+    import os
+
+    from pyspark.sql import DataFrame as _DF
+
+    from ..operators.models import FitResult
+    from ..sources import io
+
+    written = []
+    for name, value in results.items():
+        path = os.path.join(out_dir, name)
+        if isinstance(value, dict):
+            written += write_outputs(value, path, fmt, season)
+        elif isinstance(value, FitResult):
+            io.save_model(value.model, path)
+            written.append(path)
+        elif isinstance(value, _DF):
+            if fmt == "csv":
+                io.write_csv(value, path)
+            else:
+                parts = [season] if season in value.columns else []
+                io.write_parquet(value, path, partition_by=parts)
+            written.append(path)
+    return written

@@ -62,3 +62,10 @@ def test_runs_saved_and_rest_paths(spark, game):
     prof = c["rest_profile"].collect()
     assert prof and all(0 <= r.entropy <= math.log(12) + 1e-12 for r in prof)
     assert c["rest_days"].where("days_of_rest < -1").count() == 0
+    import tempfile
+    out = tempfile.mkdtemp(prefix="lk-paths-")
+    written = paths.write_outputs({"season": b["season"], "rest": {"profile": c["rest_profile"]}},
+                                  out)
+    assert len(written) == 2
+    back = spark.read.parquet(written[0])
+    assert back.count() == b["season"].count() and "game_year" in back.columns
