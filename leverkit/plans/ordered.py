@@ -247,7 +247,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     # wanted position is found from per-chunk counts (a small table), and
     # only those chunks are sorted - not the whole group.
     hv = marked.where(F.col("_heavy") & F.col(value).isNotNull()).drop("_heavy")
-    sizes = hv.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = hv.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_c"),
+                                          F.min(value).alias("_vmin"),
+                                          F.max(value).alias("_vmax"))
     wg = Window.partitionBy(*by)
     sizes = sizes.withColumns({
         "_off": F.coalesce(F.sum("_c").over(wg.orderBy("_chunk").rowsBetween(
@@ -257,20 +259,25 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     for i, (k, p) in enumerate(probs.items()):
         h = (F.col("_n") - 1) * F.lit(p)
         for side, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            picks.append(sizes.select(*by, "_chunk", "_off", "_c",
+            picks.append(sizes.select(*by, "_chunk", "_off", "_c", "_vmin", "_vmax",
                                       F.lit(i).alias("_k"), F.lit(side).alias("_side"),
                                       (h - F.floor(h)).alias("_fr"), pos.alias("_pos")))
     want = picks[0]
     for w_ in picks[1:]:
         want = want.unionByName(w_)
     want = want.where((F.col("_pos") >= F.col("_off")) & (F.col("_pos") < F.col("_off") + F.col("_c"))) \
-               .select(*by, "_chunk", "_k", "_side", "_fr",
+               .select(*by, "_chunk", "_k", "_side", "_fr", "_vmin",
+                       (F.col("_vmin") == F.col("_vmax")).alias("_flat"),
                        (F.col("_pos") - F.col("_off")).alias("_local"))
-    need = want.select(*by, "_chunk").distinct()
+    # a chunk of one repeated value needs no sort: every position holds it
+    flat = want.where("_flat").select(*by, "_k", "_side", "_fr", F.col("_vmin").alias(value))
+    mixed = want.where(~F.col("_flat")).drop("_flat", "_vmin")
+    need = mixed.select(*by, "_chunk").distinct()
     rows = hv.join(ch._small(need), [*by, "_chunk"], "left_semi")
     rows = rows.withColumn("_local", F.row_number().over(
         Window.partitionBy(*by, "_chunk").orderBy(value)) - 1)
-    got = rows.join(ch._small(want), [*by, "_chunk", "_local"])
+    got = rows.join(ch._small(mixed), [*by, "_chunk", "_local"]) \
+              .select(*by, "_k", "_side", "_fr", value).unionByName(flat)
     per = got.groupBy(*by, "_k").agg(
         F.max(F.when(F.col("_side") == "lo", F.col(value))).alias("_xl"),
         F.max(F.when(F.col("_side") == "hi", F.col(value))).alias("_xh"),

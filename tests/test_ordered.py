@@ -92,3 +92,14 @@ def test_exact_quantiles_selection_property(spark, seed, limit, hot):
     for g in exp:
         for x, y in zip(got[g], exp[g]):
             assert (x is None and y is None) or abs(x - y) < 1e-12, (g, got[g], exp[g])
+
+
+def test_exact_quantiles_with_a_huge_tie(spark):
+    rows = [(0, 0.0)] * 300 + [(0, float(i)) for i in range(1, 40)] + [(1, 2.0), (1, 3.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = {"a": 0.05, "b": 0.5, "c": 0.9, "d": 0.99}
+    exp = {r.g: tuple(r[k] for k in probs) for r in df.groupBy("g").agg(
+        *[F.percentile("v", p).alias(k) for k, p in probs.items()]).collect()}
+    got = {r.g: tuple(r[k] for k in probs) for r in ordered.exact_quantiles(
+        df, ["g"], "v", probs, max_rows=10).collect()}
+    assert got == exp
