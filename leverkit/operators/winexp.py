@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import flag, in_set, ratio_or_zero, zsum
 from ..functions.state import max_runs_possible
-from ..plans.ordered import lead_in_group, row_number_in_group
+from ..plans.ordered import has_heavy_groups, lead_in_group, row_number_in_group
 from .verbs import center, join_keys_null_safe, scalar_aggs, scale_by_mean_abs, top_ties
 
 
@@ -90,9 +90,11 @@ def delta_win_expectancy(pa: DataFrame, game: str, half: str, at_bat: str, we: s
     or the description contains ``pattern``.  Any other PA without a next
     PA in its half: (1 - next PA's WE in the game) - WE.
     """
-    x = lead_in_group(pa, [game, half], [at_bat], [we], prefix="_nh_")
+    # one probe on the game settles the (game, half) groups too
+    light = not has_heavy_groups(pa, [game])
+    x = lead_in_group(pa, [game, half], [at_bat], [we], prefix="_nh_", assume_light=light)
     x = lead_in_group(x, [game], [at_bat], [we], prefix="_ng_",
-                      group_aggs={"_maxab": F.max(at_bat)})
+                      group_aggs={"_maxab": F.max(at_bat)}, assume_light=light)
     d = F.col(f"_nh_{we}") - F.col(we)
     last = F.col(at_bat) == F.col("_maxab")
     out = (F.when(last & (F.col(post_fld) > F.col(post_bat)), 1 - F.col(we))

@@ -67,13 +67,26 @@ def _chunk_key(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
+def has_heavy_groups(df: DataFrame, by: Sequence[str], max_rows: int | None = None) -> bool:
+    """Whether any group of ``by`` holds more than the row limit.  No group
+    of a finer key (``by`` plus more columns) can be heavy when this is
+    False, so one probe on the coarse key settles the finer ones."""
+    limit = max_group_rows(df, max_rows)
+    g = df.groupBy(*by) if by else df.groupBy()
+    return g.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).limit(1).count() > 0
+
+
 class _Chunking:
     """Chunk assignment for the heavy groups of ``by`` (None when none)."""
 
     def __init__(self, df: DataFrame, by: list[str], order: Sequence,
-                 limit: int):
+                 limit: int, assume_light: bool = False):
         self.by = by
         self.key_name = _first_order_name(order)
+        if assume_light:
+            self.n_heavy, self.n_chunks, self.broadcast_ok = 0, 1, True
+            self.bounds = None
+            return
         counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         heavy = counts.where(F.col("_n") > limit)
         stats = heavy.agg(F.count(F.lit(1)).alias("k"),
@@ -141,7 +154,8 @@ def lead_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
                   cols: Sequence[str], prefix: str = "next_",
                   max_rows: int | None = None,
                   last_flag: str | None = None,
-                  group_aggs: dict[str, Column] | None = None) -> DataFrame:
+                  group_aggs: dict[str, Column] | None = None,
+                  assume_light: bool = False) -> DataFrame:
     """``lead(c, 1) over (partition by by order by order)`` for each c.
 
     ``by`` may be empty (a lead over the whole table).  ``order`` must be a
@@ -150,10 +164,12 @@ def lead_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
     ``group_aggs`` (name -> aggregate Column) adds whole-group aggregates:
     computed in the same window when no group is heavy (no extra
     exchange), else as a partial aggregate joined back.
+    ``assume_light`` skips the probe when the caller has already shown no
+    group can be heavy (see ``has_heavy_groups``).
     """
     df, by, const = _with_const_group(df, by)
     limit = max_group_rows(df, max_rows)
-    ch = _Chunking(df, by, order, limit)
+    ch = _Chunking(df, by, order, limit, assume_light)
     ocols = _order_cols(order)
     if ch.bounds is None:
         w = Window.partitionBy(*by).orderBy(*ocols)
