@@ -1,7 +1,13 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from leverkit.llm import mixing
+from leverkit.llm import decontaminate, mixing
 
-QUERIES = {"op7_mixing": mixing.op7_mixing}
-ORACLE = {"op7_mixing": mixing.ORACLE}
+QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op7_mixing": mixing.op7_mixing,
+}
+ORACLE = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+}
