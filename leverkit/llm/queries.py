@@ -1,13 +1,15 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from leverkit.llm import decontaminate, mixing
+from leverkit.llm import decontaminate, jaccard, mixing
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op7_mixing": mixing.op7_mixing,
 }
 ORACLE = {
     "op2_decontamination": decontaminate.ORACLE,
+    "op5_jaccard": jaccard.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
