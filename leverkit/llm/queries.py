@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from leverkit.llm import decontaminate, jaccard, mixing
+from leverkit.llm import decontaminate, jaccard, lines, mixing
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op5_jaccard": jaccard.op5_jaccard,
     "op7_mixing": mixing.op7_mixing,
