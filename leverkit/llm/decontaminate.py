@@ -172,7 +172,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items = (hits.select("key", "win").distinct()
              .join(wins.select("win", F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item")).distinct(), "win")
              .groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    found = spans.select("key", covered.alias("n_hit")).join(items, "key")
+    # written, so that the join below is free to split the key of a text with very many copies
+    found = saved(spans.select("key", covered.alias("n_hit")).join(items, "key"), "found")
     out = scan.select("doc_id", "key", "n_words").join(found, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "key", "n_words", n_hit.alias("n_hit"),
