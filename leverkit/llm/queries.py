@@ -1,13 +1,15 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from leverkit.llm import decontaminate, jaccard, lines, mixing
+from leverkit.llm import decontaminate, jaccard, langid, lines, mixing, privacy
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op5_jaccard": jaccard.op5_jaccard,
+    "op6_language_id": langid.op6_language_id,
     "op7_mixing": mixing.op7_mixing,
+    "op9_personal_data": privacy.op9_personal_data,
 }
 ORACLE = {
     "op2_decontamination": decontaminate.ORACLE,
