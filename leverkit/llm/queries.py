@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from leverkit.llm import decontaminate, jaccard, langid, lines, mixing, privacy
+from leverkit.llm import ctw, decontaminate, jaccard, langid, lines, mixing, privacy
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_language_id": langid.op6_language_id,
     "op7_mixing": mixing.op7_mixing,
+    "op8_lm_scoring": ctw.op8_lm_scoring,
     "op9_personal_data": privacy.op9_personal_data,
 }
 ORACLE = {
