@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from leverkit.llm import ctw, decontaminate, jaccard, langid, lines, mixing, privacy
+from leverkit.llm import ctw, decontaminate, jaccard, langid, lines, mixing, neighbours, privacy
 
 QUERIES = {
+    "op10_nearest": neighbours.op10_nearest,
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op5_jaccard": jaccard.op5_jaccard,
