@@ -130,13 +130,14 @@ def row_chunks(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
-def scan_words(col: pa.Array, words: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Lower-case A-Z and cut every row of ``col`` into words of the byte class
-    ``words``; whole texts, whatever their length."""
+def scan_words(col: pa.Array, words: np.ndarray, limit: int = CHUNK_BYTES, lower: bool = True) -> Iterator[Chunk]:
+    """Lower-case A-Z (if ``lower``) and cut every row of ``col`` into words of
+    the byte class ``words``; whole texts, whatever their length."""
     offs, data = text_buffers(col)
     for lo, hi in row_chunks(offs, limit):
         cut = offs[lo:hi + 1] - offs[lo]
-        d = LOWER[data[offs[lo]:offs[hi]]]
+        d = data[offs[lo]:offs[hi]]
+        d = LOWER[d] if lower else d
         inside = words[d]
         prev = np.empty(len(d), bool)
         if len(d):

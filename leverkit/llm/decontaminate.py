@@ -184,6 +184,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents, all their columns, whose text is not contaminated."""
     bad = contamination(docs, benchmark, **how).where("contaminated").select(F.col("key").alias("__key")).distinct()
+    bad = small_or_plain(saved(bad, "contaminated"), 64)
     return docs.withColumn("__k", text_key()).join(bad, F.col("__k") == F.col("__key"), "left_anti").drop("__k")
 
 

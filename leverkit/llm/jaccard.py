@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverkit.llm.common import SPACE_WORDS, saved, scan_words, shingle_hashes, table
+from leverkit.llm.common import SPACE_WORDS, saved, scan_words, shingle_hashes, small_or_plain, table, text_key
 from leverkit.llm.components import components
 
 SHINGLE = 3
@@ -87,9 +87,9 @@ def _classes(k: int, num: int, den: int, word_class):
                 seen.add(cid)
                 toks.append((s[:head] if head >= _prefix_size(len(s), num, den) else s).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(cids, pa.int64()), pa.array(ns, pa.int32()),
+                [b.column("doc_id"), b.column("key"), pa.array(cids, pa.int64()), pa.array(ns, pa.int32()),
                  pa.array(heads, pa.int32()), pa.array(toks, pa.list_(pa.int64()))],
-                ["doc_id", "cid", "n", "head", "toks"])
+                ["doc_id", "key", "cid", "n", "head", "toks"])
     return run
 
 
@@ -137,7 +137,7 @@ def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
     d = shared.join(stats, "cid").withColumn("s", F.array_sort("s"))
     in_head = F.size(F.filter("s", lambda x: ~x["tail"]))
     d = d.withColumn("h", in_head).withColumn("own", F.col("m") - F.size("s"))
-    own_head = F.when(F.col("m") == F.col("head"), F.col("m")).otherwise(F.col("head")) - F.col("h")
+    own_head = F.col("head") - F.col("h")
     pos = F.transform("s", lambda x, i: F.struct(
         x["tok"].alias("tok"), (i + F.when(x["tail"], F.col("own")).otherwise(own_head)).alias("pos")))
     need = F.expr(f"n - ((n * {num} + {den - 1}) div {den}) + 1")
@@ -181,7 +181,8 @@ def _ordered_pairs(df: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN,
                        word_class: np.ndarray = SPACE_WORDS, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest
-    doc_id reachable by links, its own included) and cid (class of its set).
+    doc_id reachable by links, its own included), component (a label; null
+    without shingles) and key (content key of the text).
 
     Defined cases: null, empty and word-free texts have no shingles and link
     with nothing; a text of fewer words than a shingle is one shingle of all of
@@ -191,9 +192,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     columns are not looked at.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
     rows = saved(d.mapInArrow(_classes(shingle, num, den, word_class),
-                              "doc_id long, cid long, n int, head int, toks array<long>"), "classes")
+                              "doc_id long, key binary, cid long, n int, head int, toks array<long>"), "classes")
     pre = saved(_prefixes(rows, num, den), "prefix")
     # buckets with one class only are gone: every shingle here was moved twice,
     # but perhaps by two tasks for the same class
@@ -242,21 +243,43 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
         got = saved(_verify(pairs, segs, num, den), "verified")
         links = got if links is None else links.unionByName(got)
         labels = saved(components(links), "labels")
-    out = rows.select("doc_id", "cid", "n")
     first = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
     if labels is not None:
         first = first.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         lows = first.groupBy("label").agg(F.min("low").alias("component_id"))
-        first = first.select("cid", "label").join(lows, "label").select("cid", "component_id")
+        first = first.select("cid", "label").join(lows, "label")
     else:
-        first = first.withColumnRenamed("low", "component_id")
-    return (out.join(first, "cid", "left")
+        first = first.select("cid", F.col("cid").alias("label"), F.col("low").alias("component_id"))
+    first = saved(first.select("cid", F.col("label").alias("component"), "component_id"), "components")
+    linked = F.col("n") > 0
+    return (rows.select("doc_id", "key", "cid", "n").join(first, "cid", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid"))
+                    F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    F.when(linked, F.col("component")).alias("component"), "key"))
+
+
+#: bytes assumed for a dropped document's id and key when their broadcast is checked
+ROW_BYTES = 64
+
+
+def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
+    """The documents, all their columns, without all but one of each group of
+    linked documents: the one with the smallest doc_id (null first), then
+    content key, stays.  Of rows alike in both, one stays."""
+    rows = saved(jaccard_components(docs, **how).where("component is not null").select("component", "doc_id", "key"), "groups")
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    lost = (rows.join(best, "component").where(~F.struct("doc_id", "key").eqNullSafe(F.col("best")))
+            .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct())
+    lost = small_or_plain(saved(lost, "lost"), ROW_BYTES)
+    d = docs.withColumn("__k", text_key())
+    d = d.join(lost, (F.col("__k") == F.col("__key")) & d["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    if rows.groupBy("doc_id", "key").count().where("count > 1").take(1):
+        d = d.dropDuplicates(["doc_id", "__k"])
+    return d.drop("__k")
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("cid")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""

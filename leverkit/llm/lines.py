@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverkit.llm.common import _power_tables, mix, row_chunks, saved, table, text_buffers, text_key
+from leverkit.llm.common import BROADCAST_BYTES, _power_tables, mix, row_chunks, saved, table, text_buffers, text_key
 from leverkit.llm.components import components
 
 TAU = 2
@@ -259,8 +259,10 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     """The documents, all their columns, with later lines of each class cut
     from ``text``.  A document that loses all its lines is dropped; one that
     had none stays.  ``n_chars``, where there is one, is the new length."""
-    cut = (line_classes(docs, tau, min_chars).where("not kept").groupBy("doc_id", "key")
-           .agg(F.collect_set("line_no").alias("__cut")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__cut"))
+    cut = saved(line_classes(docs, tau, min_chars).where("not kept").groupBy("doc_id", "key")
+                .agg(F.collect_set("line_no").alias("__cut")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__cut"), "cut")
+    size = cut.agg(F.sum(F.size("__cut") * F.lit(4) + F.lit(96).cast("long"))).first()[0] or 0
+    cut = F.broadcast(cut) if size <= BROADCAST_BYTES else cut
     d = docs.withColumn("__k", text_key())
     d = d.join(cut, d["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__cut", i)), "\n")

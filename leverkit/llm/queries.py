@@ -1,12 +1,14 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from leverkit.llm import ctw, decontaminate, jaccard, langid, lines, mixing, neighbours, privacy
+from leverkit.llm import chat, ctw, decontaminate, jaccard, langid, lines, mixing, neighbours, privacy, tokens
 
 QUERIES = {
     "op10_nearest": neighbours.op10_nearest,
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_token_counts": tokens.op3_token_counts,
+    "op4_chat_format": chat.op4_chat_format,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_language_id": langid.op6_language_id,
     "op7_mixing": mixing.op7_mixing,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 ORACLE = {
     "op2_decontamination": decontaminate.ORACLE,
+    "op4_chat_format": chat.ORACLE,
     "op5_jaccard": jaccard.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
