@@ -263,8 +263,9 @@ def search(df: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     Defined cases: vectors that are null, all zero or hold a null or non-finite
     component take no part, nor do rows without an id or of another length
     than most; an id with several vectors counts once, with the least of them;
-    fewer candidates than k are all returned where the probes meet them; an
-    empty table gives no rows; other columns are not looked at.
+    a query whose probes meet fewer than k rows is compared with all rows, so
+    fewer candidates than k are all returned; an empty table gives no rows;
+    other columns are not looked at.
     """
     spark = df.sparkSession
     vectors, dim = clean_vectors(df)
@@ -290,7 +291,19 @@ def search(df: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                      F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("s"))
              .join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumn("cell", cell))
     near = (left.groupBy("cell").cogroup(right.groupBy("cell"))
-            .applyInArrow(_rank(k), "query_id long, vec_id long, score double").distinct())
+            .applyInArrow(_rank(k), "query_id long, vec_id long, score double"))
+    near = saved(near, "near")
+    # queries whose buckets held fewer than k rows: all rows, a bounded block of queries at a time
+    least = min(k, vectors.count() - 1)
+    full = near.groupBy("query_id").count().where(F.col("count") >= least).select(F.col("query_id").alias("vec_id"))
+    short = saved(queries.select("vec_id", "v").join(full, "vec_id", "left_anti").withColumn("i", F.monotonically_increasing_id())
+                  .withColumn("part", F.pmod(F.xxhash64("i"), F.lit(1 + queries.count() // BLOCK_ROWS))), "short")
+    for part in [r[0] for r in short.select("part").distinct().collect()]:
+        asked = short.where(F.col("part") == part).collect()
+        q_id, q = np.array([r["vec_id"] for r in asked]), _matrix(pa.array([bytes(r["v"]) for r in asked], pa.binary()))
+        more = vectors.mapInArrow(_exact(q_id, spark.sparkContext.broadcast(q), k), "query_id long, vec_id long, score double")
+        near = near.unionByName(saved(more, "exact"))
+    near = near.distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
