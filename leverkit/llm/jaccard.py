@@ -10,11 +10,12 @@ a fragment rarer shingles come first.  Work goes in this order:
    in fragment 0 for all but few classes, so only those shingles are counted
    and moved (a class whose fragment 0 is too small moves all of its own);
 3. classes that share a prefix shingle become candidates.  First each bucket is
-   compared with one leader only, the class with the fewest shingles of its
-   own, in a few rounds; classes connected by now need no further comparison.
-   Then all pairs of a bucket that lie in different components are compared.
-   So a large group of near copies costs its size, not its square, and no link
-   between components is lost;
+   compared with a leader only, the class with the fewest shingles of its own,
+   in a few rounds of at most one pair a class; classes connected by now need
+   no further comparison.  Then all pairs of a bucket that lie in different
+   components are compared, as far as their sizes and the shingle's places
+   leave a link possible.  So a large group of near copies costs about its
+   size, not its square, and no link between components is lost;
 4. a pair's overlap is counted fragment by fragment and summed.  Fragment 0 is
    counted first and drops pairs that the rest could not save.
 
@@ -206,9 +207,6 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     links, tested, labels = None, None, None
     bound = F.expr(f"{num + den} * (1 + least(n - pos - 1, n2 - pos2 - 1)) >= {num} * (n + n2)")
 
-    def other(df, *more):
-        return df.select(F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), *more)
-
     for turn in range(leader_rounds + 1):
         now = pre.withColumn("label", F.col("cid"))
         if labels is not None:
@@ -222,16 +220,24 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
             lead = (now.groupBy("tok", band).agg(F.min_by(F.struct("cid", "n", "pos", "label"), rank).alias("l"))
                     .select("tok", "band", F.col("l.cid").alias("cid2"), F.col("l.n").alias("n2"),
                             F.col("l.pos").alias("pos2"), F.col("l.label").alias("label2")))
-            cand = now.withColumn("band", band).join(lead, ["tok", "band"]).where("label <> label2")
+            cand = now.withColumn("band", band).join(lead, ["tok", "band"]).where("label <> label2").where(_comparable(num, den)).where(bound)
+            # each class meets one leader, that of most of its buckets: at most a pair a class
+            cand = (cand.groupBy("cid", "n", "cid2", "n2").agg(F.count("*").alias("met"))
+                    .groupBy("cid", "n").agg(F.max_by(F.struct("cid2", "n2"), F.struct("met", "cid2")).alias("l"))
+                    .select("cid", "n", "l.cid2", "l.n2"))
         else:
             if not now.take(1):
                 break
             now = saved(now, "left")
-            kinds = now.select("tok", "label").distinct()
-            meet = kinds.join(kinds.withColumnRenamed("label", "label2"), "tok").where("label < label2")
-            cand = (meet.join(now, ["tok", "label"])
-                    .join(other(now, "tok", F.col("label").alias("label2")), ["tok", "label2"]))
-        pairs = _ordered_pairs(cand.where(_comparable(num, den)).where(bound))
+            # which components can meet at all, by size and by the earliest place of the shingle
+            kinds = now.groupBy("tok", "label", "n").agg(F.min("pos").alias("pos"))
+            kinds2 = kinds.select(F.col("tok").alias("tok2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+            meet = (kinds.join(kinds2, (F.col("tok") == F.col("tok2")) & (F.col("label") < F.col("label2")) & _comparable(num, den) & bound)
+                    .select("tok", "label", "n", "label2", "n2"))
+            here = meet.join(now.select("tok", "label", "n", "cid", "pos"), ["tok", "label", "n"])
+            there = now.select(F.col("tok").alias("tok2"), F.col("label").alias("label2_"), F.col("n").alias("n2_"), F.col("cid").alias("cid2"), F.col("pos").alias("pos2"))
+            cand = here.join(there, (F.col("tok") == F.col("tok2")) & (F.col("label2") == F.col("label2_")) & (F.col("n2") == F.col("n2_")) & bound)
+        pairs = _ordered_pairs(cand)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
