@@ -246,13 +246,18 @@ def fit(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> tuple[Index
         return index, sets[:1]
     of = {x: i for i, x in enumerate(q_id.tolist())}
     v, row = _matrix(pa.array([bytes(r["v"]) for r in true], pa.binary())), np.array([of[r["query_id"]] for r in true])
-    need = np.full(len(v), len(sets))
-    for t in range(TABLES):
-        keys, at = index.probes(q, t, sets), bucket(index.place(v, False, t)[0])
-        hit = keys[row] == at[:, None]
-        need = np.minimum(need, np.where(hit.any(1), hit.argmax(1), len(sets)))
-    need.sort()
-    return index, sets[:min(len(sets), int(need[int(np.ceil(TARGET * len(need))) - 1]) + 1)]
+    at_least = int(np.ceil(TARGET * len(v))) - 1
+    while True:
+        need = np.full(len(v), len(sets))
+        for t in range(TABLES):
+            keys, at = index.probes(q, t, sets), bucket(index.place(v, False, t)[0])
+            hit = keys[row] == at[:, None]
+            need = np.minimum(need, np.where(hit.any(1), hit.argmax(1), len(sets)))
+        need.sort()
+        if need[at_least] < len(sets):
+            return index, sets[:int(need[at_least]) + 1]
+        # too many neighbours lie beyond the next buckets: wider ones
+        index = Index(dim, norm, index.width * 1.3)
 
 
 def search(df: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
