@@ -10,13 +10,16 @@ lines keeps its first occurrence.  Method:
   the indexes of the lengths l - tau .. l with those substrings only;
 * the join on the key keeps a pair if the parities of its character counts
   differ in 2 * tau of 64 classes at most (an edit changes two at most);
+* first the lines of a key meet only its leader, the line with the most
+  copies; then the pairs of a key that still lie in different components meet;
 * the texts of the remaining pairs are compared with a banded bit-parallel
   edit distance;
 * connected components over distinct lines give the classes.
 
 Exact copies are one distinct line, so a line that a third of all documents
-share is indexed once.  A segment that very many different lines share makes a
-skewed join key, which the adaptive join splits.
+share is indexed once, and a line of which there are very many variants costs
+about their number, not its square.  A segment that very many different lines
+share makes a skewed join key, which the adaptive join splits.
 """
 from __future__ import annotations
 
@@ -105,7 +108,8 @@ def _segment(length: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarr
 
 def segment_keys(lines: list[str], tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(index keys, probe keys, probe validity, parity signature) of lines of
-    more than tau characters; one row a line."""
+    more than tau characters; one row a line.  A line also probes its own index
+    keys; these are not repeated among the probe keys."""
     size = np.array([len(x) for x in lines], np.int64)
     cp = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -126,9 +130,12 @@ def segment_keys(lines: list[str], tau: int) -> tuple[np.ndarray, np.ndarray, np
             length = size - diff
             for i in range(tau + 1):
                 start, seg = _segment(length, i, tau)
+                # the positions that a line with tau edits leaves possible
                 lo = max(-i, diff - (tau - i))
                 hi = min(i, diff + (tau - i))
                 for move in range(lo, hi + 1):
+                    if diff == move == 0:
+                        continue
                     p = start + move
                     ok = (p >= 0) & (p + seg <= size)
                     probe.append(key(at + np.where(ok, p, 0), seg, length, i))
@@ -160,19 +167,28 @@ def _keys(tau: int, min_chars: int):
         seen = set()  # lines that this task has sent; at most its lines
         for b in batches:
             for lines in _text_lines(b.column("text")):
-                keys, strs = [], []
+                keys, strs, copies = [], [], {}
                 for x in lines:
                     if len(x) < min_chars or len(s := x.decode("utf-8", "replace")) < min_chars or not s.strip():
                         continue
-                    if (k := _line_key(x)) not in seen:
+                    k = _line_key(x)
+                    copies[k] = copies.get(k, 0) + 1
+                    if k not in seen:
                         seen.add(k)
                         keys.append(k)
                         strs.append(s)
                 if strs:
                     index, probe, ok, sig = segment_keys(strs, tau)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.binary()), pa.array(sig.view(np.int64)), _lists(index), _lists(probe, ok)],
-                        ["line", "sig", "index", "probe"])
+                        [pa.array(keys, pa.binary()), pa.array([copies.pop(k) for k in keys], pa.int64()),
+                         pa.array(sig.view(np.int64)), _lists(index), _lists(probe, ok)],
+                        ["line", "copies", "sig", "index", "probe"])
+                if copies:  # lines that this task has sent before
+                    none = pa.array([None] * len(copies), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(list(copies), pa.binary()), pa.array(list(copies.values()), pa.int64()),
+                         pa.array([None] * len(copies), pa.int64()), none, none],
+                        ["line", "copies", "sig", "index", "probe"])
     return run
 
 
@@ -202,6 +218,21 @@ def _near(tau: int):
     return run
 
 
+def _verified(spark, d: DataFrame, keys: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
+    """The pairs (a, b) whose lines are within tau edits."""
+    wanted = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+                   .join(keys.select("id", "line"), "id"), "wanted-lines")
+    slot = F.conv(F.substring(F.hex("line"), 1, 8), 16, 10).cast("long") % SLOTS
+    slots = np.zeros(SLOTS, np.uint8)
+    slots[wanted.select(slot.cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()] = 1
+    slots = spark.sparkContext.broadcast(slots)
+    texts = saved(d.select("text").mapInArrow(_texts(slots), "line binary, s string").dropDuplicates(["line"])
+                  .join(wanted, "line").select("id", "s"), "line-texts")
+    return (pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+            .select("a", "b", "sa", "sb").mapInArrow(_near(tau), "a long, b long"))
+
+
 def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row a line: doc_id, key (content key of the document's text),
     line_no (from 0), first_doc, first_key, first_line (the first occurrence of
@@ -221,24 +252,41 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
            .select("doc_id", "key", "line_no", F.unhex(F.md5("s")).alias("line"),
                    ((F.length("s") >= min_chars) & (F.length(F.trim("s")) > 0)).alias("long")))
     occ = saved(occ, "occurrences")
-    keys = d.select("text").mapInArrow(_keys(tau, min_chars), "line binary, sig long, index array<long>, probe array<long>")
-    keys = saved(keys.dropDuplicates(["line"]).withColumn("id", F.monotonically_increasing_id()), "line-keys")
-    index = keys.select("id", "sig", F.explode("index").alias("k"))
-    probe = keys.select(F.col("id").alias("id2"), F.col("sig").alias("sig2"), F.explode("probe").alias("k"))
-    pairs = (probe.join(index, "k").where("id <> id2").where(F.bit_count(F.col("sig").bitwiseXOR(F.col("sig2"))) <= 2 * tau)
-             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    pairs = saved(pairs, "line-pairs")
-    wanted = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-                   .join(keys.select("id", "line"), "id"), "wanted-lines")
-    slot = F.conv(F.substring(F.hex("line"), 1, 8), 16, 10).cast("long") % SLOTS
-    slots = np.zeros(SLOTS, np.uint8)
-    slots[wanted.select(slot.cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()] = 1
-    slots = spark.sparkContext.broadcast(slots)
-    texts = saved(d.select("text").mapInArrow(_texts(slots), "line binary, s string").dropDuplicates(["line"])
-                  .join(wanted, "line").select("id", "s"), "line-texts")
-    links = (pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-             .join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-             .select("a", "b", "sa", "sb").mapInArrow(_near(tau), "a long, b long"))
+    keys = d.select("text").mapInArrow(_keys(tau, min_chars), "line binary, copies long, sig long, index array<long>, probe array<long>")
+    keys = saved(keys.groupBy("line").agg(F.sum("copies").alias("copies"), *[F.first(c, ignorenulls=True).alias(c) for c in ("sig", "index", "probe")])
+                 .withColumn("id", F.monotonically_increasing_id()), "line-keys")
+    near = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig2"))) <= 2 * tau
+
+    def pair(x):
+        return x.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+    # the leader of each key, and the other lines that have or probe it
+    own = keys.select("id", "sig", "copies", F.explode("index").alias("k"))
+    leaders = own.groupBy("k").agg(F.min_by(F.struct("id", "sig"), F.struct(-F.col("copies"), "id")).alias("l"))
+    every = keys.select("id", "sig", F.lit(True).alias("own"), F.explode("index").alias("k")).unionByName(
+        keys.select("id", "sig", F.lit(False).alias("own"), F.explode("probe").alias("k")))
+    met = (every.join(leaders, "k").where("id <> l.id")
+           .select("k", "id", "sig", "own", F.col("l.id").alias("id2"), F.col("l.sig").alias("sig2")))
+    met = saved(met, "line-keys-met")
+    # first each line meets one leader, that of most of its keys
+    one = (met.where(near).groupBy("id", "id2").agg(F.count("*").alias("keys"))
+           .groupBy("id").agg(F.max_by("id2", F.struct("keys", "id2")).alias("id2")))
+    pairs = saved(pair(one), "line-pairs")
+    links = saved(_verified(spark, d, keys, pairs, tau), "line-links")
+    label = saved(components(links), "line-labels").withColumnRenamed("node", "id")
+    # then what is still apart
+    met = met.join(label, "id", "left").join(label.select(F.col("id").alias("id2"), F.col("label").alias("label2")), "id2", "left")
+    met = saved(met.withColumns({"label": F.coalesce("label", "id"), "label2": F.coalesce("label2", "id2")}), "line-keys-apart")
+    apart = met.groupBy("k").agg(F.min(F.least("label", "label2")).alias("x"), F.max(F.greatest("label", "label2")).alias("y")).where("x < y").select("k")
+    rest = saved(met.join(apart, "k"), "line-rest")
+    other = rest.where("own").select(F.col("k").alias("k2"), F.col("id").alias("id3"), F.col("sig").alias("sig3"), F.col("label").alias("label3"))
+    among = (rest.join(other, (F.col("k") == F.col("k2")) & (F.col("label") != F.col("label3"))
+                       & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig3"))) <= 2 * tau))
+             .select("id", F.col("id3").alias("id2")))
+    more = pair(rest.where("label <> label2").where(near).select("id", "id2").unionByName(among)).join(pairs, ["a", "b"], "left_anti")
+    more = saved(more, "line-pairs")
+    if more.take(1):
+        links = links.unionByName(saved(_verified(spark, d, keys, more, tau), "line-links"))
     labels = saved(components(links), "line-labels")
     first = F.min(F.struct("doc_id", "key", "line_no"))
     # the class of a line that has links, by the line

@@ -76,13 +76,13 @@ def mix_sized(d: DataFrame, seed: str = "mix", cap: int = 3,
     order = [F.col("source").asc_nulls_last(), F.col("__key").asc(), F.col("doc_id").asc(), F.col("size").asc()]
     d = prefix_sum(d, order, {"size": "__run"}, name="mix")
     s = saved(source_targets(d.select("source", "size"), cap, weights), "targets")
-    s = small_or_plain(s.withColumnRenamed("source", "__source"), SOURCE_ROW_BYTES)
+    s = small_or_plain(s.withColumnsRenamed({"source": "__source", "start": "__start"}), SOURCE_ROW_BYTES)
     d = d.join(s, F.col("source").eqNullSafe(F.col("__source")))
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.coalesce(F.floor(budget / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
-    left = budget - epochs * F.col("source_size") - (F.col("__run") - F.col("start"))
+    left = budget - epochs * F.col("source_size") - (F.col("__run") - F.col("__start"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return d.withColumn("taken", taken.cast("long")).drop("__key", "__run", "__source", "start")
+    return d.withColumn("taken", taken.cast("long")).drop("__key", "__run", "__source", "__start")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

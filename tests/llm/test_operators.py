@@ -224,8 +224,8 @@ def test_segment_keys_meet():
         b = mutate(r, a, r.randint(0, tau), "ab")
         s, t = sorted((a, b), key=len)
         index, _, _, p = lines.segment_keys([s], tau)
-        _, probe, ok, q = lines.segment_keys([t], tau)
-        assert set(index[0]) & set(probe[0][ok[0]])
+        own, probe, ok, q = lines.segment_keys([t], tau)
+        assert set(index[0]) & {*own[0], *probe[0][ok[0]]}
         assert bin(int(p[0]) ^ int(q[0])).count("1") <= 2 * tau
 
 
