@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .nulls import ColOrName, col, flag, in_set
+from .nulls import ColOrName, col, flag
 
 # --- fixed values: the eight base-state codes (3rd, 2nd, 1st; '_' = empty)
 BASE_STATES = ["___", "__1", "_2_", "3__", "_21", "32_", "3_1", "321"]
-# states with a runner on first, and states with a runner on third
-RUNNER_ON_FIRST = ["__1", "_21", "3_1", "321"]
-RUNNER_ON_THIRD = ["3__", "3_1", "32_", "321"]
+
+
+def runner_on(state: ColOrName, base: int) -> Column:
+    """Whether the code has a runner on ``base``; an unknown state has none."""
+    return F.coalesce(F.substring(col(state), 4 - base, 1) == str(base), F.lit(False))
 
 
 def base_state(on_1b: ColOrName, on_2b: ColOrName, on_3b: ColOrName) -> Column:
@@ -67,14 +69,10 @@ def score_context(bat_score: ColOrName, fld_score: ColOrName,
 def tying_run_flag(score_diff: ColOrName, state: ColOrName) -> Column:
     """1 when the tying or winning run is at bat or on base.
 
-    The fielding side's lead must be between 0 and runners on + 1; a lead
-    above 4 is never tying.  An unknown state counts as not tying.
+    The fielding side's lead must be between 0 and what one plate appearance
+    can score.  An unknown state or lead counts as not tying.
     """
-    d = col(score_diff)
-    limit = max_runs_possible(state)
-    return (F.when(d > 4, 0)
-             .when(col(state).isNotNull() & (d >= 0) & (d <= limit), 1)
-             .otherwise(0))
+    return F.coalesce(col(score_diff).between(0, max_runs_possible(state)), F.lit(False)).cast("int")
 
 
 def walkoff_flag(half: ColOrName, inning: ColOrName, tying: ColOrName,
@@ -86,9 +84,9 @@ def walkoff_flag(half: ColOrName, inning: ColOrName, tying: ColOrName,
 
 def gidp_flag(state: ColOrName, outs: ColOrName) -> Column:
     """Double play possible: runner on first and fewer than two outs."""
-    return flag(in_set(state, RUNNER_ON_FIRST) & (col(outs) < 2))
+    return flag(runner_on(state, 1) & (col(outs) < 2))
 
 
 def sac_fly_flag(state: ColOrName, outs: ColOrName) -> Column:
     """Sacrifice fly possible: runner on third and fewer than two outs."""
-    return flag(in_set(state, RUNNER_ON_THIRD) & (col(outs) < 2))
+    return flag(runner_on(state, 3) & (col(outs) < 2))

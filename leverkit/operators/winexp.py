@@ -83,27 +83,25 @@ def attach_game_context(pitches: DataFrame, game: str, half: str, order: Sequenc
 def delta_win_expectancy(pa: DataFrame, game: str, half: str, at_bat: str, we: str,
                          post_bat: str, post_fld: str, des: str,
                          pattern: str = "balk", name: str = "new_delta_win_exp") -> DataFrame:
-    """Change in the fielding side's win expectancy over each plate appearance.
+    """Change in the fielding side's win expectancy over each plate appearance:
+    what the expectancy becomes, less what it was.
 
-    Inside a (game, half): next PA's WE - this WE.  On the game's last PA:
-    1 - WE if the fielding side is ahead after the play, 0 - WE if behind
-    or the description contains ``pattern``.  Any other PA without a next
-    PA in its half: (1 - next PA's WE in the game) - WE.
+    It becomes the next PA's in the same half; after the half's last PA, the
+    complement of the game's next PA (the other side is fielding); after the
+    game's last PA, the result: 1 for a lead of the fielding side, 0 for a
+    deficit or if the description has ``pattern``.
     """
     # one probe on the game settles the (game, half) groups too
     light = not has_heavy_groups(pa, [game])
     x = lead_in_group(pa, [game, half], [at_bat], [we], prefix="_nh_", assume_light=light)
     x = lead_in_group(x, [game], [at_bat], [we], prefix="_ng_",
-                      group_aggs={"_maxab": F.max(at_bat)}, assume_light=light)
-    d = F.col(f"_nh_{we}") - F.col(we)
-    last = F.col(at_bat) == F.col("_maxab")
-    out = (F.when(last & (F.col(post_fld) > F.col(post_bat)), 1 - F.col(we))
-            .when(last & (F.col(post_fld) < F.col(post_bat)), 0 - F.col(we))
-            .when(last & F.col(des).contains(pattern), 0 - F.col(we))
-            .when((F.col(at_bat) != F.col("_maxab")) & d.isNull(),
-                  (1 - F.col(f"_ng_{we}")) - F.col(we))
-            .otherwise(d))
-    return x.withColumn(name, out).drop(f"_nh_{we}", f"_ng_{we}", "_maxab")
+                      group_aggs={"_end": F.max(at_bat)}, assume_light=light)
+    over = F.col(at_bat) == F.col("_end")
+    lost = (F.col(post_fld) < F.col(post_bat)) | F.col(des).contains(pattern)
+    result = F.when(F.col(post_fld) > F.col(post_bat), F.lit(1.0)).when(lost, F.lit(0.0))
+    becomes = F.coalesce(F.when(over, result), F.col(f"_nh_{we}"),
+                         F.when(~over, 1 - F.col(f"_ng_{we}")))
+    return x.withColumn(name, becomes - F.col(we)).drop(f"_nh_{we}", f"_ng_{we}", "_end")
 
 
 def leverage_index(df: DataFrame, swing: str, name: str = "leverage") -> DataFrame:
@@ -129,13 +127,13 @@ def leverage_credit(pa: DataFrame, game: str, at_bat: str, pitch: str, half: str
                     margin: str = "batting", name: str = "LI_diff") -> DataFrame:
     """Leverage-weighted credit of each plate appearance (``LI_diff``).
 
-    Run expectancy is clamped first.  With a next PA (same ``scope``):
-    score margin unchanged -> (L - L_next) * (max_runs - xr); changed ->
-    -|(L - L_next) * xr|.  On the scope's last PA: home win in the 9th or
-    later while home fields -> L * (max_runs - xr); likewise for the
-    visitors; visitors fielding as the home side wins -> -|L * xr|.  Two
-    close-game end-of-half branches (8th for visitors, 9th+ for home) use
-    (L - L_next) * (max_runs - xr).  Otherwise NULL.
+    Run expectancy is clamped first.  The leverage that a PA ends, L less the
+    next PA's (0 at the scope's last PA), is credited times (max_runs - xr)
+    if the score held and charged times xr if not.  Before the scope's last PA
+    the score held if the margin is the next PA's; where that is unknown, the
+    last PA of a side in a close late game counts as held.  The last PA, in the
+    9th or later, held if the fielding side won; the visitors are charged if
+    the home side won.  Otherwise NULL.
 
     ``scope='game'`` evaluates next-PA and last-PA inside each game;
     ``scope='table'`` reproduces the ungrouped original, where the next PA
@@ -176,25 +174,22 @@ def leverage_credit(pa: DataFrame, game: str, at_bat: str, pitch: str, half: str
         x = x.withColumns(tot)
     else:
         raise ValueError("scope must be 'game' or 'table'")
-    L, Ln = F.col(leverage), F.col(f"_n_{leverage}")
-    mx, xrc = F.col("_mx"), F.col("_xr")
-    ab = F.col(at_bat)
-    last = ab == F.col("_maxab")
-    not_last = ab != F.col("_maxab")
-    same = F.col("_margin") == F.col("_n__margin")
-    diff = F.col("_margin") != F.col("_n__margin")
-    inn = F.col(inning)
-    close = F.abs(F.col(bat_score_diff)) < 3
-    ph, pw = F.col(post_home), F.col(post_away)
-    credit = (F.when(same & not_last, (L - Ln) * (mx - xrc))
-               .when(diff & not_last, -F.abs((L - Ln) * xrc))
-               .when((ph > pw) & last & (inn >= 9) & (F.col("_home") == 1), (L - 0) * (mx - xrc))
-               .when((ab == F.col("_maxab_h")) & (F.col("_maxab_h") < F.col("_maxab"))
-                     & (inn >= 9) & (F.col("_home") == 1) & close, (L - Ln) * (mx - xrc))
-               .when((ab == F.col("_maxab_a")) & (F.col("_maxab_a") < F.col("_maxab"))
-                     & (inn == 8) & (F.col("_home") == 0) & close, (L - Ln) * (mx - xrc))
-               .when((pw > ph) & last & (inn >= 9) & (F.col("_home") == 0), (L - 0) * (mx - xrc))
-               .when((ph > pw) & last & (inn >= 9) & (F.col("_home") == 0), -F.abs((0 - L) * xrc)))
+    ends = F.col(at_bat) == F.col("_maxab")
+    fields_home = F.col("_home") == 1
+    home_won = F.when(F.col(post_home) != F.col(post_away), F.col(post_home) > F.col(post_away))
+    # a side's last PA in the field: the 9th or later at home, the 8th away
+    side_end = F.when(fields_home, F.col("_maxab_h")).otherwise(F.col("_maxab_a"))
+    late = F.when(fields_home, F.col(inning) >= 9).otherwise(F.col(inning) == 8)
+    closing = ((F.col(at_bat) == side_end) & (side_end < F.col("_maxab")) & late
+               & (F.abs(F.col(bat_score_diff)) < 3))
+    # True: the score held and the PA is credited; False: it is charged
+    held = (F.when(~ends, F.coalesce(F.col("_margin") == F.col("_n__margin"), F.when(closing, True)))
+             .when(ends & (F.col(inning) >= 9),
+                   F.when(home_won == fields_home, True).when(home_won, False)))
+    # visitors who win while the home side fields get nothing
+    drop = F.col(leverage) - F.when(ends, F.lit(0.0)).otherwise(F.col(f"_n_{leverage}"))
+    credit = (F.when(held, drop * (F.col("_mx") - F.col("_xr")))
+               .when(~held, -F.abs(drop * F.col("_xr"))))
     out = x.withColumn(name, credit).withColumn("run_expectancy_clamped", F.col("_xr"))
     return out.drop("_home", "_mx", "_xr", "_margin", "_n__margin", f"_n_{leverage}",
                     "_maxab", "_maxab_h", "_maxab_a")
@@ -238,10 +233,4 @@ def season_leverage_total(df: DataFrame, entity: str, name_col: str, season: str
     return row_number_in_group(g, [season], ["_neg", tb], "rank").drop("_neg")
 
 
-def rank_in_season(df: DataFrame, season: str, metric: str, tiebreak: str,
-                   name: str = "rank") -> DataFrame:
-    x = df.withColumn("_neg", -F.col(metric))
-    return row_number_in_group(x, [season], ["_neg", tiebreak], name).drop("_neg")
-
-
 __all__ = [n for n in dir() if not n.startswith("_")]
