@@ -11,6 +11,7 @@ from ..functions.nulls import count_if, in_set, strict_sum
 from ..functions.zones import ZONES
 from ..plans.ordered import lead_in_group, row_number_in_group
 from ..session import materialize
+from .verbs import join_keys_null_safe
 
 # --- fixed values: event and batted-ball names counted per appearance
 STRIKEOUT_EVENTS = ["strikeout", "strikeout_double_play"]
@@ -194,8 +195,8 @@ def appearance_table(pitches: DataFrame, pa: DataFrame, spine: DataFrame,
         exact = entry_pitch_count(pitches, game, pitcher, inning, order, exact=True)
         pitch_level = pitch_level.drop("pitch_number_appearance").join(exact, keys, "left")
     pitch_level = pitch_level.drop("_first", "_last")
-    allk = pa_level.join(pitch_level, keys, "left")
-    out = spine.select(*keys).distinct().join(allk, keys, "left")
+    allk = join_keys_null_safe(pa_level, pitch_level, keys, "left")
+    out = join_keys_null_safe(spine.select(*keys).distinct(), allk, keys, "left")
     if "avg_exit_velocity" in out.columns:
         out = out.withColumn("avg_exit_velocity", F.coalesce("avg_exit_velocity", F.lit(0.0)))
     return out

@@ -5,19 +5,22 @@ stratified split, a parameter grid fitted on the training part, the
 validation loss read for every boosting round, the best (parameters, round)
 kept, and a refit on all rows with those settings.  Scoring is
 ``PipelineModel.transform`` on the same feature function, so imputation
-means and the one-hot levels are fitted once and reused.  Grid points are
-independent distributed jobs submitted from a small driver thread pool.
+means are fitted once and reused; the one-hot level that is left out is found
+once (``modal_state``), kept in ``FitResult.context`` and saved with the model.
+Grid points are independent distributed jobs submitted from a small driver
+thread pool.
 """
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -28,10 +31,22 @@ from ..functions.nulls import flag
 from ..functions.zones import ZONES
 from .verbs import one_hot, stratified_split
 
-# --- fixed values: the published tuning grids and best settings
-WIN_GRID = dict(max_depth=[3, 4, 6, 8], weight=[1, 4, 8, 12, 16], subsample=[0.5, 0.75, 1.0])
-RUNS_STATE_GRID = dict(max_depth=[2, 3, 4, 6, 8], weight=[12, 16, 20, 24],
-                       subsample=[0.5, 0.75, 1.0])
+# --- fixed values: the published tuning grids (60 points each), learning
+# rates while tuning, round ceilings, patience, and the best settings
+_WEIGHTS, _SUBSAMPLES = [1, 4, 8, 12, 16], [0.5, 0.75, 1.0]
+WIN_GRID = dict(max_depth=[3, 4, 6, 8], weight=_WEIGHTS, subsample=_SUBSAMPLES)
+RUN_EXP_GRID = dict(max_depth=[3, 4, 6, 8], weight=_WEIGHTS, subsample=_SUBSAMPLES)
+SWING_GRID = dict(max_depth=[3, 4, 6, 8], weight=_WEIGHTS, subsample=_SUBSAMPLES)
+RUNS_STATLINE_GRID = dict(max_depth=[3, 4, 6, 8], weight=_WEIGHTS, subsample=_SUBSAMPLES)
+RUNS_STATE_GRID = dict(max_depth=[2, 3, 4, 6, 8], weight=[12, 16, 20, 24], subsample=_SUBSAMPLES)
+TUNING = {
+    "win": dict(grid=WIN_GRID, fixed=dict(eta=0.3), max_rounds=1000),
+    "run_exp": dict(grid=RUN_EXP_GRID, fixed=dict(eta=0.3), max_rounds=1000),
+    "runs_state": dict(grid=RUNS_STATE_GRID, fixed=dict(eta=0.05), max_rounds=1000),
+    "runs_statline": dict(grid=RUNS_STATLINE_GRID, fixed=dict(eta=0.05), max_rounds=5000),
+    "swing": dict(grid=SWING_GRID, fixed=dict(eta=0.5), max_rounds=500),
+}
+PATIENCE = 50
 WIN_BEST = dict(max_depth=4, weight=12, subsample=1.0, eta=0.3)
 RUN_EXP_BEST = dict(max_depth=6, weight=4, subsample=1.0, eta=0.3)
 RUNS_STATE_BEST = dict(max_depth=3, weight=20, subsample=0.5, eta=0.05, rounds=241)
@@ -49,15 +64,37 @@ class FitResult:
     rounds: int
     metric: float | None
     grid: list[dict] = field(default_factory=list)
+    #: held-out loss of the best constant of the training rows
+    constant: float | None = None
+    #: what scoring needs besides the pipeline, e.g. the left-out one-hot level
+    context: dict[str, str] = field(default_factory=dict)
+
+
+def save_fit(fit: FitResult, path: str):
+    """Pipeline under ``path/pipeline``, context as one row under ``path/context``."""
+    from pyspark.sql import SparkSession
+    fit.model.write().overwrite().save(f"{path}/pipeline")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(fit.context,)], "context map<string,string>").write.mode("overwrite").parquet(f"{path}/context")
+
+
+def load_fit(path: str) -> tuple[PipelineModel, dict[str, str]]:
+    """(pipeline, context) of ``save_fit``."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    return PipelineModel.load(f"{path}/pipeline"), dict(spark.read.parquet(f"{path}/context").first()["context"])
 
 
 def _stages(features: Sequence[str], nullable: Sequence[str], est):
     stages = []
     imp = [c for c in features if c in nullable]
     if imp:
+        # a mean is not a measurement: say which values were missing
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
+            f"CAST(`{c}` IS NULL OR isnan(`{c}`) AS DOUBLE) AS `{c}__na`" for c in imp) + " FROM __THIS__"))
         stages.append(Imputer(strategy="mean", inputCols=imp,
                               outputCols=[f"{c}__imp" for c in imp]))
-    cols = [f"{c}__imp" if c in imp else c for c in features]
+    cols = [f"{c}__imp" if c in imp else c for c in features] + [f"{c}__na" for c in imp]
     stages.append(VectorAssembler(inputCols=cols, outputCol="features"))
     stages.append(est)
     return stages
@@ -76,21 +113,53 @@ def _estimator(kind: str, label: str, p: dict, rounds: int, seed: int):
     return GBTRegressor(minInstancesPerNode=max(1, w), lossType="squared", **common)
 
 
+def _losses(model: PipelineModel, valid: DataFrame, kind: str) -> list[float]:
+    """Held-out loss after every round, in one pass."""
+    gbt = model.stages[-1]
+    x = PipelineModel(stages=model.stages[:-1]).transform(valid)
+    return gbt.evaluateEachIteration(x) if kind == "classifier" else gbt.evaluateEachIteration(x, "squared")
+
+
+def _constant_loss(train: DataFrame, valid: DataFrame, label: str, kind: str) -> float | None:
+    """Held-out loss of the training mean: squared error, or twice the log loss
+    (the loss that boosting reports for labels of -1 and 1)."""
+    m = train.agg(F.avg(label)).first()[0]
+    if m is None:
+        return None
+    if kind == "classifier":
+        m = min(max(m, 1e-9), 1 - 1e-9)
+        loss = -2 * (F.col(label) * math.log(m) + (1 - F.col(label)) * math.log(1 - m))
+    else:
+        loss = (F.col(label) - m) ** 2
+    return valid.agg(F.avg(loss)).first()[0]
+
+
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, kind: str = "regressor",
-            grid: dict | None = None, fixed: dict | None = None, max_rounds: int = 50,
-            prop: float = 0.75, strata: str | None = None, numeric_strata_bins: int | None = 4,
-            key: Sequence[str] | None = None, seed: int = 101, parallelism: int = 4,
-            nullable: Sequence[str] = ()) -> FitResult:
+            grid: dict | None = None, fixed: dict | None = None, max_rounds: int = 1000,
+            patience: int = PATIENCE, prop: float = 0.75, strata: str | None = None,
+            numeric_strata_bins: int | None = 4, key: Sequence[str] | None = None,
+            seed: int = 101, parallelism: int = 4, nullable: Sequence[str] = (),
+            context: dict[str, str] | None = None) -> FitResult:
     """Tune on a held-out split, then refit on all rows.
 
     ``grid`` maps max_depth / weight / subsample / eta to candidate lists;
-    without a grid the ``fixed`` settings are used and the round count is
-    ``fixed['rounds']`` or the validation argmin.
+    without a grid the ``fixed`` settings are used.  The rounds of a point are
+    those with the least held-out loss; boosting goes on until ``patience``
+    more rounds bring nothing better, ``max_rounds`` at most.  With
+    ``fixed['rounds']`` and no grid nothing is tuned, so nothing is fitted but
+    the model itself.
     """
-    from ..session import shared_dir
+    from ..session import materialize, shared_dir
     shared_dir(df.sparkSession)  # GBT checkpoints its state every 10 rounds there
-    data = df.where(F.col(label).isNotNull())
-    data = data.withColumn(label, F.col(label).cast("double"))
+    data = df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    fixed, context = dict(fixed or {}), dict(context or {})
+
+    def fit(p, rows, rounds):
+        return Pipeline(stages=_stages(features, nullable, _estimator(kind, label, p, rounds, seed))).fit(rows)
+
+    if "rounds" in fixed and not grid:
+        params = {k: v for k, v in fixed.items() if k != "rounds"}
+        return FitResult(fit(params, data, fixed["rounds"]), params, int(fixed["rounds"]), None, context=context)
     key = list(key) if key else []
     strata = strata or label
     if not key:
@@ -99,34 +168,30 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, kind: str = "reg
     bins = numeric_strata_bins if kind == "regressor" and strata == label else None
     # the split is read by every grid fit: written once to the shared
     # folder, so fits (and recovery from a lost executor) start from it
-    from ..session import materialize
     split = materialize(stratified_split(data, key, strata, prop, seed=seed, numeric_bins=bins))
     train = split.where("is_train = 1")
     valid = split.where("is_train = 0")
-    fixed = dict(fixed or {})
     points = [dict(zip(grid, v)) for v in itertools.product(*grid.values())] if grid else [{}]
 
     def run(p):
         q = {**fixed, **p}
-        est = _estimator(kind, label, q, max_rounds, seed)
-        pm = Pipeline(stages=_stages(features, nullable, est)).fit(train)
-        gbt = pm.stages[-1]
-        vt = PipelineModel(stages=pm.stages[:-1]).transform(valid)
-        if kind == "classifier":
-            losses = gbt.evaluateEachIteration(vt)
-        else:
-            losses = gbt.evaluateEachIteration(vt, "squared")
-        best = min(range(len(losses)), key=lambda i: (losses[i], i))
-        return {**q, "rounds": best + 1, "metric": float(losses[best])}
+        rounds = min(max_rounds, 2 * patience)
+        while True:
+            # the same seed grows the same first trees, so doubling only goes on
+            losses = _losses(fit(q, train, rounds), valid, kind)
+            best = min(range(len(losses)), key=lambda i: (losses[i], i))
+            if best + patience < rounds or rounds >= max_rounds:
+                return {**q, "rounds": best + 1, "metric": float(losses[best])}
+            rounds = min(max_rounds, 2 * rounds)
 
     with ThreadPoolExecutor(max(1, min(parallelism, len(points)))) as ex:
         results = list(ex.map(run, points))
     best = min(enumerate(results), key=lambda t: (t[1]["metric"], t[0]))[1]
     rounds = int(fixed.get("rounds", best["rounds"]))
     params = {k: v for k, v in best.items() if k not in ("rounds", "metric")}
-    est = _estimator(kind, label, params, rounds, seed)
-    model = Pipeline(stages=_stages(features, nullable, est)).fit(split.drop("_rowkey", "is_train"))
-    return FitResult(model, params, rounds, best["metric"], results)
+    model = fit(params, split.drop("_rowkey", "is_train"), rounds)
+    return FitResult(model, params, rounds, best["metric"], results,
+                     _constant_loss(train, valid, label, kind), context)
 
 
 def cross_fit_score(df: DataFrame, features: Sequence[str], label: str, name: str,
@@ -167,7 +232,7 @@ def score(model: PipelineModel, df: DataFrame, name: str, kind: str = "regressor
         pred = F.col("prediction")
     if floor is not None:
         pred = F.when(pred < 0, F.lit(floor)).otherwise(pred)
-    drop = [c for c in out.columns if c.endswith("__imp")] + ["features", "rawPrediction",
+    drop = [c for c in out.columns if c.endswith(("__imp", "__na"))] + ["features", "rawPrediction",
                                                              "probability", "prediction"]
     return out.withColumn(name, pred).drop(*[c for c in drop if c in out.columns])
 
@@ -182,18 +247,24 @@ def base_state_dummies(df: DataFrame, state: str, drop_level: str | None = None,
         [f"{prefix}{s}" for s in levels]
 
 
+def modal_state(df: DataFrame, state: str) -> str | None:
+    """The most frequent state: found on the training frame, kept with the model."""
+    from .verbs import modal_level
+    row = modal_level(df, state).first()
+    return row["_modal"] if row else None
+
+
 def win_expectancy_features(pa: DataFrame, half: str, rate: str, bat_score: str,
                             fld_score: str, inning: str, outs: str, state: str,
                             drop_level: str | None = "modal") -> tuple[DataFrame, list[str]]:
     """Context of a plate appearance for the win-probability model.
 
-    The base-state one-hot leaves out ``drop_level``; ``'modal'`` (default)
-    finds the most frequent state of this frame with one tiny aggregate.
+    The base-state one-hot leaves out ``drop_level``.  When scoring, pass the
+    level of the training frame (``FitResult.context``); ``'modal'`` finds that
+    of this frame.
     """
     if drop_level == "modal":
-        from .verbs import modal_level
-        row = modal_level(pa, state).first()
-        drop_level = row["_modal"] if row else None
+        drop_level = modal_state(pa, state)
     ctx = st.score_context(bat_score, fld_score, inning)
     x = pa.withColumns({"on_home_team": st.is_home_pitcher(half), "_rate": F.col(rate), **ctx})
     x = x.withColumn("tying_winning_run", st.tying_run_flag("pitcher_score_diff", state))

@@ -34,6 +34,15 @@ def stickiness(df: DataFrame, x: str, y: str) -> DataFrame:
                   F.corr(x, y).alias("r"))
 
 
+def slope_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n, slope of y on x, its standard error and t value, r2, over
+    the complete pairs; closed form from one aggregate."""
+    a = df.agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"),
+               F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"))
+    a = a.withColumn("se_slope", F.sqrt(F.try_divide(F.col("_syy") * (1 - F.col("r2")), (F.col("n") - 2) * F.col("_sxx"))))
+    return a.select("n", "slope", "se_slope", F.try_divide("slope", "se_slope").alias("t_slope"), "r2")
+
+
 def ols_summary(df: DataFrame, x: str, y: str) -> dict:
     """Slope, intercept, their standard errors, t and p values of y ~ x
     (complete pairs), fitted with MLlib's normal-equation solver."""

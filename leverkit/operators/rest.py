@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div, zsum
 from ..session import materialize
 from ..plans.ordered import lag_bounded
-from .verbs import (group_filter_not_min, having_group_total, pivot_fixed, scalar_aggs,
+from .verbs import (group_filter_not_min, pivot_fixed, scalar_aggs,
                     semi_by_values)
 
 # --- fixed values: rest labels for -1 .. 10 days of rest, in order
@@ -107,11 +107,11 @@ def entropy_of_shares(share_cols: Sequence[str]) -> Column:
 def shannon_entropy(df: DataFrame, entity: str, label: str,
                     name: str = "entropy") -> DataFrame:
     """Long form: entropy of the label distribution of each entity
-    (NULL labels ignored).  Two map-side-combined aggregates, no pivot."""
+    (NULL labels ignored; a NULL entity is an entity).  One map-side-combined
+    aggregate and a window over its few labels an entity, no pivot."""
     c = df.where(F.col(label).isNotNull()).groupBy(entity, label) \
           .agg(F.count(F.lit(1)).alias("_c"))
-    tot = c.groupBy(entity).agg(F.sum("_c").alias("_t"))
-    p = c.join(tot, entity).withColumn("_p", F.col("_c") / F.col("_t"))
+    p = c.withColumn("_p", F.col("_c") / F.sum("_c").over(Window.partitionBy(entity)))
     return p.groupBy(entity).agg((-F.sum(entropy_term(F.col("_p")))).alias(name))
 
 
@@ -172,7 +172,9 @@ def rest_bucket_performance(apps: DataFrame, rest: DataFrame, entity: str, game:
                        "xrapo": safe_div("_sx", "outs_made") * 3})
     g = g.withColumns({"rapo_app": F.col("rapo") / F.col("appearances"),
                        "xrapo_app": F.col("xrapo") / F.col("appearances")}).drop("_sr", "_sx")
-    return having_group_total(g, [entity], "appearances", min_total)
+    # at most one row a rest value and entity, so the total is a window
+    g = g.withColumn("_tot", F.sum("appearances").over(Window.partitionBy(entity)))
+    return g.where(F.col("_tot") > min_total).drop("_tot")
 
 
 def rest_bucket_slices(perf: DataFrame, days: str = "days_of_rest") -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import finite, safe_div, strict_sum
 from ..plans.ordered import exact_quantiles
 from .verbs import center as center_cols
+from .verbs import join_keys_null_safe
 
 
 def runs_saved(df: DataFrame, runs_bs: str, runs_allowed: str, exp_runs: str,
@@ -54,9 +55,10 @@ def season_runs_saved(df: DataFrame, entity: str, game: str, season: str, outs:
 def trim_open_quantiles(df: DataFrame, by: Sequence[str], value: str,
                         lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Keep rows strictly inside the (lo, hi) type-7 quantiles of ``value``
-    within each group (a group of one row, or of equal values, vanishes)."""
+    within each group (a group of one row, or of equal values, vanishes); a
+    NULL key is a group."""
     q = exact_quantiles(df, list(by), value, {"_qlo": lo, "_qhi": hi})
-    return (df.join(q, list(by), "left")
+    return (join_keys_null_safe(df, q, list(by), "left")
               .where((F.col(value) < F.col("_qhi")) & (F.col(value) > F.col("_qlo")))
               .drop("_qlo", "_qhi"))
 

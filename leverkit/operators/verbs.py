@@ -54,17 +54,7 @@ def join_keys_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     for k in keys:
         c = left[k].eqNullSafe(r[f"_rk_{k}"])
         cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
-
-
-def attach_group_agg(df: DataFrame, by: Sequence[str], aggs: dict[str, Column],
-                     broadcast_small: bool = False) -> DataFrame:
-    """Broadcast a per-group aggregate to every row of the group
-    (``mutate(m = max(x))`` inside ``group_by``) as aggregate + join."""
-    g = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
-    if broadcast_small:
-        g = F.broadcast(g)
-    return join_keys_null_safe(df, g, list(by), "left")
+    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])  # absent after a semi-join
 
 
 def group_filter_not_min(df: DataFrame, by: Sequence[str], col: str,
@@ -88,10 +78,10 @@ def group_filter_not_min(df: DataFrame, by: Sequence[str], col: str,
 def having_group_total(df: DataFrame, by: Sequence[str], col: str,
                        greater_than: float) -> DataFrame:
     """Keep groups whose total of ``col`` exceeds a threshold
-    (``group_by(g) %>% filter(sum(n) > k)``)."""
+    (``group_by(g) %>% filter(sum(n) > k)``); a NULL key is a group."""
     keep = (df.groupBy(*by).agg(F.sum(col).alias("_tot"))
               .where(F.col("_tot") > greater_than).select(*by))
-    return df.join(keep, list(by), "left_semi")
+    return join_keys_null_safe(df, keep, list(by), "left_semi")
 
 
 def center(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
@@ -203,8 +193,9 @@ def stratified_split(df: DataFrame, key: Sequence[str], strata: str, prop: float
     h = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     df = df.withColumn("_h", h)
     sizes = df.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_ns"))
-    ranked = row_number_in_group(df, ["_stratum"], ["_h"], "_rs")
-    out = ranked.join(sizes, ["_stratum"], "left") \
+    ranked = row_number_in_group(df, ["_stratum"], ["_h", *key], "_rs")
+    # a NULL stratum is a stratum
+    out = join_keys_null_safe(ranked, sizes, ["_stratum"], "left") \
                 .withColumn(flag, (F.col("_rs") <= F.floor(F.col("_ns") * prop)).cast("int"))
     return out.drop("_stratum", "_h", "_rs", "_ns")
 
@@ -223,11 +214,6 @@ def describe_quantiles(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
                          q[names[2]].alias(names[2]), f"{prefix}max", f"{prefix}n_null")
 
 
-def union_outings(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Row-bind by column name; columns missing on one side become NULL."""
-    return a.unionByName(b, allowMissingColumns=True)
-
-
 def semi_by_values(df: DataFrame, other: DataFrame, key: str,
                    other_key: str | None = None) -> DataFrame:
     """``filter(k %in% other$k)`` as a left-semi join (NULL never matches)."""

@@ -1,16 +1,18 @@
 """Ordered-window primitives that survive hot groups.
 
 A window ``partitionBy(g).orderBy(o)`` sends every row of one ``g`` to one
-task.  When a single group can hold a large share of the table that task
-never finishes, so the primitives here first count rows per group (a
-map-side-combined aggregate), and split every group above
-``max_group_rows`` into chunks of its first order column, using
-approximate quantiles of that column as chunk boundaries.  The window then
-runs per (group, chunk); the few values that cross a chunk boundary come
-from a small per-(heavy group, chunk) table.  Results are exact: the
-chunking only decides *where* rows are processed, never *which* rows.
-
-When no group is heavy the plain window is used (one exchange).
+task.  When a group can hold a large share of the table that task never
+finishes.  So the primitives first count rows per group (a map-side-combined
+aggregate).  While no group is above ``max_group_rows`` the plain window is
+used (one exchange).  Otherwise the whole table is range-partitioned on the
+group and all order columns and written to the shared folder: a hot group is
+then many ranges of about ``max_group_rows`` rows, whatever its order columns
+look like (one constant column, long common string prefixes, NULL groups and
+NULL order values included), as long as the order is total.  The window runs
+inside a range; the values that cross from one range to the next come from a
+table with one row per range.
+
+Results are exact: ranges only decide *where* rows are processed.
 """
 from __future__ import annotations
 
@@ -20,19 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 MAX_GROUP_ROWS_CONF = "leverkit.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
-# the per-(heavy group, chunk) tables are broadcast while they hold at most
-# this many values (heavy groups x chunks, ~32 MB of doubles); above it
-# they are joined with a shuffle instead
-BROADCAST_VALUES_LIMIT = 4_000_000
-# heavy-group keys are broadcast for the boundary sketch up to this count
-# (each heavy group has more than max_group_rows rows, so the count is at
-# most rows / max_group_rows)
-BROADCAST_KEYS_LIMIT = 1_000_000
-# chunks per heavy group: about two per ``max_group_rows`` rows, so a group
-# holding a third of 1e12 rows at the default limit gets ~65k chunks
-MAX_CHUNKS = 65_536
 
 
 def max_group_rows(df: DataFrame, override: int | None = None) -> int:
@@ -42,31 +35,6 @@ def max_group_rows(df: DataFrame, override: int | None = None) -> int:
     return int(v) if v else DEFAULT_MAX_GROUP_ROWS
 
 
-def _order_cols(order: Sequence) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in order]
-
-
-def _first_order_name(order: Sequence) -> str:
-    o = order[0]
-    if not isinstance(o, str):
-        raise ValueError("the first order column must be given by name")
-    return o
-
-
-def _chunk_key(df: DataFrame, name: str) -> Column:
-    t = dict(df.dtypes)[name]
-    c = F.col(name)
-    if t.startswith("timestamp"):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if t == "date":
-        return F.unix_date(c).cast("double")
-    if t == "string":
-        # first 6 bytes as a base-256 number: non-decreasing in string order
-        b = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(b, 16, 10).cast("double")
-    return c.cast("double")
-
-
 def has_heavy_groups(df: DataFrame, by: Sequence[str], max_rows: int | None = None) -> bool:
     """Whether any group of ``by`` holds more than the row limit.  No group
     of a finer key (``by`` plus more columns) can be heavy when this is
@@ -76,81 +44,69 @@ def has_heavy_groups(df: DataFrame, by: Sequence[str], max_rows: int | None = No
     return g.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).limit(1).count() > 0
 
 
-class _Chunking:
-    """Chunk assignment for the heavy groups of ``by`` (None when none)."""
-
-    def __init__(self, df: DataFrame, by: list[str], order: Sequence,
-                 limit: int, assume_light: bool = False):
-        self.by = by
-        self.key_name = _first_order_name(order)
-        if assume_light:
-            self.n_heavy, self.n_chunks, self.broadcast_ok = 0, 1, True
-            self.bounds = None
-            return
-        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        heavy = counts.where(F.col("_n") > limit)
-        stats = heavy.agg(F.count(F.lit(1)).alias("k"),
-                          F.max("_n").alias("m")).first()
-        self.n_heavy = int(stats["k"])
-        self.n_chunks = 1
-        self.broadcast_ok = True
-        if self.n_heavy == 0:
-            self.bounds = None
-            return
-        n_chunks = min(MAX_CHUNKS, 2 * math.ceil(int(stats["m"]) / limit))
-        self.n_chunks = n_chunks
-        self.broadcast_ok = self.n_heavy * n_chunks <= BROADCAST_VALUES_LIMIT
-        probs = [i / n_chunks for i in range(1, n_chunks)]
-        # sketch accuracy follows the chunk count (rank error ~ 1/accuracy)
-        accuracy = int(min(1_000_000, max(10_000, 20 * n_chunks)))
-        keys = heavy.select(*by)
-        if self.n_heavy <= BROADCAST_KEYS_LIMIT:
-            keys = F.broadcast(keys)
-        self.bounds = (df.join(keys, by, "left_semi")
-                         .groupBy(*by)
-                         .agg(F.percentile_approx(_chunk_key(df, self.key_name),
-                                                  probs, accuracy).alias("_bounds")))
-
-    def _small(self, d: DataFrame) -> DataFrame:
-        return F.broadcast(d) if self.broadcast_ok else d
-
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``_chunk`` (0 for light groups) and ``_heavy``.
-
-        The chunk is the number of boundaries <= the row's key, found by a
-        binary search: one ``aggregate`` over ~log2(chunks) steps, so a row
-        costs a few comparisons however many chunks its group has.  Rows of
-        light groups (no boundaries) skip it.
-        """
-        b = self._small(self.bounds)
-        key = _chunk_key(df, self.key_name)
-        steps = max(1, math.ceil(math.log2(self.n_chunks + 1)))
-
-        def step(acc, _):
-            lo, hi = acc["lo"], acc["hi"]
-            mid = F.floor((lo + hi) / 2).cast("int")
-            go = lo < hi
-            right = go & (F.element_at(F.col("_bounds"), mid + 1) <= F.col("_ck"))
-            return F.struct(F.when(right, mid + 1).otherwise(lo).alias("lo"),
-                            F.when(go & ~right, mid).otherwise(hi).alias("hi"))
-
-        search = F.aggregate(F.sequence(F.lit(1), F.lit(steps)),
-                             F.struct(F.lit(0).alias("lo"), F.size("_bounds").alias("hi")),
-                             step, lambda acc: acc["lo"])
-        out = df.join(b, self.by, "left").withColumn("_ck", key)
-        return (out.withColumn("_heavy", F.col("_bounds").isNotNull())
-                   .withColumn("_chunk", F.when(F.col("_bounds").isNull(), F.lit(0))
-                               .otherwise(search))
-                   .drop("_bounds", "_ck"))
-
-
-def _with_const_group(df: DataFrame, by: Sequence[str]):
-    if by:
-        return df, list(by), None
-    return df.withColumn("_g0", F.lit(0)), ["_g0"], "_g0"
-
-
-def lead_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
+class _Ranges:
+    """A table range-partitioned on (by, order) and written.
+
+    ``rows`` carries ``_p``, the number of a row's range; ``edges`` has one
+    row per range, in order: its first and last group, its rows of the last
+    group and, as ``_next``/``_prev``, the neighbouring ranges' values.
+    """
+
+    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int):
+        spark = df.sparkSession
+        shared_dir(spark)
+        self.by, self.order = list(by), list(order)
+        keys = [F.col(c).asc_nulls_first() for c in [*self.by, *self.order]]
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / limit))
+        # always written: the ranges come from a sample and must not be drawn twice
+        self.rows = (df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
+                       .checkpoint(eager=True))
+        self.window = Window.partitionBy("_p", *self.by).orderBy(*keys[len(self.by):])
+
+    def _group(self, cols=None) -> Column:
+        """The group as one comparable value (a struct is never NULL itself)."""
+        return F.struct(F.lit(0).alias("_"), *[F.col(c) for c in (cols or self.by)])
+
+    def place(self) -> Column:
+        return F.struct(F.lit(0).alias("_"), *[F.col(c) for c in [*self.by, *self.order]])
+
+    def is_last(self) -> Column:
+        """Whether a row is the last of its group in its range."""
+        return F.lead(F.lit(1)).over(self.window).isNull()
+
+    def next_first(self, cols: Sequence[str]) -> DataFrame:
+        """Per range: ``_g``, the group that the next range begins with, and
+        ``_nf``, the values of its first row."""
+        first = self.rows.groupBy("_p").agg(
+            F.min_by(F.struct(self._group().alias("g"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in cols]).alias("v")),
+                     self.place()).alias("f"))
+        w = Window.orderBy("_p")  # one row a range
+        return first.select("_p", F.lead("f").over(w).alias("f")).select("_p", F.col("f.g").alias("_g"), F.col("f.v").alias("_nf"))
+
+    def before(self, total: Column) -> DataFrame:
+        """Per range: ``_g``, its first group, and ``_before``, what ``total``
+        adds up to over that group's rows in earlier ranges."""
+        size = self.rows.groupBy("_p", *self.by).agg(total.alias("t")).withColumn("g", self._group())
+        ends = size.groupBy("_p").agg(F.min("g").alias("lo"), F.max(F.struct("g", "t")).alias("hi"))
+        run = F.sum("hi.t").over(Window.partitionBy("hi.g").orderBy("_p"))
+        ends = ends.withColumn("run", run)
+        w = Window.orderBy("_p")
+        return ends.select("_p", F.col("lo").alias("_g"), F.when(
+            F.lag("hi.g").over(w).eqNullSafe(F.col("lo")), F.lag("run").over(w)).alias("_before"))
+
+    def attach(self, df: DataFrame, edges: DataFrame) -> DataFrame:
+        # one row a range, as many as there are tasks
+        return df.join(F.broadcast(edges), "_p", "left")
+
+    def same_group(self) -> Column:
+        return self._group().eqNullSafe(F.col("_g"))
+
+
+def _heavy(df: DataFrame, by: Sequence[str], limit: int, assume_light: bool) -> bool:
+    return not assume_light and has_heavy_groups(df, by, limit)
+
+
+def lead_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str],
                   cols: Sequence[str], prefix: str = "next_",
                   max_rows: int | None = None,
                   last_flag: str | None = None,
@@ -167,42 +123,30 @@ def lead_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
     ``assume_light`` skips the probe when the caller has already shown no
     group can be heavy (see ``has_heavy_groups``).
     """
-    df, by, const = _with_const_group(df, by)
-    limit = max_group_rows(df, max_rows)
-    ch = _Chunking(df, by, order, limit, assume_light)
-    ocols = _order_cols(order)
-    if ch.bounds is None:
-        w = Window.partitionBy(*by).orderBy(*ocols)
+    by, limit = list(by), max_group_rows(df, max_rows)
+    if not _heavy(df, by, limit, assume_light):
+        w = Window.partitionBy(*by).orderBy(*order)
         out = df.withColumns({f"{prefix}{c}": F.lead(c).over(w) for c in cols})
         if last_flag:
             out = out.withColumn(last_flag, F.lead(F.lit(1)).over(w).isNull())
         if group_aggs:
             wg = Window.partitionBy(*by)
             out = out.withColumns({n: a.over(wg) for n, a in group_aggs.items()})
-        return out.drop(const) if const else out
-
-    dfc = ch.assign(df)
-    w = Window.partitionBy(*by, "_chunk").orderBy(*ocols)
-    dfc = dfc.withColumns({f"_w_{c}": F.lead(c).over(w) for c in cols}) \
-             .withColumn("_last_in_chunk", F.lead(F.lit(1)).over(w).isNull())
-    # first row of each chunk of the heavy groups, and the next chunk's first
-    firsts = (dfc.where("_heavy").groupBy(*by, "_chunk")
-                 .agg(F.min_by(F.struct(*[F.col(c) for c in cols]),
-                               F.struct(*ocols)).alias("_first")))
-    wc = Window.partitionBy(*by).orderBy("_chunk")
-    nxt = firsts.withColumn("_nf", F.lead("_first").over(wc)).drop("_first")
-    dfc = dfc.join(ch._small(nxt), [*by, "_chunk"], "left")
-    out = dfc.withColumns({
-        f"{prefix}{c}": F.when(F.col("_last_in_chunk"), F.col(f"_nf.{c}"))
-                         .otherwise(F.col(f"_w_{c}")) for c in cols})
+        return out
+    r = _Ranges(df, by, order, limit)
+    x = r.rows.withColumns({f"_w_{i}": F.lead(c).over(r.window) for i, c in enumerate(cols)} | {"_end": r.is_last()})
+    x = r.attach(x, r.next_first(cols)).withColumn("_cross", F.col("_end") & r.same_group())
+    out = x.withColumns({f"{prefix}{c}": F.when(F.col("_cross"), F.col("_nf")[c]).otherwise(F.col(f"_w_{i}"))
+                         for i, c in enumerate(cols)})
     if last_flag:
-        out = out.withColumn(last_flag, F.col("_last_in_chunk") & F.col("_nf").isNull())
-    drop = [f"_w_{c}" for c in cols] + ["_last_in_chunk", "_nf", "_chunk", "_heavy"]
-    out = out.drop(*drop)
+        out = out.withColumn(last_flag, F.col("_end") & ~F.col("_cross"))
+    out = out.drop(*[f"_w_{i}" for i in range(len(cols))], "_end", "_cross", "_nf", "_g", "_p")
     if group_aggs:
         g = df.groupBy(*by).agg(*[a.alias(n) for n, a in group_aggs.items()])
-        out = _join_null_safe(out, g, by)
-    return out.drop(const) if const else out
+        # without a key the aggregate is one row
+        out = _join_null_safe(out, g, by) if by else out.withColumns(
+            {n: g.select(n).scalar() for n in group_aggs})
+    return out
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -214,28 +158,26 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(r, cond, "left").drop(*[f"__rk_{k}" for k in keys])
 
 
-def row_number_in_group(df: DataFrame, by: Sequence[str], order: Sequence,
+def running_sum_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column,
+                         name: str, max_rows: int | None = None) -> DataFrame:
+    """``sum(value) over (partition by by order by order rows up to here)``
+    as a long, split-safe."""
+    by, limit = list(by), max_group_rows(df, max_rows)
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    if not _heavy(df, by, limit, False):
+        w = up_to(Window.partitionBy(*by).orderBy(*order))
+        return df.withColumn(name, F.sum(value.cast("long")).over(w))
+    r = _Ranges(df.withColumn("_v", value.cast("long")), by, order, limit)
+    x = r.rows.withColumn("_s", F.sum("_v").over(up_to(r.window)))
+    x = r.attach(x, r.before(F.sum("_v")))
+    off = F.when(r.same_group(), F.coalesce("_before", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return x.withColumn(name, F.col("_s") + off).drop("_s", "_v", "_g", "_before", "_p")
+
+
+def row_number_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str],
                         name: str = "rn", max_rows: int | None = None) -> DataFrame:
-    """``row_number() over (partition by by order by order)``, split-safe."""
-    df, by, const = _with_const_group(df, by)
-    limit = max_group_rows(df, max_rows)
-    ch = _Chunking(df, by, order, limit)
-    ocols = _order_cols(order)
-    if ch.bounds is None:
-        out = df.withColumn(name, F.row_number().over(
-            Window.partitionBy(*by).orderBy(*ocols)))
-        return out.drop(const) if const else out
-    dfc = ch.assign(df)
-    dfc = dfc.withColumn("__rnc", F.row_number().over(
-        Window.partitionBy(*by, "_chunk").orderBy(*ocols)))
-    sizes = dfc.where("_heavy").groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("__c"))
-    before = sizes.withColumn("__off", F.coalesce(F.sum("__c").over(
-        Window.partitionBy(*by).orderBy("_chunk")
-              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    out = dfc.join(ch._small(before), [*by, "_chunk"], "left")
-    out = out.withColumn(name, (F.col("__rnc") + F.coalesce("__off", F.lit(0))).cast("int")) \
-             .drop("__rnc", "__off", "_chunk", "_heavy")
-    return out.drop(const) if const else out
+    """``row_number() over (partition by by order by order)`` as a long, split-safe."""
+    return running_sum_in_group(df, by, order, F.lit(1), name, max_rows)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
@@ -243,71 +185,36 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     """Type-7 (linear interpolation) quantiles of ``value`` per group.
 
     NULL values are ignored; a group of only NULLs gives NULL.  Light
-    groups use the exact ``percentile`` aggregate.  Groups above the row
-    limit are split into chunks; per-chunk counts locate the chunk that
-    holds each wanted order statistic, and only those chunks are sorted,
-    so no group's values are ever collected or sorted in one place.
+    groups use the exact ``percentile`` aggregate.  If a group is above the
+    row limit, equal values are counted first (so a repeated value is one
+    row), a split-safe running sum of the counts gives the ranks that each
+    value holds, and the wanted ranks are picked; no group is collected or
+    sorted in one place.
     """
-    df, by, const = _with_const_group(df, by)
-    limit = max_group_rows(df, max_rows)
+    by, limit = list(by), max_group_rows(df, max_rows)
     base = df.select(*by, value)
-    ch = _Chunking(base.where(F.col(value).isNotNull()), by, [value], limit)
-    if ch.bounds is None:
-        out = base.groupBy(*by).agg(*[
-            F.percentile(F.col(value), p).alias(k) for k, p in probs.items()])
-        return out.drop(const) if const else out
-    marked = ch.assign(base)
-    light = (marked.where(~F.col("_heavy")).groupBy(*by).agg(*[
-        F.percentile(F.col(value), p).alias(k) for k, p in probs.items()]))
-    # heavy groups: selection by chunk counts.  The chunk holding each
-    # wanted position is found from per-chunk counts (a small table), and
-    # only those chunks are sorted - not the whole group.
-    hv = marked.where(F.col("_heavy") & F.col(value).isNotNull()).drop("_heavy")
-    sizes = hv.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_c"),
-                                          F.min(value).alias("_vmin"),
-                                          F.max(value).alias("_vmax"))
-    wg = Window.partitionBy(*by)
-    sizes = sizes.withColumns({
-        "_off": F.coalesce(F.sum("_c").over(wg.orderBy("_chunk").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)),
-        "_n": F.sum("_c").over(wg)})
-    picks = []
-    for i, (k, p) in enumerate(probs.items()):
-        h = (F.col("_n") - 1) * F.lit(p)
-        for side, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            picks.append(sizes.select(*by, "_chunk", "_off", "_c", "_vmin", "_vmax",
-                                      F.lit(i).alias("_k"), F.lit(side).alias("_side"),
-                                      (h - F.floor(h)).alias("_fr"), pos.alias("_pos")))
-    want = picks[0]
-    for w_ in picks[1:]:
-        want = want.unionByName(w_)
-    want = want.where((F.col("_pos") >= F.col("_off")) & (F.col("_pos") < F.col("_off") + F.col("_c"))) \
-               .select(*by, "_chunk", "_k", "_side", "_fr", "_vmin",
-                       (F.col("_vmin") == F.col("_vmax")).alias("_flat"),
-                       (F.col("_pos") - F.col("_off")).alias("_local"))
-    # a chunk of one repeated value needs no sort: every position holds it
-    flat = want.where("_flat").select(*by, "_k", "_side", "_fr", F.col("_vmin").alias(value))
-    mixed = want.where(~F.col("_flat")).drop("_flat", "_vmin")
-    need = mixed.select(*by, "_chunk").distinct()
-    rows = hv.join(ch._small(need), [*by, "_chunk"], "left_semi")
-    rows = rows.withColumn("_local", F.row_number().over(
-        Window.partitionBy(*by, "_chunk").orderBy(value)) - 1)
-    got = rows.join(ch._small(mixed), [*by, "_chunk", "_local"]) \
-              .select(*by, "_k", "_side", "_fr", value).unionByName(flat)
-    per = got.groupBy(*by, "_k").agg(
-        F.max(F.when(F.col("_side") == "lo", F.col(value))).alias("_xl"),
-        F.max(F.when(F.col("_side") == "hi", F.col(value))).alias("_xh"),
-        F.first("_fr").alias("_fr"))
-    per = per.withColumn("_q", F.col("_xl") + F.col("_fr") * (F.col("_xh") - F.col("_xl")))
-    heavy_q = per.groupBy(*by).agg(*[
-        F.max(F.when(F.col("_k") == i, F.col("_q"))).alias(k) for i, k in enumerate(probs)])
-    out = light.unionByName(heavy_q)
-    return out.drop(const) if const else out
-
-
-def lag_bounded(df: DataFrame, by: Sequence[str], order: Sequence, col: str,
+    if not has_heavy_groups(base, by, limit):
+        return base.groupBy(*by).agg(*[F.percentile(F.col(value), p).alias(k) for k, p in probs.items()])
+    all_null = base.groupBy(*by).agg(F.count(value).alias("_n"))
+    counts = base.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    runs = running_sum_in_group(counts, by, [value], F.col("_c"), "_to", limit)
+    runs = _join_null_safe(runs, all_null, by) if by else runs.withColumn("_n", all_null.scalar())
+    aggs = []
+    for i, p in enumerate(probs.values()):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        for side, rank in (("l", F.floor(h)), ("h", F.ceil(h))):
+            # ranks from 0: the value holds _to - _c .. _to - 1
+            aggs.append(F.max(F.when((rank >= F.col("_to") - F.col("_c")) & (rank < F.col("_to")), F.col(value))).alias(f"_{side}{i}"))
+        aggs += [F.max(F.ceil(h) - h).alias(f"_a{i}"), F.max(h - F.floor(h)).alias(f"_b{i}")]
+    got = runs.groupBy(*by).agg(*aggs).select(*by, *[
+        F.when(F.col(f"_b{i}") == 0, F.col(f"_l{i}").cast("double"))
+        .otherwise(F.col(f"_a{i}") * F.col(f"_l{i}") + F.col(f"_b{i}") * F.col(f"_h{i}")).alias(k) for i, k in enumerate(probs)])
+    return _join_null_safe(all_null.drop("_n"), got, by) if by else got
+
+
+def lag_bounded(df: DataFrame, by: Sequence[str], order: Sequence[str], col: str,
                 offset: int = 1, name: str | None = None) -> DataFrame:
     """Plain ``lag`` for groups whose size is bounded by construction
     (e.g. one row per entity-day within a season, or per entity-year)."""
-    w = Window.partitionBy(*by).orderBy(*_order_cols(order))
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name or f"lag{offset}_{col}", F.lag(col, offset).over(w))

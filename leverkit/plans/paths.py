@@ -28,18 +28,14 @@ GAME_ORDER = ["at_bat_number", "pitch_number"]
 APP_KEYS = ["game_pk", "pitcher", "inning"]
 
 
-def _model_kw(small: bool) -> dict:
-    return {"max_rounds": 5, "parallelism": 2} if small else {"max_rounds": 100}
-
-
 def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | None = None,
-                  names: DataFrame | None = None, small: bool = False,
-                  min_pa: int = 100) -> dict[str, DataFrame]:
-    """Path A.  ``relief_pa`` holds the plate appearances to credit (same
+                  names: DataFrame | None = None, min_pa: int = 100,
+                  **fit_args) -> dict[str, DataFrame]:
+    """Path A.  ``fit_args`` go to every ``fit_gbt`` (the published settings by
+    default).  ``relief_pa`` holds the plate appearances to credit (same
     columns as ``pitches``, one row per PA); ``probs`` optional per
     (batter, game_year) outcome probabilities; ``names`` (pitcher,
     player_name)."""
-    kw = _model_kw(small)
     woba = winexp.batter_season_rate(pitches, "batter", "game_year", "events",
                                      "woba_value", "woba_denom")
     woba_b = woba.withColumnRenamed("wOBA", "batter_season_wOBA")
@@ -49,12 +45,14 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
                        "base_sit": st.base_state("on_1b", "on_2b", "on_3b")})
     x = x.join(woba_b, ["batter", "game_year"], "left")
     pa = materialize(winexp.to_plate_appearance(x, "game_pk", "at_bat_number", "pitch_number"))
-    ctx = dict(half="inning_topbot", rate="batter_season_wOBA", bat_score="bat_score",
+    level = models.modal_state(pa, "base_sit")
+    ctx = dict(drop_level=level, half="inning_topbot", rate="batter_season_wOBA", bat_score="bat_score",
                fld_score="fld_score", inning="inning", outs="outs_when_up", state="base_sit")
     wdf, wfeats = models.win_expectancy_features(pa, **ctx)
     wfit = models.fit_gbt(wdf, wfeats, "pitching_win", kind="classifier",
                           fixed=models.WIN_BEST, prop=0.65,
-                          key=["game_pk", "at_bat_number"], nullable=["_rate"], **kw)
+                          key=["game_pk", "at_bat_number"], nullable=["_rate"],
+                          context={"drop_level": level or ""}, **fit_args)
     we = models.score(wfit.model, wdf, "updated_pitcher_win_exp", kind="classifier")
     delta = winexp.delta_win_expectancy(we, "game_pk", "inning_topbot", "at_bat_number",
                                         "updated_pitcher_win_exp", "post_bat_score",
@@ -66,9 +64,12 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
                            ["batter", "game_year"], "left")
     sdf, sfeats, slabel = models.swing_features(delta, "new_delta_win_exp", prob_cols, **ctx)
     sfeats_null = ["_rate", *prob_cols]
-    sfit = models.fit_gbt(sdf.where(F.col(slabel).isNotNull()), sfeats, slabel,
+    # a plate appearance without a change has no swing and takes no part in the mean
+    sdf = sdf.where(F.col(slabel).isNotNull())
+    sfit = models.fit_gbt(sdf, sfeats, slabel,
                           fixed=models.SWING_BEST, prop=0.65,
-                          key=["game_pk", "at_bat_number"], nullable=sfeats_null, **kw)
+                          key=["game_pk", "at_bat_number"], nullable=sfeats_null,
+                          context={"drop_level": level or ""}, **fit_args)
     swing = models.score(sfit.model, sdf, "ab_win_expect", floor=0.001)
     # run expectancy of a plate appearance, trained on all PAs
     pz = pa.withColumn("attack_zone", attack_zone("plate_x", "plate_z", "sz_top", "sz_bot"))
@@ -77,7 +78,7 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
         "launch_speed_angle", "attack_zone", "batter_season_wOBA", "base_sit", "bb_type")
     rfit = models.fit_gbt(rdf, rfeats, rlabel, fixed=models.RUN_EXP_BEST,
                           key=["game_pk", "at_bat_number"],
-                          nullable=["is_400ft", "below_0_LA", "barrel", "batter_woba"], **kw)
+                          nullable=["is_400ft", "below_0_LA", "barrel", "batter_woba"], **fit_args)
     # relief PAs: scored run expectancy joined to the swing (leverage) table
     rel = relief_pa.join(woba_b, ["batter", "game_year"], "left") \
                    .withColumns({"base_sit": st.base_state("on_1b", "on_2b", "on_3b"),
@@ -88,11 +89,12 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
         "launch_speed_angle", "attack_zone", "batter_season_wOBA", "base_sit", "bb_type")
     rel_x = models.score(rfit.model, rel_f, "run_expectancy_saves") \
                   .select("game_pk", "at_bat_number", "pitch_number", "run_expectancy_saves")
-    lev = winexp.leverage_index(swing, "ab_win_expect")
     keep = ["game_pk", "at_bat_number", "pitch_number", "game_year", "pitcher", "inning",
             "inning_topbot", "bat_score", "fld_score", "post_home_score", "post_away_score",
-            "bat_score_diff", "events", "base_sit", "leverage"]
-    credit_in = rel_x.join(lev.select(*keep), ["game_pk", "at_bat_number", "pitch_number"], "left")
+            "bat_score_diff", "events", "base_sit", "ab_win_expect"]
+    # the index is relative to the relief appearances, not to all
+    credit_in = rel_x.join(swing.select(*keep), ["game_pk", "at_bat_number", "pitch_number"], "left")
+    credit_in = materialize(winexp.leverage_index(credit_in, "ab_win_expect"))
     credit = winexp.leverage_credit(credit_in, "game_pk", "at_bat_number", "pitch_number",
                                     "inning_topbot", "inning", "bat_score", "fld_score",
                                     "post_home_score", "post_away_score", "bat_score_diff",
@@ -102,15 +104,15 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
     lpaa = winexp.season_leverage_total(named, "pitcher", "player_name", "game_year",
                                         "LI_diff", min_n=min_pa)
     return {"batter_woba": woba, "win_exp": we, "delta": delta, "swing": swing,
-            "leverage": lev, "credit": credit, "season_lpaa": lpaa,
+            "leverage": credit_in, "credit": credit, "season_lpaa": lpaa,
             "models": {"win": wfit, "swing": sfit, "run_exp": rfit}}
 
 
 def runs_saved_path(pitches: DataFrame, relief_pa: DataFrame, woba: DataFrame,
-                    names: DataFrame | None = None, small: bool = False,
-                    min_games: int = 25) -> dict[str, DataFrame]:
-    """Path B.  ``woba`` is the (batter, game_year, wOBA) lookup."""
-    kw = _model_kw(small)
+                    names: DataFrame | None = None, min_games: int = 25,
+                    **fit_args) -> dict[str, DataFrame]:
+    """Path B.  ``woba`` is the (batter, game_year, wOBA) lookup; ``fit_args``
+    as in path A."""
     p = pitches.withColumn("attack_zone", attack_zone("plate_x", "plate_z", "sz_top", "sz_bot"))
     pa = winexp.to_plate_appearance(p, "game_pk", "at_bat_number", "pitch_number", dedup=False)
     pa = pa.join(woba, ["batter", "game_year"], "left")
@@ -118,12 +120,15 @@ def runs_saved_path(pitches: DataFrame, relief_pa: DataFrame, woba: DataFrame,
              "base_3b": "on_3b"}
     t = app.appearance_table(p, pa, relief_pa, "game_pk", "pitcher", "inning", "inning_topbot",
                              GAME_ORDER, "outs_when_up", start, zone="attack_zone")
+    # an appearance without a start state takes no part: it would make its whole
+    # game's and season's sums unknown
+    t = t.where(F.col("outs_start").isNotNull())
     t = materialize(t.withColumn("initial_base_sit", st.base_state("base_1b", "base_2b",
                                                                     "base_3b")))
     a1, f1 = models.runs_allowed_state_features(t, "outs_start", "initial_base_sit",
                                                 "mean_wOBA", "pitch_number_appearance")
     m1 = models.fit_gbt(a1, f1, "runs_allowed", fixed=models.RUNS_STATE_BEST, key=APP_KEYS,
-                        nullable=["mean_wOBA"], **kw)
+                        nullable=["mean_wOBA"], **fit_args)
     statline = ["batters_faced", "outs_made", "strikeouts", "walks", "barrels",
                 "avg_exit_velocity", "Chase", "Heart", "Shadow", "Waste", "BIP", "GB", "LD",
                 "FB", "Pop"]
@@ -131,7 +136,7 @@ def runs_saved_path(pitches: DataFrame, relief_pa: DataFrame, woba: DataFrame,
                                                    "mean_wOBA", "pitch_number_appearance",
                                                    statline)
     m2 = models.fit_gbt(a2, f2, "runs_allowed", fixed=models.RUNS_STATLINE_BEST, key=APP_KEYS,
-                        nullable=["mean_wOBA", "outs_made"], **kw)
+                        nullable=["mean_wOBA", "outs_made"], **fit_args)
     s1 = models.score(m1.model, a1, "runs_bs").select(*APP_KEYS, "runs_bs")
     s2 = models.score(m2.model, a2, "exp_runs_allowed").select(*APP_KEYS, "exp_runs_allowed")
     years = pitches.select("game_pk", "game_year").distinct()
@@ -193,7 +198,7 @@ def write_outputs(results: dict, out_dir: str, fmt: str = "parquet",
 
     from pyspark.sql import DataFrame as _DF
 
-    from ..operators.models import FitResult
+    from ..operators.models import FitResult, save_fit
     from ..sources import io
 
     written = []
@@ -202,7 +207,7 @@ def write_outputs(results: dict, out_dir: str, fmt: str = "parquet",
         if isinstance(value, dict):
             written += write_outputs(value, path, fmt, season)
         elif isinstance(value, FitResult):
-            io.save_model(value.model, path)
+            save_fit(value, path)
             written.append(path)
         elif isinstance(value, _DF):
             if fmt == "csv":

@@ -2,11 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
+
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str],
                  columns: Sequence[str] | None = None,
@@ -42,14 +45,21 @@ def read_many(spark: SparkSession, paths: Sequence[str], reader) -> DataFrame:
     return out
 
 
+class TolerantRead(NamedTuple):
+    good: DataFrame
+    bad: DataFrame
+    #: files that gave no record: unreadable or empty
+    skipped: list[str]
+
+
 def tolerant_read(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
                   fmt: str = "csv", header: bool = True, null_value: str = "NA",
-                  corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
+                  corrupt_col: str = "_corrupt_record") -> TolerantRead:
     """Bulk ingest that keeps going past bad input.
 
     Malformed records are split off (with their raw text) instead of
-    failing the job, and unreadable files are skipped.  Returns
-    ``(good, bad)``.
+    failing the job, and unreadable files are skipped and named.  The parsed
+    input is written once to the shared folder and both parts read that copy.
     """
     paths = [path] if isinstance(path, str) else list(path)
     full = T.StructType(list(schema.fields) + [T.StructField(corrupt_col, T.StringType())])
@@ -59,12 +69,15 @@ def tolerant_read(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
     if fmt == "csv":
         r = r.option("header", header).option("nullValue", null_value)
     df = r.format(fmt).load(paths)
-    # a corrupt-record column may not be the only column referenced, so the
-    # frame is cached once before splitting (Spark's own rule for it)
-    df = df.cache()
-    good = df.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
-    bad = df.where(F.col(corrupt_col).isNotNull()).select(corrupt_col)
-    return good, bad
+    # which records are malformed depends on all columns being parsed, so the
+    # split must not be recomputed from a pruned scan
+    given = df.inputFiles()
+    shared_dir(spark)
+    df = df.withColumn("_source_file", F.input_file_name()).checkpoint(eager=True)
+    read = {r[0] for r in df.select("_source_file").distinct().collect()}  # one row a file
+    good = df.where(F.col(corrupt_col).isNull()).drop(corrupt_col, "_source_file")
+    bad = df.where(F.col(corrupt_col).isNotNull()).select(corrupt_col, "_source_file")
+    return TolerantRead(good, bad, sorted(set(given) - read))
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, partition_by: Sequence[str] = ()):

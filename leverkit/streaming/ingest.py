@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +17,12 @@ def ingest_landed_files(spark: SparkSession, source_dir: str, schema: T.StructTy
                         max_files_per_trigger: int | None = None) -> dict:
     """Process every file not seen before in ``source_dir`` and stop.
 
-    Good rows are appended to parquet at ``good_path`` (optionally
-    partitioned), malformed records with their raw text to ``bad_path``.
-    Uses ``trigger(availableNow=True)``: the same code serves a one-off
-    backfill and a scheduled incremental run.
+    Good rows go to parquet under ``good_path/batch_id=<n>`` (optionally
+    partitioned further), malformed records with their raw text under
+    ``bad_path/batch_id=<n>``.  A batch overwrites its own folders, so one that
+    is tried again after a failure between or in its writes leaves no
+    duplicate.  Uses ``trigger(availableNow=True)``: the same code serves a
+    one-off backfill and a scheduled incremental run.
     """
     full = T.StructType(list(schema.fields) + [T.StructField(corrupt_col, T.StringType())])
     r = (spark.readStream.schema(full).option("mode", "PERMISSIVE")
@@ -35,18 +37,15 @@ def ingest_landed_files(spark: SparkSession, source_dir: str, schema: T.StructTy
     counts = {"good": 0, "bad": 0}
 
     def write_batch(batch: DataFrame, batch_id: int):
-        batch = batch.persist()
+        seen = {name: Observation() for name in counts}
         good = batch.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
-        bad = batch.where(F.col(corrupt_col).isNotNull()) \
-                   .select(corrupt_col, "_source_file", F.lit(batch_id).alias("batch_id"))
-        w = good.write.mode("append")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(good_path)
-        bad.write.mode("append").parquet(bad_path)
-        counts["good"] += good.count()
-        counts["bad"] += bad.count()
-        batch.unpersist()
+        bad = batch.where(F.col(corrupt_col).isNotNull())  # all fields are parsed, so that all are checked
+        parts = {"good": (good, good_path, partition_by), "bad": (bad, bad_path, ())}
+        for name, (rows, path, by) in parts.items():
+            w = rows.observe(seen[name], F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+            (w.partitionBy(*by) if by else w).parquet(f"{path}/batch_id={batch_id}")
+        for name in counts:
+            counts[name] += seen[name].get["n"]
 
     q = (stream.writeStream.foreachBatch(write_batch)
                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())

@@ -18,7 +18,10 @@ def test_tolerant_read_splits_bad_lines(spark):
         f.write("game_pk,game_date,pitcher\n1,2024-04-01,7\nx,2024-04-02,7\n2,2024-04-03,8\n")
     with open(os.path.join(d, "b.csv"), "w") as f:
         f.write("game_pk,game_date,pitcher\n3,not-a-date,9\n4,2024-04-05,NA\n")
-    good, bad = io.tolerant_read(spark, os.path.join(d, "*.csv"), SCHEMA)
+    with open(os.path.join(d, "c.csv"), "w") as f:
+        f.write("game_pk,game_date,pitcher\n")
+    good, bad, skipped = io.tolerant_read(spark, os.path.join(d, "*.csv"), SCHEMA)
+    assert [os.path.basename(x) for x in skipped] == ["c.csv"]
     assert sorted(r.game_pk for r in good.collect()) == [1, 2, 4]
     assert bad.count() == 2
 

@@ -41,6 +41,11 @@ def test_top_grid_and_model_round_trip(spark, toy):
                          max_rounds=4, key=["k"])
     best = models.top_grid(fit, 5)
     assert len(best) == 2 and best[0]["metric"] <= best[1]["metric"]
+    assert fit.metric < fit.constant
+    kept = tempfile.mkdtemp(prefix="lk-model-") + "/fit"
+    fit.context["drop_level"] = "___"
+    models.save_fit(fit, kept)
+    assert models.load_fit(kept)[1] == {"drop_level": "___"}
     path = tempfile.mkdtemp(prefix="lk-model-") + "/m"
     io.save_model(fit.model, path)
     back = io.load_model(path)
@@ -97,3 +102,30 @@ def test_cross_fit_scores_every_row_once(spark, toy):
     assert out.count() == toy.count()
     assert out.select("k").distinct().count() == toy.count()
     assert out.where("zh IS NULL").count() == 0
+
+
+def test_published_grids_and_patience(spark, toy):
+    assert all(math.prod(map(len, t["grid"].values())) == 60 for t in models.TUNING.values())
+    fit = models.fit_gbt(toy, ["a", "b"], "z", fixed={"max_depth": 2, "eta": 0.9}, max_rounds=40, patience=2, key=["k"])
+    assert fit.rounds < 40 and fit.metric < fit.constant
+    set_rounds = models.fit_gbt(toy, ["a", "b"], "z", fixed={"max_depth": 2, "rounds": 3}, key=["k"])
+    assert set_rounds.rounds == 3 and set_rounds.metric is None and set_rounds.model.stages[-1].getNumTrees == 3
+
+
+def test_missing_values_are_told_apart(spark):
+    rows = [(i, None if i % 2 else 1.0, 5.0 * (i % 2)) for i in range(80)]
+    df = spark.createDataFrame(rows, "k long, a double, z double")
+    fit = models.fit_gbt(df, ["a"], "z", fixed={"max_depth": 1, "rounds": 3, "eta": 1.0}, key=["k"], nullable=["a"])
+    got = models.score(fit.model, df, "zh")
+    assert got.columns == ["k", "a", "z", "zh"]
+    assert got.agg(F.max(F.abs(F.col("zh") - F.col("z")))).first()[0] < 0.1
+
+
+def test_null_stratum_and_null_groups(spark):
+    from leverkit.operators import saved, verbs
+    df = spark.createDataFrame([(i, None if i < 20 else "a", float(i)) for i in range(40)], "k long, g string, v double")
+    got = stratified_split(df, ["k"], "g", 0.75)
+    assert {(r.g, r.is_train): r["count"] for r in got.groupBy("g", "is_train").count().collect()} == {
+        (None, 1): 15, (None, 0): 5, ("a", 1): 15, ("a", 0): 5}
+    assert saved.trim_open_quantiles(df, ["g"], "v").groupBy("g").count().count() == 2
+    assert verbs.having_group_total(df, ["g"], "v", 0).count() == 40

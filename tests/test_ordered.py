@@ -57,22 +57,43 @@ def test_exact_quantiles_match_percentile(spark, limit):
             assert (x is None and y is None) or abs(x - y) < 1e-12
 
 
-def test_chunked_plan_has_no_unpartitioned_window(spark):
-    df = _table(spark, 3, 60, 0.9)
-    out = ordered.lead_in_group(df, ["g"], ["t", "id"], ["v"], max_rows=2)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
-
-
-def test_chunk_tables_joined_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "BROADCAST_VALUES_LIMIT", 0)
+HARD = {
+    "constant first column": lambda i, r: (0, "same", f"k{i:04d}"),
+    "long common prefix": lambda i, r: (0, f"Customer#{'0' * 30}{i:05d}", "x"),
+    "null group": lambda i, r: (None, f"a{i:04d}", "x"),
+    "null order": lambda i, r: (0, None, f"k{i:04d}"),
+    "two hot groups": lambda i, r: (r.choice([0, None]), r.choice(["p", None]), f"k{i:04d}"),
+    "ties but for the last column": lambda i, r: (r.randint(0, 1), "t", f"{r.randint(0, 9)}-{i:04d}"),
+}
+
+
+@pytest.mark.parametrize("kind", HARD)
+def test_hard_groups_split_and_stay_exact(spark, kind):
+    rnd = random.Random(kind)
+    rows = [(*HARD[kind](i, rnd), i) for i in range(240)] + [(9, "z", "z", 999)]
+    df = spark.createDataFrame(rows, "g int, a string, b string, id int").repartition(3)
+    order = ["a", "b"]
+    w = Window.partitionBy("g").orderBy(*order)
+    exp = {r.id: (r.n, r.rn) for r in df.withColumn("n", F.lead("id").over(w)).withColumn("rn", F.row_number().over(w)).collect()}
+    x = ordered.lead_in_group(df, ["g"], order, ["id"], max_rows=20, last_flag="last", group_aggs={"m": F.max("id")})
+    got = x.collect()
+    assert {r.id: r.next_id for r in got} == {k: v[0] for k, v in exp.items()}
+    assert all(r.last == (exp[r.id][0] is None) for r in got)
+    top = {g: max(r[3] for r in rows if r[0] == g) for g in {r[0] for r in rows}}
+    assert all(r.m == top[r.g] for r in got)
+    y = ordered.row_number_in_group(df, ["g"], order, "rn", max_rows=20)
+    assert y.schema["rn"].dataType.simpleString() == "bigint"
+    assert {r.id: r.rn for r in y.collect()} == {k: v[1] for k, v in exp.items()}
+    # no range, so no task of the window, holds much more than the limit
+    sizes = [r["count"] for r in ordered._Ranges(df, ["g"], order, 20).rows.groupBy("_p").count().collect()]
+    assert max(sizes) <= 4 * 20
+
+
+def test_heavy_plan_broadcasts_one_row_a_range(spark):
     df = _table(spark, 21, 100, 0.5)
-    w = Window.partitionBy("g").orderBy("t", "id")
-    exp = {r.id: (r.nv, r.rn) for r in df.withColumn("nv", F.lead("v").over(w))
-           .withColumn("rn", F.row_number().over(w)).collect()}
-    a = ordered.lead_in_group(df, ["g"], ["t", "id"], ["v"], prefix="n", max_rows=3)
-    a = ordered.row_number_in_group(a, ["g"], ["t", "id"], "rn", max_rows=3)
-    assert {r.id: (r.nv, r.rn) for r in a.collect()} == exp
+    out = ordered.lead_in_group(df, ["g"], ["t", "id"], ["v"], max_rows=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "RepartitionByExpression" not in plan
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
