@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div, zsum
 from ..session import materialize
-from ..plans.ordered import lag_bounded
+from ..plans.ordered import lag_bounded, row_number_in_group
 from .verbs import (group_filter_not_min, pivot_fixed, scalar_aggs,
                     semi_by_values)
 
@@ -177,13 +177,22 @@ def rest_bucket_performance(apps: DataFrame, rest: DataFrame, entity: str, game:
     return g.where(F.col("_tot") > min_total).drop("_tot")
 
 
-def rest_bucket_slices(perf: DataFrame, days: str = "days_of_rest") -> dict[str, DataFrame]:
+def rest_bucket_slices(perf: DataFrame, days: str = "days_of_rest", ordered: bool = True) -> dict[str, DataFrame]:
     """The three published slices: back-to-back-to-back, back-to-back and
     one to three days, each with its own outs threshold, best first."""
     d, o = F.col(days), F.col("outs_made")
-    return {
-        "b2b2b": perf.where((d < 0) & (o > 5)).orderBy(F.col("rapo").desc_nulls_last()),
-        "b2b": perf.where((d == 0) & (o > 20)).orderBy(F.col("rapo").desc_nulls_last()),
-        "one_to_three": perf.where(d.between(1, 3) & (o > 30))
-                            .orderBy(F.col("rapo").desc_nulls_last()),
-    }
+    out = {"b2b2b": perf.where((d < 0) & (o > 5)), "b2b": perf.where((d == 0) & (o > 20)),
+           "one_to_three": perf.where(d.between(1, 3) & (o > 30))}
+    best = F.col("rapo").desc_nulls_last()
+    return {k: x.orderBy(best) if ordered else x for k, x in out.items()}
+
+
+def ranked_slices(perf: DataFrame, entity: str, days: str = "days_of_rest") -> DataFrame:
+    """The published slices in one table: ``slice``, and ``place`` by
+    ``rapo`` inside it (NULL last, ties by entity and rest)."""
+    parts = [x.withColumn("slice", F.lit(k)) for k, x in rest_bucket_slices(perf, days, ordered=False).items()]
+    x = parts[0]
+    for p in parts[1:]:
+        x = x.unionByName(p)
+    x = x.withColumns({"_null": F.col("rapo").isNull(), "_m": -F.col("rapo")})
+    return row_number_in_group(x, ["slice"], ["_null", "_m", entity, days], "place").drop("_null", "_m")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import finite, safe_div, strict_sum
-from ..plans.ordered import exact_quantiles
+from ..plans.ordered import exact_quantiles, row_number_in_group
 from .verbs import center as center_cols
 from .verbs import join_keys_null_safe
 
@@ -84,6 +84,13 @@ def trimmed_season_runs_saved(df: DataFrame, entity: str, game: str, season: str
     return s.withColumn("diff", F.col("actual_rapo_season") - F.col("expected_rapo_season"))
 
 
+def season_order(df: DataFrame, entity: str, season: str, metric: str, name: str) -> DataFrame:
+    """The published order of a season table as an explicit column: latest
+    season first, then the best ``metric`` (NULL last), then the entity."""
+    x = df.withColumns({"_s": -F.col(season), "_null": F.col(metric).isNull(), "_m": -F.col(metric)})
+    return row_number_in_group(x, [], ["_s", "_null", "_m", entity], name).drop("_s", "_null", "_m")
+
+
 def state_mean(df: DataFrame, state_cols: Sequence[str], value: str,
                name: str = "state_mean") -> DataFrame:
     """Mean of a model value per game state (e.g. base state x outs)."""
