@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import flag, in_set, ratio_or_zero, zsum
 from ..functions.state import max_runs_possible
 from ..plans.ordered import has_heavy_groups, lead_in_group, row_number_in_group
-from .verbs import center, join_keys_null_safe, scalar_aggs, scale_by_mean_abs, top_ties
+from .verbs import center, describe_quantiles, join_keys_null_safe, scalar_aggs, scale_by_mean_abs, top_ties
 
 
 def to_plate_appearance(pitches: DataFrame, game: str, at_bat: str, pitch: str,
@@ -109,6 +109,14 @@ def leverage_index(df: DataFrame, swing: str, name: str = "leverage") -> DataFra
     return scale_by_mean_abs(df, swing, name)
 
 
+def leverage_summary(df: DataFrame, swing: str, prefix: str = "") -> DataFrame:
+    """``describe_quantiles`` of the leverage index: that of abs(swing), divided
+    by its mean, so the table is not scaled first."""
+    d = describe_quantiles(df.select(F.abs(F.col(swing)).alias("_a")), "_a", prefix)
+    keep = f"{prefix}n_null"
+    return d.select(*[(F.col(c) if c == keep else F.col(c) / F.col(f"{prefix}mean")).alias(c) for c in d.columns])
+
+
 def clamp_run_expectancy(xr: str, state: str, events: str,
                          walk_events: Sequence[str] = ("walk", "hit_by_pitch")) -> Column:
     """Clamp to [0, 4]; a bases-loaded walk or hit-by-pitch is exactly 1."""
@@ -166,12 +174,12 @@ def leverage_credit(pa: DataFrame, game: str, at_bat: str, pitch: str, half: str
                               "_maxab_h": F.max(F.when(F.col("_home") == 1, F.col(at_bat))),
                               "_maxab_a": F.max(F.when(F.col("_home") == 0, F.col(at_bat)))})
     elif scope == "table":
-        x = table_lead(x, game, [at_bat, pitch], ["_margin", leverage], prefix="_n_")
+        # the maxima need neither the lead nor the leverage: from the input, in one aggregate
         tot = scalar_aggs(x, {
             "_maxab": F.max(at_bat),
             "_maxab_h": F.max(F.when(F.col("_home") == 1, F.col(at_bat))),
             "_maxab_a": F.max(F.when(F.col("_home") == 0, F.col(at_bat)))})
-        x = x.withColumns(tot)
+        x = table_lead(x, game, [at_bat, pitch], ["_margin", leverage], prefix="_n_").withColumns(tot)
     else:
         raise ValueError("scope must be 'game' or 'table'")
     ends = F.col(at_bat) == F.col("_maxab")
