@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leverkit.llm.common import mix, row_chunks, saved, table, text_buffers
 
@@ -178,8 +179,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     b = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    return d.mapInArrow(_predict(b), f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*d.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return d.mapInArrow(_predict(b), schema)
 
 
 def id_hash(mod: int):
