@@ -9,12 +9,14 @@ a fragment rarer shingles come first.  Work goes in this order:
    global order (its prefix) to meet every class it may link with.  These lie
    in fragment 0 for all but few classes, so only those shingles are counted
    and moved (a class whose fragment 0 is too small moves all of its own);
+   Of the classes that are left all shingles are then counted: a class of
+   which more than a tenth are in no other class left has no link;
 3. classes that share a prefix shingle become candidates.  First each bucket is
    compared with a leader only, the class with the fewest shingles of its own,
    in a few rounds of at most one pair a class; classes connected by now need
    no further comparison.  Then all pairs of a bucket that lie in different
-   components are compared, as far as their sizes and the shingle's places
-   leave a link possible.  So a large group of near copies costs about its
+   components are compared, as far as their sizes, the shingle's places and
+   the shingles that only they have leave a link possible.  So a large group of near copies costs about its
    size, not its square, and no link between components is lost;
 4. a pair's overlap is counted fragment by fragment and summed.  Fragment 0 is
    counted first and drops pairs that the rest could not save.
@@ -41,7 +43,7 @@ NUM, DEN = 90, 100
 #: share of the hash space in fragment 0, and the number of equal fragments above it
 HEAD = 3 / 16
 TAIL_FRAGMENTS = 5
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: slots of the filter of wanted classes that is broadcast, one byte each
 SLOTS = 1 << 21
 
@@ -122,11 +124,8 @@ def _slots(df: DataFrame, col: str) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(tok, cid, n, pos, own): prefix shingles that some other class shares.
-
-    pos is the shingle's place in its class by the global order, own the
-    number of shingles that only this class moved.
-    """
+    """(tok, cid, n, pos): prefix shingles that some other class shares; pos is
+    the shingle's place in its class by the global order."""
     sent = rows.where("toks is not null")
     stats = sent.groupBy("cid").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.first(F.size("toks")).alias("m"))
     t = sent.select("cid", F.explode("toks").alias("tok"))
@@ -142,7 +141,7 @@ def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
     pos = F.transform("s", lambda x, i: F.struct(
         x["tok"].alias("tok"), (i + F.when(x["tail"], F.col("own")).otherwise(own_head)).alias("pos")))
     need = F.expr(f"n - ((n * {num} + {den - 1}) div {den}) + 1")
-    return d.select("cid", "n", "own", F.inline(F.filter(pos, lambda x: x["pos"] < need)))
+    return d.select("cid", "n", F.inline(F.filter(pos, lambda x: x["pos"] < need)))
 
 
 def _comparable(num: int, den: int):
@@ -204,8 +203,16 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     slots = spark.sparkContext.broadcast(_slots(pre, "cid"))
     segs = saved(d.select("text").mapInArrow(_segments(shingle, slots, word_class),
                                              "cid long, f int, toks array<long>").dropDuplicates(["cid", "f"]), "segments")
+    # now that few classes are left, count all their shingles: one that no other
+    # class left has cannot be shared, so the overlap is bounded by the rest
+    alone = (segs.select("cid", F.explode("toks").alias("tok")).groupBy("tok")
+             .agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(F.count("*").cast("int").alias("alone")))
+    pre = (pre.join(saved(alone, "alone"), "cid", "left").withColumn("own", F.coalesce("alone", F.lit(0))).drop("alone")
+           .where(f"{den} * (n - own) >= {num} * n"))
+    some = pre.groupBy("tok").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("tok")
+    pre = saved(pre.join(some, "tok"), "buckets")
     links, tested, labels = None, None, None
-    bound = F.expr(f"{num + den} * (1 + least(n - pos - 1, n2 - pos2 - 1)) >= {num} * (n + n2)")
+    bound = F.expr(f"{num + den} * least(n - pos, n2 - pos2, n - own, n2 - own2) >= {num} * (n + n2)")
 
     for turn in range(leader_rounds + 1):
         now = pre.withColumn("label", F.col("cid"))
@@ -217,9 +224,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
         if turn < leader_rounds:
             band = F.floor(F.log("n") / math.log(den / num) + turn / leader_rounds).alias("band")
             rank = F.struct(F.col("own") if turn == 0 else F.lit(0), F.xxhash64("cid", F.lit(turn)))
-            lead = (now.groupBy("tok", band).agg(F.min_by(F.struct("cid", "n", "pos", "label"), rank).alias("l"))
+            lead = (now.groupBy("tok", band).agg(F.min_by(F.struct("cid", "n", "pos", "own", "label"), rank).alias("l"))
                     .select("tok", "band", F.col("l.cid").alias("cid2"), F.col("l.n").alias("n2"),
-                            F.col("l.pos").alias("pos2"), F.col("l.label").alias("label2")))
+                            F.col("l.pos").alias("pos2"), F.col("l.own").alias("own2"), F.col("l.label").alias("label2")))
             cand = now.withColumn("band", band).join(lead, ["tok", "band"]).where("label <> label2").where(_comparable(num, den)).where(bound)
             # each class meets one leader, that of most of its buckets: at most a pair a class
             cand = (cand.groupBy("cid", "n", "cid2", "n2").agg(F.count("*").alias("met"))
@@ -230,12 +237,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
                 break
             now = saved(now, "left")
             # which components can meet at all, by size and by the earliest place of the shingle
-            kinds = now.groupBy("tok", "label", "n").agg(F.min("pos").alias("pos"))
-            kinds2 = kinds.select(F.col("tok").alias("tok2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+            kinds = now.groupBy("tok", "label", "n").agg(F.min("pos").alias("pos"), F.min("own").alias("own"))
+            kinds2 = kinds.select(F.col("tok").alias("tok2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"))
             meet = (kinds.join(kinds2, (F.col("tok") == F.col("tok2")) & (F.col("label") < F.col("label2")) & _comparable(num, den) & bound)
                     .select("tok", "label", "n", "label2", "n2"))
-            here = meet.join(now.select("tok", "label", "n", "cid", "pos"), ["tok", "label", "n"])
-            there = now.select(F.col("tok").alias("tok2"), F.col("label").alias("label2_"), F.col("n").alias("n2_"), F.col("cid").alias("cid2"), F.col("pos").alias("pos2"))
+            here = meet.join(now.select("tok", "label", "n", "cid", "pos", "own"), ["tok", "label", "n"])
+            there = now.select(F.col("tok").alias("tok2"), F.col("label").alias("label2_"), F.col("n").alias("n2_"), F.col("cid").alias("cid2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"))
             cand = here.join(there, (F.col("tok") == F.col("tok2")) & (F.col("label2") == F.col("label2_")) & (F.col("n2") == F.col("n2_")) & bound)
         pairs = _ordered_pairs(cand)
         if tested is not None:
