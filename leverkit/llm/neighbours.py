@@ -36,8 +36,9 @@ TABLES = 3
 FIT_ROWS = 4096
 FIT_QUERIES = 128
 TARGET = 0.96
-#: rows per bucket aimed at, and rows a block may have on either side
-BUCKET_ROWS = 256
+#: rows per bucket aimed at: this times the square root of all rows, so that
+#: buckets and rows per bucket grow alike; and rows a block may have on either side
+BUCKET_FACTOR = 4.0
 BLOCK_ROWS = 4096
 
 
@@ -228,8 +229,8 @@ def fit(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> tuple[Index
     shuffled = F.xxhash64("vec_id", F.lit(1))
     sample = _matrix(pa.array([bytes(r[0]) for r in vectors.orderBy(shuffled).limit(FIT_ROWS).select("v").collect()], pa.binary()))
     # the width at which the sample, seen at the size of the whole, has buckets of the size aimed at:
-    # two rows share a bucket with about the chance BUCKET_ROWS / n
-    want, lo, hi = max(BUCKET_ROWS / n, 4 / len(sample)), 0.05, 40.0
+    # two rows share a bucket with about the chance of rows per bucket over rows
+    want, lo, hi = max(BUCKET_FACTOR / n ** 0.5, 4 / len(sample)), 0.05, 40.0
     for _ in range(12):
         mid = (lo * hi) ** 0.5
         c = np.unique(bucket(Index(dim, norm, mid).place(sample, False, 0)[0]), return_counts=True)[1]
