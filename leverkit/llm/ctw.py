@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverkit.llm.common import LOWER, SPACE_WORDS, row_chunks, saved, scan_words, table, text_buffers
+from leverkit.llm.common import LOWER, SPACE_WORDS, row_chunks, saved, scan_words, table, text_batches, text_buffers
 from leverkit.llm.langid import id_hash
 
 DEPTH = 5
@@ -389,6 +389,7 @@ def ctw_scores(docs: DataFrame, depth: int = DEPTH, held_out=None) -> DataFrame:
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = id_hash(10) == 0 if held_out is None else held_out
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    text_batches(spark, 10_000)  # a chunk lies inside a batch
     chunks = saved(d.mapInArrow(_cut_chunks(depth, shards), _CHUNKS), "chunks")
     lists = chunks.select("chunk", F.inline("lists"))
     grams, words = lists.where("kind = 0"), lists.where("kind = 1")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverkit.llm.common import (ALNUM_WORDS, saved, scan_words, shingle_hashes, small_or_plain,
+from leverkit.llm.common import (ALNUM_WORDS, saved, scan_words, shingle_hashes, small_or_plain, text_batches,
                                  table, text_key)
 
 WINDOW = 13
@@ -135,6 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     of the inputs are not looked at.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     wins = saved(windows_of(benchmark, window, shingle), "windows")
     texts = wins.dropDuplicates(["win"]).select("win", "n", "k", "shingles")
     sizes = sorted(r[0] for r in wins.select("k").distinct().collect())  # at most `shingle` numbers

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverkit.llm.common import SPACE_WORDS, saved, scan_words, shingle_hashes, small_or_plain, table, text_key
+from leverkit.llm.common import SPACE_WORDS, saved, scan_words, shingle_hashes, small_or_plain, text_batches, table, text_key
 from leverkit.llm.components import components
 
 SHINGLE = 3
@@ -193,6 +193,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
+    text_batches(spark)
     rows = saved(d.mapInArrow(_classes(shingle, num, den, word_class),
                               "doc_id long, key binary, cid long, n int, head int, toks array<long>"), "classes")
     pre = saved(_prefixes(rows, num, den), "prefix")

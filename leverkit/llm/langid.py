@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leverkit.llm.common import mix, row_chunks, saved, table, text_buffers
+from leverkit.llm.common import mix, row_chunks, saved, table, text_batches, text_buffers
 
 SLOTS = 1 << 20
 HASHES = 2
@@ -113,6 +113,7 @@ class Model:
 
 def learn(docs: DataFrame, share: float = SHARE) -> Model:
     """The model of the rows of ``docs`` that have a text and a lang."""
+    text_batches(docs.sparkSession)
     d = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = {r[0]: r[1] for r in d.groupBy("lang").count().collect()}  # one row a language
     langs = sorted(counts)
@@ -177,6 +178,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     count whole; rows are independent, so repeated rows agree; with nothing
     learned every text is ``und``.  Input columns named as the outputs are replaced.
     """
+    text_batches(docs.sparkSession)
     b = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.drop("lang_pred", "score")
     schema = T.StructType([*d.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

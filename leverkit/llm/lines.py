@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverkit.llm.common import BROADCAST_BYTES, _power_tables, mix, row_chunks, saved, table, text_buffers, text_key
+from leverkit.llm.common import BROADCAST_BYTES, _power_tables, mix, row_chunks, saved, table, text_batches, text_buffers, text_key
 from leverkit.llm.components import components
 
 TAU = 2
@@ -248,6 +248,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text_batches(spark)
     occ = (d.where(F.length("text") > 0).select("doc_id", text_key().alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "s"))
            .select("doc_id", "key", "line_no", F.unhex(F.md5("s")).alias("line"),
                    ((F.length("s") >= min_chars) & (F.length(F.trim("s")) > 0)).alias("long")))
