@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from leverkit.plans import bindings
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["customer", "orders", "lineitem", "part", "events", "supplier"]
@@ -37,17 +38,21 @@ def duck():
     return con
 
 
-def test_every_query_has_an_oracle_or_is_declared_rows_only():
-    rows_only = {"gbt_classify", "gbt_regress", "gbt_swing", "gbt_run_expectancy",
-                 "gbt_runs_statline", "stickiness_pvalue"}
-    assert set(E.queries()) - set(E.oracle_sql()) <= rows_only
+def test_every_query_has_an_oracle():
+    assert set(bindings.QUERIES) == set(bindings.ORACLE)
+    assert set(bindings.QUERIES) <= set(E.queries()) and set(bindings.ORACLE) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_entry_without_the_optional_part(monkeypatch):
+    monkeypatch.setattr(E, "llm_queries", None)
+    assert E.queries() == bindings.QUERIES and E.oracle_sql() == bindings.ORACLE
+
+
+@pytest.mark.parametrize("name", sorted(bindings.ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SF)
+    sdf = bindings.QUERIES[name](spark, SF)
     srows = [tuple(r) for r in sdf.collect()]
-    cur = duck.execute(E.oracle_sql()[name])
+    cur = duck.execute(bindings.ORACLE[name])
     ocols = [c[0] for c in cur.description]
     orows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(ocols)

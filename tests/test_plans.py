@@ -4,16 +4,16 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from leverkit.plans import bindings
 
 SF = "/root/testdata/sf0.001"
 MODELS = {"gbt_classify", "gbt_regress", "gbt_swing", "gbt_run_expectancy",
-          "gbt_runs_statline", "stickiness_pvalue"}
+          "gbt_runs_statline"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - MODELS))
+@pytest.mark.parametrize("name", sorted(set(bindings.QUERIES) - MODELS))
 def test_plan_shape(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = bindings.QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
