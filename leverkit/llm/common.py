@@ -30,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return the written copy."""
+def saved(df: DataFrame, name: str = "t", parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written copy, in at
+    most ``parts`` files: a table far smaller than the shuffle before it would
+    otherwise become very many tiny ones."""
     spark = df.sparkSession
+    df = df.coalesce(parts) if parts else df
     path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,12 +24,16 @@ def _small_star(e: DataFrame) -> DataFrame:
     return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+LINKS_A_FILE = 100_000
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", parts: int | None = None) -> DataFrame:
     """(node, label) for every node that has a link to another node."""
-    e = saved(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
+    e = saved(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links", parts)
+    parts = 1 + e.count() // LINKS_A_FILE
     mark = None
     while True:
-        e = saved(_small_star(_large_star(e)), "star")
+        e = saved(_small_star(_large_star(e)), "star", parts)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

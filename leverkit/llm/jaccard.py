@@ -46,6 +46,8 @@ TAIL_FRAGMENTS = 5
 LEADER_ROUNDS = 2
 #: slots of the filter of wanted classes that is broadcast, one byte each
 SLOTS = 1 << 21
+#: documents per file of an intermediate table
+ROWS_A_FILE = 5_000
 
 _BOUNDS = np.array([int((HEAD + (1 - HEAD) * i / TAIL_FRAGMENTS) * 2**64) for i in range(TAIL_FRAGMENTS)],
                    dtype=np.uint64)
@@ -153,7 +155,7 @@ def _least_overlap(num: int, den: int) -> str:
     return f"{num + den} * c >= {num} * (n + n2)"
 
 
-def _verify(pairs: DataFrame, segs: DataFrame, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, segs: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """Pairs (a, b, n, n2) whose overlap, summed over the fragments, links them."""
     def side(f, name):
         return segs.where(f).select(F.col("cid").alias(name), "f", F.col("toks").alias(f"t{name}"))
@@ -162,7 +164,7 @@ def _verify(pairs: DataFrame, segs: DataFrame, num: int, den: int) -> DataFrame:
             .withColumn("c0", F.size(F.array_intersect("ta", "tb")))
             .withColumn("c", F.col("c0") + F.least(F.col("n") - F.size("ta"), F.col("n2") - F.size("tb")))
             .where(_least_overlap(num, den)).select("a", "b", "n", "n2", "c0"))
-    head = saved(head, "partial")
+    head = saved(head, "partial", parts)
     rest = (head.join(side("f > 0", "a"), "a").join(side("f > 0", "b"), ["b", "f"])
             .select("a", "b", "n", "n2", F.size(F.array_intersect("ta", "tb")).cast("long").alias("c0"))
             .unionByName(head.withColumn("c0", F.col("c0").cast("long")))
@@ -196,22 +198,23 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     text_batches(spark)
     rows = saved(d.mapInArrow(_classes(shingle, num, den, word_class),
                               "doc_id long, key binary, cid long, n int, head int, toks array<long>"), "classes")
-    pre = saved(_prefixes(rows, num, den), "prefix")
+    parts = 1 + rows.count() // ROWS_A_FILE
+    pre = saved(_prefixes(rows, num, den), "prefix", parts)
     # buckets with one class only are gone: every shingle here was moved twice,
     # but perhaps by two tasks for the same class
     some = pre.groupBy("tok").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("tok")
-    pre = saved(pre.join(some, "tok"), "buckets")
+    pre = saved(pre.join(some, "tok"), "buckets", parts)
     slots = spark.sparkContext.broadcast(_slots(pre, "cid"))
     segs = saved(d.select("text").mapInArrow(_segments(shingle, slots, word_class),
-                                             "cid long, f int, toks array<long>").dropDuplicates(["cid", "f"]), "segments")
+                                             "cid long, f int, toks array<long>").dropDuplicates(["cid", "f"]), "segments", parts)
     # now that few classes are left, count all their shingles: one that no other
     # class left has cannot be shared, so the overlap is bounded by the rest
     alone = (segs.select("cid", F.explode("toks").alias("tok")).groupBy("tok")
              .agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(F.count("*").cast("int").alias("alone")))
-    pre = (pre.join(saved(alone, "alone"), "cid", "left").withColumn("own", F.coalesce("alone", F.lit(0))).drop("alone")
+    pre = (pre.join(saved(alone, "alone", parts), "cid", "left").withColumn("own", F.coalesce("alone", F.lit(0))).drop("alone")
            .where(f"{den} * (n - own) >= {num} * n"))
     some = pre.groupBy("tok").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("tok")
-    pre = saved(pre.join(some, "tok"), "buckets")
+    pre = saved(pre.join(some, "tok"), "buckets", parts)
     links, tested, labels = None, None, None
     bound = F.expr(f"{num + den} * least(n - pos, n2 - pos2, n - own, n2 - own2) >= {num} * (n + n2)")
 
@@ -236,7 +239,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
         else:
             if not now.take(1):
                 break
-            now = saved(now, "left")
+            now = saved(now, "left", parts)
             # which components can meet at all, by size and by the earliest place of the shingle
             kinds = now.groupBy("tok", "label", "n").agg(F.min("pos").alias("pos"), F.min("own").alias("own"))
             kinds2 = kinds.select(F.col("tok").alias("tok2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"))
@@ -248,15 +251,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
         pairs = _ordered_pairs(cand)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        pairs = saved(pairs, "pairs", parts)
         if not pairs.take(1):
             if turn < leader_rounds:
                 continue
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        got = saved(_verify(pairs, segs, num, den), "verified")
+        got = saved(_verify(pairs, segs, num, den, parts), "verified", parts)
         links = got if links is None else links.unionByName(got)
-        labels = saved(components(links), "labels")
+        labels = saved(components(links, parts=parts), "labels", parts)
     first = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
     if labels is not None:
         first = first.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -264,7 +267,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
         first = first.select("cid", "label").join(lows, "label")
     else:
         first = first.select("cid", F.col("cid").alias("label"), F.col("low").alias("component_id"))
-    first = saved(first.select("cid", F.col("label").alias("component"), "component_id"), "components")
+    first = saved(first.select("cid", F.col("label").alias("component"), "component_id"), "components", parts)
     linked = F.col("n") > 0
     return (rows.select("doc_id", "key", "cid", "n").join(first, "cid", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),

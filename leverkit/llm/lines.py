@@ -36,6 +36,8 @@ from leverkit.llm.components import components
 TAU = 2
 MIN_CHARS = 20
 SLOTS = 1 << 21
+#: lines per file of an intermediate table
+LINES_A_FILE = 50_000
 
 _rng = np.random.default_rng(7)
 _POINT = _rng.integers(1, 2**63, 0x110000, dtype=np.uint64)
@@ -218,16 +220,16 @@ def _near(tau: int):
     return run
 
 
-def _verified(spark, d: DataFrame, keys: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
+def _verified(spark, d: DataFrame, keys: DataFrame, pairs: DataFrame, tau: int, parts: int) -> DataFrame:
     """The pairs (a, b) whose lines are within tau edits."""
     wanted = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-                   .join(keys.select("id", "line"), "id"), "wanted-lines")
+                   .join(keys.select("id", "line"), "id"), "wanted-lines", parts)
     slot = F.conv(F.substring(F.hex("line"), 1, 8), 16, 10).cast("long") % SLOTS
     slots = np.zeros(SLOTS, np.uint8)
     slots[wanted.select(slot.cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()] = 1
     slots = spark.sparkContext.broadcast(slots)
     texts = saved(d.select("text").mapInArrow(_texts(slots), "line binary, s string").dropDuplicates(["line"])
-                  .join(wanted, "line").select("id", "s"), "line-texts")
+                  .join(wanted, "line").select("id", "s"), "line-texts", parts)
     return (pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
             .select("a", "b", "sa", "sb").mapInArrow(_near(tau), "a long, b long"))
@@ -253,9 +255,10 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
            .select("doc_id", "key", "line_no", F.unhex(F.md5("s")).alias("line"),
                    ((F.length("s") >= min_chars) & (F.length(F.trim("s")) > 0)).alias("long")))
     occ = saved(occ, "occurrences")
+    parts = 1 + occ.count() // LINES_A_FILE
     keys = d.select("text").mapInArrow(_keys(tau, min_chars), "line binary, copies long, sig long, index array<long>, probe array<long>")
     keys = saved(keys.groupBy("line").agg(F.sum("copies").alias("copies"), *[F.first(c, ignorenulls=True).alias(c) for c in ("sig", "index", "probe")])
-                 .withColumn("id", F.monotonically_increasing_id()), "line-keys")
+                 .withColumn("id", F.monotonically_increasing_id()), "line-keys", parts)
     near = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig2"))) <= 2 * tau
 
     def pair(x):
@@ -268,31 +271,31 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
         keys.select("id", "sig", F.lit(False).alias("own"), F.explode("probe").alias("k")))
     met = (every.join(leaders, "k").where("id <> l.id")
            .select("k", "id", "sig", "own", F.col("l.id").alias("id2"), F.col("l.sig").alias("sig2")))
-    met = saved(met, "line-keys-met")
+    met = saved(met, "line-keys-met", parts)
     # first each line meets one leader, that of most of its keys
     one = (met.where(near).groupBy("id", "id2").agg(F.count("*").alias("keys"))
            .groupBy("id").agg(F.max_by("id2", F.struct("keys", "id2")).alias("id2")))
-    pairs = saved(pair(one), "line-pairs")
-    links = saved(_verified(spark, d, keys, pairs, tau), "line-links")
-    label = saved(components(links), "line-labels").withColumnRenamed("node", "id")
+    pairs = saved(pair(one), "line-pairs", parts)
+    links = saved(_verified(spark, d, keys, pairs, tau, parts), "line-links", parts)
+    label = saved(components(links, parts=parts), "line-labels", parts).withColumnRenamed("node", "id")
     # then what is still apart
     met = met.join(label, "id", "left").join(label.select(F.col("id").alias("id2"), F.col("label").alias("label2")), "id2", "left")
-    met = saved(met.withColumns({"label": F.coalesce("label", "id"), "label2": F.coalesce("label2", "id2")}), "line-keys-apart")
+    met = saved(met.withColumns({"label": F.coalesce("label", "id"), "label2": F.coalesce("label2", "id2")}), "line-keys-apart", parts)
     apart = met.groupBy("k").agg(F.min(F.least("label", "label2")).alias("x"), F.max(F.greatest("label", "label2")).alias("y")).where("x < y").select("k")
-    rest = saved(met.join(apart, "k"), "line-rest")
+    rest = saved(met.join(apart, "k"), "line-rest", parts)
     other = rest.where("own").select(F.col("k").alias("k2"), F.col("id").alias("id3"), F.col("sig").alias("sig3"), F.col("label").alias("label3"))
     among = (rest.join(other, (F.col("k") == F.col("k2")) & (F.col("label") != F.col("label3"))
                        & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig3"))) <= 2 * tau))
              .select("id", F.col("id3").alias("id2")))
     more = pair(rest.where("label <> label2").where(near).select("id", "id2").unionByName(among)).join(pairs, ["a", "b"], "left_anti")
-    more = saved(more, "line-pairs")
+    more = saved(more, "line-pairs", parts)
     if more.take(1):
-        links = links.unionByName(saved(_verified(spark, d, keys, more, tau), "line-links"))
-    labels = saved(components(links), "line-labels")
+        links = links.unionByName(saved(_verified(spark, d, keys, more, tau, parts), "line-links", parts))
+    labels = saved(components(links, parts=parts), "line-labels", parts)
     first = F.min(F.struct("doc_id", "key", "line_no"))
     # the class of a line that has links, by the line
-    named = saved(labels.join(keys.select(F.col("id").alias("node"), "line"), "node").select("line", "label"), "line-classes")
-    firsts = saved(occ.where("long").groupBy("line").agg(first.alias("f")), "line-firsts")
+    named = saved(labels.join(keys.select(F.col("id").alias("node"), "line"), "node").select("line", "label"), "line-classes", parts)
+    firsts = saved(occ.where("long").groupBy("line").agg(first.alias("f")), "line-firsts", parts)
     linked = firsts.join(named, "line")
     ahead = linked.groupBy("label").agg(F.min("f").alias("g"))
     linked = linked.join(ahead, "label").select("line", "g")
