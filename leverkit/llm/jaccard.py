@@ -12,9 +12,11 @@ a fragment rarer shingles come first.  Work goes in this order:
    Of the classes that are left all shingles are then counted: a class of
    which more than a tenth are in no other class left has no link;
 3. classes that share a prefix shingle become candidates.  First each bucket is
-   compared with a leader only, the class with the fewest shingles of its own,
-   in a few rounds of at most one pair a class; classes connected by now need
-   no further comparison.  Then all pairs of a bucket that lie in different
+   compared with a leader only, the class with the fewest shingles of its own
+   (at most one pair a class); then, in a few rounds, classes that stand next
+   to each other in a bucket ordered by the least hashes of their prefixes
+   (for chains of copies of copies, which no leader resembles).  Classes
+   connected by now need no further comparison.  Then all pairs of a bucket that lie in different
    components are compared, as far as their sizes, the shingle's places and
    the shingles that only they have leave a link possible.  So a large group of near copies costs about its
    size, not its square, and no link between components is lost;
@@ -43,7 +45,10 @@ NUM, DEN = 90, 100
 #: share of the hash space in fragment 0, and the number of equal fragments above it
 HEAD = 3 / 16
 TAIL_FRAGMENTS = 5
-LEADER_ROUNDS = 2
+#: rounds of neighbours between the leader round and the pairs that are left, and
+#: how many rows before a class in a bucket's order it is compared with in each
+NEIGHBOUR_ROUNDS = 2
+NEIGHBOURS = 3
 #: slots of the filter of wanted classes that is broadcast, one byte each
 SLOTS = 1 << 21
 #: documents per file of an intermediate table
@@ -180,8 +185,40 @@ def _ordered_pairs(df: DataFrame) -> DataFrame:
                      pick("n", "n2").alias("n"), pick("n2", "n").alias("n2")).distinct()
 
 
+_SIDE = ("cid", "n", "pos", "own", "label")
+
+
+def _behind(batches):
+    """Over rows sorted by bucket and signature: each row with the few before
+    it in its bucket.  Pairs across a task's border are not needed."""
+    last = None
+    for b in batches:
+        t = np.array(b.column("tok"), np.int64)
+        v = np.column_stack([np.array(b.column(c), np.int64) for c in _SIDE]) if len(t) else np.zeros((0, len(_SIDE)), np.int64)
+        if last is not None:
+            t, v = np.concatenate([last[0], t]), np.concatenate([last[1], v])
+        new, out = len(t) - b.num_rows, []
+        for k in range(1, NEIGHBOURS + 1):
+            at = np.arange(max(new, k), len(t))
+            at = at[t[at] == t[at - k]]
+            out.append(np.concatenate([v[at], v[at - k]], 1))
+        out = np.concatenate(out)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, i]) for i in range(2 * len(_SIDE))], [*_SIDE, *(f"{c}2" for c in _SIDE)])
+        last = t[-NEIGHBOURS:], v[-NEIGHBOURS:]
+
+
+def _neighbours(now: DataFrame, turn: int, parts: int) -> DataFrame:
+    """Pairs of classes that stand next to each other in a bucket when it is
+    ordered by the least hashes of their prefixes: alike sets begin alike."""
+    sig = now.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set(F.xxhash64("tok", F.lit(turn)))), 1, 4).alias("sig"))
+    order = ["tok", "sig", "cid"]
+    pairs = (now.join(sig, "cid").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("tok", *_SIDE)
+             .mapInArrow(_behind, ", ".join(f"{c} long" for c in (*_SIDE, *(f"{c}2" for c in _SIDE)))))
+    return pairs.where("label <> label2")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN,
-                       word_class: np.ndarray = SPACE_WORDS, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+                       word_class: np.ndarray = SPACE_WORDS, neighbour_rounds: int = NEIGHBOUR_ROUNDS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest
     doc_id reachable by links, its own included), component (a label; null
     without shingles) and key (content key of the text).
@@ -218,24 +255,25 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     links, tested, labels = None, None, None
     bound = F.expr(f"{num + den} * least(n - pos, n2 - pos2, n - own, n2 - own2) >= {num} * (n + n2)")
 
-    for turn in range(leader_rounds + 1):
+    for turn in range(neighbour_rounds + 2):
         now = pre.withColumn("label", F.col("cid"))
         if labels is not None:
             now = (pre.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
                    .withColumn("label", F.coalesce("label", "cid")))
             split = now.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("tok")
             now = now.join(split, "tok")
-        if turn < leader_rounds:
-            band = F.floor(F.log("n") / math.log(den / num) + turn / leader_rounds).alias("band")
-            rank = F.struct(F.col("own") if turn == 0 else F.lit(0), F.xxhash64("cid", F.lit(turn)))
-            lead = (now.groupBy("tok", band).agg(F.min_by(F.struct("cid", "n", "pos", "own", "label"), rank).alias("l"))
-                    .select("tok", "band", F.col("l.cid").alias("cid2"), F.col("l.n").alias("n2"),
-                            F.col("l.pos").alias("pos2"), F.col("l.own").alias("own2"), F.col("l.label").alias("label2")))
+        if turn == 0:
+            band = F.floor(F.log("n") / math.log(den / num)).alias("band")
+            lead = (now.groupBy("tok", band).agg(F.min_by(F.struct(*_SIDE), F.struct("own", "cid")).alias("l"))
+                    .select("tok", "band", *[F.col(f"l.{c}").alias(f"{c}2") for c in _SIDE]))
             cand = now.withColumn("band", band).join(lead, ["tok", "band"]).where("label <> label2").where(_comparable(num, den)).where(bound)
             # each class meets one leader, that of most of its buckets: at most a pair a class
             cand = (cand.groupBy("cid", "n", "cid2", "n2").agg(F.count("*").alias("met"))
                     .groupBy("cid", "n").agg(F.max_by(F.struct("cid2", "n2"), F.struct("met", "cid2")).alias("l"))
                     .select("cid", "n", "l.cid2", "l.n2"))
+        elif turn <= neighbour_rounds:
+            cand = _neighbours(now, turn, parts).where(_comparable(num, den)).where(bound)
+            cand = cand.select("cid", F.col("n").cast("int"), "cid2", F.col("n2").cast("int"))
         else:
             if not now.take(1):
                 break
@@ -253,7 +291,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs", parts)
         if not pairs.take(1):
-            if turn < leader_rounds:
+            if turn <= neighbour_rounds:
                 continue
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
