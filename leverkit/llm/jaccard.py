@@ -51,6 +51,7 @@ NEIGHBOUR_ROUNDS = 2
 NEIGHBOURS = 3
 #: slots of the filter of wanted classes that is broadcast, one byte each
 SLOTS = 1 << 21
+ALONE_ROUNDS = 3
 #: documents per file of an intermediate table
 ROWS_A_FILE = 5_000
 
@@ -246,12 +247,16 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
                                              "cid long, f int, toks array<long>").dropDuplicates(["cid", "f"]), "segments", parts)
     # now that few classes are left, count all their shingles: one that no other
     # class left has cannot be shared, so the overlap is bounded by the rest
-    alone = (segs.select("cid", F.explode("toks").alias("tok")).groupBy("tok")
-             .agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(F.count("*").cast("int").alias("alone")))
-    pre = (pre.join(saved(alone, "alone", parts), "cid", "left").withColumn("own", F.coalesce("alone", F.lit(0))).drop("alone")
-           .where(f"{den} * (n - own) >= {num} * n"))
-    some = pre.groupBy("tok").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("tok")
-    pre = saved(pre.join(some, "tok"), "buckets", parts)
+    # (again, as what one count drops makes more shingles single)
+    left = segs
+    for _ in range(ALONE_ROUNDS):
+        alone = (left.select("cid", F.explode("toks").alias("tok")).groupBy("tok")
+                 .agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(F.count("*").cast("int").alias("alone")))
+        pre = (pre.drop("own").join(saved(alone, "alone", parts), "cid", "left").withColumn("own", F.coalesce("alone", F.lit(0))).drop("alone")
+               .where(f"{den} * (n - own) >= {num} * n"))
+        some = pre.groupBy("tok").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("tok")
+        pre = saved(pre.join(some, "tok"), "buckets", parts)
+        left = segs.join(pre.select("cid").distinct(), "cid", "left_semi")
     links, tested, labels = None, None, None
     bound = F.expr(f"{num + den} * least(n - pos, n2 - pos2, n - own, n2 - own2) >= {num} * (n + n2)")
 
