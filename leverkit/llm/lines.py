@@ -284,7 +284,9 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     apart = met.groupBy("k").agg(F.min(F.least("label", "label2")).alias("x"), F.max(F.greatest("label", "label2")).alias("y")).where("x < y").select("k")
     rest = saved(met.join(apart, "k"), "line-rest", parts)
     other = rest.where("own").select(F.col("k").alias("k2"), F.col("id").alias("id3"), F.col("sig").alias("sig3"), F.col("label").alias("label3"))
+    # two lines that both have the key meet once
     among = (rest.join(other, (F.col("k") == F.col("k2")) & (F.col("label") != F.col("label3"))
+                       & (~F.col("own") | (F.col("id") < F.col("id3")))
                        & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig3"))) <= 2 * tau))
              .select("id", F.col("id3").alias("id2")))
     more = pair(rest.where("label <> label2").where(near).select("id", "id2").unionByName(among)).join(pairs, ["a", "b"], "left_anti")
