@@ -298,7 +298,8 @@ def search(df: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
              .join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumn("cell", cell))
     near = (left.groupBy("cell").cogroup(right.groupBy("cell"))
             .applyInArrow(_rank(k), "query_id long, vec_id long, score double"))
-    near = saved(near, "near")
+    # a row met in several tables comes from several cells: it counts once
+    near = saved(near.distinct(), "near")
     # queries whose buckets held fewer than k rows: all rows, a bounded block of queries at a time
     least = min(k, vectors.count() - 1)
     full = near.groupBy("query_id").count().where(F.col("count") >= least).select(F.col("query_id").alias("vec_id"))

@@ -455,6 +455,23 @@ def test_neighbours(spark):
     assert {r.query_id for r in few} <= {0} and len(few) <= 4
 
 
+def test_every_query_gets_k_neighbours(spark):
+    """A dense region, and a group of 10 far from it that a query meets in each table."""
+    g = np.random.default_rng(3)
+    x = np.concatenate([np.full((3000, 16), 0.25) + g.standard_normal((3000, 16)) * 0.05,
+                        np.full((10, 16), -0.25) + g.standard_normal((10, 16)) * 1e-4])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in neighbours.search(d).collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, 3010, 20))
+    assert all(len(set(v)) == len(v) == 20 for v in got.values())
+    assert set(range(3001, 3010)) <= set(got[3000])
+    few = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[-10:])], "vec_id long, embedding array<float>")
+    assert {r.vec_id for r in neighbours.search(few).collect()} == set(range(1, 10))
+
+
 # ---------------------------------------------------------------- tokens
 
 def test_token_counts(spark, rows, docs, empty):
