@@ -1,16 +1,17 @@
 """Operator 9: personal data, with information-theoretic sanitisation.
 
 Protected entities are the e-mail addresses, IP addresses, card numbers and
-phone numbers that patterns find.  A term (word of three letters or more) that
-stands near an entity reveals it as far as the corpus says so: with N
+phone numbers that patterns find.  A term (word of three letters or more) in a
+document with an entity reveals it as far as the corpus says so: with N
 documents, n(e) of them naming the entity, n(t) containing the term and
-n(e, t) naming the entity near the term,
+n(e, t) naming the entity and containing the term outside of all entities,
 
     PMI(e; t) = log2(N n(e, t) / (n(e) n(t))),   IC(e) = -log2(n(e) / N),
 
 and the term's disclosure is PMI / IC: 1 if the term gives the entity away,
-0 or less if it says nothing.  Terms at or above a threshold, seen near the
-entity in two different contexts at least, are generalised (or removed) near
+0 or less if it says nothing.  Terms at or above a threshold, seen with the
+entity in two different texts at least, or near it in two different contexts,
+are generalised (or removed) wherever they stand in the documents that name
 the entity, as the entity itself is.
 
 DataFrame functions only.  Positions are counted from the lengths of what lies
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leverkit.llm.common import saved, table, text_key
+from leverkit.llm.common import saved, small_or_plain, table, text_key
 
 #: the kinds in the order in which spans that begin together are listed
 KINDS = ("email", "ip", "card", "phone")
@@ -38,7 +39,8 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP_OK = rf"^{_PART}(?:\.{_PART}){{3}}$"
-#: code points on each side of an entity, up to the next entity, that are its context
+#: code points on each side of an entity, up to the next entity, that are its
+#: context: two of them in one text support a term as two texts do
 CONTEXT = 60
 THRESHOLD = 0.8
 SUPPORT = 2
@@ -124,29 +126,61 @@ def _near(text: Column, spans: Column, context: int) -> Column:
     return F.transform(spans, one)
 
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    runs = F.array_distinct(F.split(text, r"[^\p{L}]++"))
+    return F.array_distinct(F.transform(F.filter(runs, lambda w: F.length(w) >= 3), F.lower))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a blank for every span."""
+    def step(acc, s):
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+                        F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.lit(" ")).alias("out"))
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                       lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
 def scan(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """doc_id, key (content key), spans (base entities), near (see _near)."""
+    """doc_id, key (content key), spans (base entities) and, of documents with
+    an entity, near (see _near), terms (outside of entities) and the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), text.alias("text"))
     d = d.withColumn("spans", base_spans(F.col("text")))
-    return d.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, _near(F.col("text"), F.col("spans"), context)).alias("near"))
+    has = lambda c: F.when(F.size("spans") > 0, c)
+    return d.select("doc_id", "key", "spans", has(_near(F.col("text"), F.col("spans"), context)).alias("near"),
+                    has(_terms(_outside(F.col("text"), F.col("spans")))).alias("terms"), has(F.col("text")).alias("text"))
+
+
+def _named() -> Column:
+    """array<struct<kind, value>> of the distinct entities of a document."""
+    return F.array_distinct(F.transform("near", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
 
 
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """kind, value, term, support, disclosure for every entity and term near it."""
-    m = found.select("key", F.inline("near"))
+def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """kind, value, term, support, disclosure for every entity and term that
+    share ``support`` texts, or contexts, at least."""
     n_docs = found.count()
-    near_docs = found.where("near is not null").groupBy("key").agg(F.count("*").alias("copies"), F.first("near").alias("near"))
-    near_docs = near_docs.select("copies", "key", F.inline("near"))
-    entities = near_docs.dropDuplicates(["kind", "value", "key"]).groupBy("kind", "value").agg(F.sum("copies").alias("n_e"))
-    both = near_docs.select("kind", "value", "key", "copies", F.explode("terms.term").alias("term")).dropDuplicates(["kind", "value", "key", "term"])
-    both = both.groupBy("kind", "value", "term").agg(F.sum("copies").alias("n_et"))
-    contexts = (m.select("kind", "value", "context", F.explode("terms.term").alias("term")).distinct()
-                .groupBy("kind", "value", "term").agg(F.count("*").alias("support")))
-    both = saved(both.join(contexts, ["kind", "value", "term"]), "near-terms")
+    texts = found.where("near is not null").groupBy("key").agg(F.count("*").alias("copies"), F.first("near").alias("near"), F.first("terms").alias("terms"))
+    texts = saved(texts, "texts")
+    near = texts.select(F.inline("near"))
+    contexts = near.groupBy("kind", "value", "context").agg(F.lit(1).alias("one")).groupBy("kind", "value").agg(F.count("*").alias("contexts"))
+    entities = (texts.select("copies", F.inline(_named())).groupBy("kind", "value")
+                .agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).join(contexts, ["kind", "value"]))
+    # an entity seen in fewer texts and contexts has no term with that support
+    entities = saved(entities.where(F.greatest("texts", "contexts") >= support).select("kind", "value", "n_e"), "known")
+    named = (texts.select("key", "copies", F.inline(_named())).join(small_or_plain(entities, 64), ["kind", "value"], "left_semi")
+             .groupBy("key").agg(F.collect_list(F.struct("kind", "value")).alias("e")))
+    both = (texts.select("key", "copies", "terms").join(named, "key").select("copies", "terms", F.inline("e"))
+            .select("kind", "value", "copies", F.explode("terms").alias("term"))
+            .groupBy("kind", "value", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")))
+    close = (near.select("kind", "value", "context", F.explode("terms.term").alias("term")).distinct()
+             .groupBy("kind", "value", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support))
+    both = (both.join(close, ["kind", "value", "term"], "left")
+            .withColumn("support", F.greatest("texts", "contexts")).where(F.col("support") >= support))
+    both = saved(both.select("kind", "value", "term", "n_et", "support"), "shared-terms")
     wanted = both.select("term").distinct()
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))
-    terms = (docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = (docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
              .join(wanted, "term"))
     ic = -F.log2(F.col("n_e") / F.lit(n_docs))
     pmi = F.log2(F.lit(float(n_docs)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
@@ -156,7 +190,7 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def personal_data(docs: DataFrame, context: int = CONTEXT, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """One row a document: doc_id, key, spans (base entities) and term_spans
-    (terms near an entity that give it away), both as
+    (terms that give away an entity of the document), both as
     array<struct<start, kind, end, s>>; positions are code points, end exclusive.
 
     Defined cases: null and empty texts have no spans; base spans of one kind
@@ -166,15 +200,16 @@ def personal_data(docs: DataFrame, context: int = CONTEXT, threshold: float = TH
     an empty table gives no rows; other columns are not looked at.
     """
     found = saved(scan(docs, context), "entities")
-    bad = disclosures(docs, found).where((F.col("disclosure") >= threshold) & (F.col("support") >= support))
-    bad = saved(bad.select("kind", "value", "term"), "disclosing")
-    terms = (found.where("near is not null").dropDuplicates(["key"]).select("key", F.inline("near"))
-             .select("key", "kind", "value", F.inline("terms"))
-             .join(bad, ["kind", "value", "term"]).groupBy("key")
-             .agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.col("term").alias("s")))).alias("t")))
-    free = F.filter("t", lambda x: ~F.exists("spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.join(terms, "key", "left").select(
-        "doc_id", "key", "spans", F.coalesce(free, F.array().cast(_SPAN)).alias("term_spans"))
+    bad = disclosures(docs, found, support).where(F.col("disclosure") >= threshold)
+    bad = saved(bad.groupBy("kind", "value").agg(F.collect_set("term").alias("t")), "disclosing")
+    terms = (found.where("near is not null").select("key", F.explode(_named()).alias("e")).distinct().select("key", "e.*")
+             .join(bad, ["kind", "value"]).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t")))
+    places = _found(F.concat(F.lit(" "), "text", F.lit(" ")), _TERM, lambda m: F.array_contains("t", F.lower(m)), F.lit(-1))
+    places = F.transform(places, lambda x: F.struct(
+        x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end"), F.lower(x["s"]).alias("s")))
+    free = F.filter(places, lambda x: ~F.exists("spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return found.select("doc_id", "key", "spans", "text").join(terms, "key", "left").select(
+        "doc_id", "key", "spans", F.when(F.col("t").isNotNull(), free).otherwise(F.array().cast(_SPAN)).alias("term_spans"))
 
 
 def sanitise(docs: DataFrame, remove: bool = False, **how) -> DataFrame:

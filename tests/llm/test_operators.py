@@ -350,6 +350,25 @@ def test_disclosing_terms(spark):
     assert "[" not in removed[1] and "Zanzibar" not in removed[1]
 
 
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    far = "nothing here for all of us, and his line is met " * 3
+    # near and far; far only, on both sides; behind a neighbouring entity
+    texts = [f"Zanzibar {i} {far}and jo@x.org {far}{i} zanzibar" for i in range(3)] + [f"ZANZIBAR {far}jo@x.org {i} for zanzibar" for i in range(2)]
+    texts += [f"{i} Quagga {far}from 10.1.2.{7}" for i in range(3)]
+    texts += [f"{i} Okapi u{i}@y.org v{i}@y.org +1 555 123 4567" for i in range(3)]
+    once = len(texts)
+    texts += [f"Gnu {far}sole@z.org", f"Gnu {far}sole@z.org", "Zanzibar alone"]  # copies are one text
+    texts += [f"{far}{i}" for i in range(80)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.term_spans for x in privacy.personal_data(d).collect()}
+    for i, word in [(i, "zanzibar") for i in range(5)] + [(i, "quagga") for i in range(5, 8)] + [(i, "okapi") for i in range(8, 11)]:
+        want = [m.span() for m in re.finditer(word, texts[i], re.I)]
+        assert want == [(s.start, s.end) for s in got[i] if s.s == word], texts[i]
+        assert not {s.s for s in got[i]} & set(far.replace(",", "").split())
+    assert all(got[i] == [] for i in range(once, len(texts)))
+    assert all(w not in x.text.lower() for x in privacy.sanitise(d).collect() if x.doc_id < once for w in ("zanzibar", "quagga", "okapi"))
+
+
 # ---------------------------------------------------------------- language model
 
 def brute_ctw(train, texts, depth):
