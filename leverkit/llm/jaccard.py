@@ -42,8 +42,7 @@ from leverkit.llm.components import components
 SHINGLE = 3
 #: links: DEN * intersection >= NUM * union
 NUM, DEN = 90, 100
-#: share of the hash space in fragment 0, and the number of equal fragments above it
-HEAD = 3 / 16
+#: number of equal fragments above fragment 0
 TAIL_FRAGMENTS = 5
 #: rounds of neighbours between the leader round and the pairs that are left, and
 #: how many rows before a class in a bucket's order it is compared with in each
@@ -55,8 +54,12 @@ ALONE_ROUNDS = 3
 #: documents per file of an intermediate table
 ROWS_A_FILE = 5_000
 
-_BOUNDS = np.array([int((HEAD + (1 - HEAD) * i / TAIL_FRAGMENTS) * 2**64) for i in range(TAIL_FRAGMENTS)],
-                   dtype=np.uint64)
+def _bounds(num: int, den: int) -> np.ndarray:
+    """Where the fragments above fragment 0 begin.  Fragment 0 has 15/8 of the
+    share of shingles that a prefix takes (3/16 of the hash space at 90/100),
+    less than half of the hash space."""
+    head = min(15 * (den - num) / (8 * den), 31 / 64)
+    return np.array([int((head + (1 - head) * i / TAIL_FRAGMENTS) * 2**64) for i in range(TAIL_FRAGMENTS)], dtype=np.uint64)
 
 
 def _sets(col, k: int, word_class):
@@ -82,13 +85,15 @@ def _prefix_size(n: int, num: int, den: int) -> int:
 
 
 def _classes(k: int, num: int, den: int, word_class):
+    bounds = _bounds(num, den)
+
     def run(batches):
         seen = set()  # classes that this task has sent: at most one a row
         for b in batches:
             cids, ns, toks, heads = [], [], [], []
             for _, s in _sets(b.column("text"), k, word_class):
                 cid = _digest(s)
-                head = int(np.searchsorted(s, _BOUNDS[0]))
+                head = int(np.searchsorted(s, bounds[0]))
                 cids.append(cid)
                 ns.append(len(s))
                 heads.append(head)
@@ -104,7 +109,7 @@ def _classes(k: int, num: int, den: int, word_class):
     return run
 
 
-def _segments(k: int, slots_b, word_class):
+def _segments(k: int, slots_b, word_class, bounds: np.ndarray):
     """Fragments of the wanted classes (a superset: the slot table has false positives)."""
     def run(batches):
         seen = set()
@@ -117,7 +122,7 @@ def _segments(k: int, slots_b, word_class):
                 if cid in seen or not slots[cid % len(slots)]:
                     continue
                 seen.add(cid)
-                cut = [0, *np.searchsorted(s, _BOUNDS).tolist(), len(s)]
+                cut = [0, *np.searchsorted(s, bounds).tolist(), len(s)]
                 out += [(cid, f, s[cut[f]:cut[f + 1]].view(np.int64)) for f in range(len(cut) - 1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))],
@@ -139,7 +144,7 @@ def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
     t = sent.select("cid", F.explode("toks").alias("tok"))
     counts = t.groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1")
     # unsigned comparison with the bound of fragment 0, which is below 2^63
-    tail = (F.col("tok") < 0) | (F.col("tok") >= F.lit(int(_BOUNDS[0])))
+    tail = (F.col("tok") < 0) | (F.col("tok") >= F.lit(int(_bounds(num, den)[0])))
     shared = (t.join(counts.hint("shuffle_hash"), "tok")
               .groupBy("cid").agg(F.collect_set(F.struct(tail.alias("tail"), "cnt", "tok")).alias("s")))
     d = shared.join(stats, "cid").withColumn("s", F.array_sort("s"))
@@ -243,7 +248,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     some = pre.groupBy("tok").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("tok")
     pre = saved(pre.join(some, "tok"), "buckets", parts)
     slots = spark.sparkContext.broadcast(_slots(pre, "cid"))
-    segs = saved(d.select("text").mapInArrow(_segments(shingle, slots, word_class),
+    segs = saved(d.select("text").mapInArrow(_segments(shingle, slots, word_class, _bounds(num, den)),
                                              "cid long, f int, toks array<long>").dropDuplicates(["cid", "f"]), "segments", parts)
     # now that few classes are left, count all their shingles: one that no other
     # class left has cannot be shared, so the overlap is bounded by the rest

@@ -76,6 +76,21 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     assert [re.sub("_.*", "", n) for n, _ in corpus_pipeline.STAGES] == ["language", "line", "ngram", "decontamination", "mixing"]
 
 
+def near_copies():
+    """A text; it with 2 of 100 words changed (0.81 by five-word shingles, 0.88
+    by three-word ones) and with 15 words added (0.86, 0.87); it with 3 words
+    changed (0.73); and another text."""
+    base = [f"w{i}" for i in range(100)]
+    change = lambda at: " ".join("x" + w if i in at else w for i, w in enumerate(base))
+    texts = [change([]), change([30, 60]), " ".join(base + [f"y{i}" for i in range(15)]), change([20, 50, 80]), "something else"]
+    return [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+
+
+def test_near_copy_stage_links_from_four_fifths(spark, tmp_path):
+    got = pipeline.drop_near_copies(spark, spark.createDataFrame(near_copies(), DOC), str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {0, 3, 4}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, name):
     sf = "/root/testdata/sf0.001"
