@@ -181,6 +181,18 @@ def scan_words(col: pa.Array, words: np.ndarray, limit: int = CHUNK_BYTES, lower
         yield Chunk(lo, hi, d, start, end, h, np.searchsorted(start, cut))
 
 
+def spaced_words(c: Chunk) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a chunk joined by one space, and where each begins and
+    ends: words i to j of one row are ``out[start[i]:end[j]]``."""
+    size = c.end - c.start
+    at = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    word = np.repeat(np.arange(len(size)), size)
+    k = np.arange(len(word))
+    out[k + word] = c.data[k - np.repeat(at - np.arange(len(size)) - c.start, size)]
+    return out.tobytes(), at, at + size
+
+
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 

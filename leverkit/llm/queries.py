@@ -1,10 +1,11 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from leverkit.llm import chat, ctw, decontaminate, jaccard, langid, lines, mixing, neighbours, privacy, tokens
+from leverkit.llm import chat, ctw, decontaminate, jaccard, langid, lines, mixing, neighbours, privacy, simhash, tokens
 
 QUERIES = {
     "op10_nearest": neighbours.op10_nearest,
+    "op11_simhash": simhash.op11_simhash,
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_token_counts": tokens.op3_token_counts,
