@@ -1,12 +1,13 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from leverkit.llm import chat, ctw, decontaminate, jaccard, langid, lines, mixing, negatives, neighbours, privacy, simhash, tokens
+from leverkit.llm import chat, ctw, decontaminate, jaccard, langid, lines, mixing, negatives, neighbours, privacy, runs, simhash, tokens
 
 QUERIES = {
     "op10_nearest": neighbours.op10_nearest,
     "op11_simhash": simhash.op11_simhash,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_periodic_runs": runs.op13_periodic_runs,
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_token_counts": tokens.op3_token_counts,
@@ -19,6 +20,7 @@ QUERIES = {
 }
 ORACLE = {
     "op12_hard_negatives": negatives.ORACLE,
+    "op13_periodic_runs": runs.ORACLE,
     "op2_decontamination": decontaminate.ORACLE,
     "op4_chat_format": chat.ORACLE,
     "op5_jaccard": jaccard.ORACLE,
