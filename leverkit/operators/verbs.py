@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import in_set
-from ..plans.ordered import exact_quantiles, row_number_in_group
+from ..plans.ordered import exact_quantiles
+from ..plans.selection import broadcast_if_small, digest_cuts
 
 
 
@@ -26,8 +27,14 @@ def scalar_aggs(df: DataFrame, aggs: dict[str, Column]) -> dict[str, Column]:
     that does not use it does not compute it.  The returned Columns are
     fields of the same struct subquery (Spark reuses it).
     """
-    sub = df.select(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("_s")).scalar()
-    return {n: sub[n] for n in aggs}
+    return scalar_aggs_of(df.select(*[a.alias(n) for n, a in aggs.items()]))
+
+
+def scalar_aggs_of(row: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row frame as one scalar subquery."""
+    names = row.columns
+    sub = row.select(F.struct(*names).alias("_s")).scalar()
+    return {n: sub[n] for n in names}
 
 
 def top_ties(df: DataFrame, by: Sequence[str], order_col: str | Sequence[str],
@@ -174,10 +181,13 @@ def stratified_split(df: DataFrame, key: Sequence[str], strata: str, prop: float
                      numeric_bins: int | None = None) -> DataFrame:
     """Deterministic stratified split with exact per-stratum proportions.
 
-    Rows are ordered inside their stratum by ``md5(key || ':' || seed)``;
-    the first ``floor(n * prop)`` go to training.  Numeric strata can be
-    binned into ``numeric_bins`` quantile bins first.  The row numbers come
-    from the split-safe primitive, so a large stratum is not one task.
+    Rows are ordered inside their stratum by ``md5(key || ':' || seed)``; the
+    first ``floor(n * prop)`` go to training (rows that share a key go to the
+    same side).  Numeric strata can be binned into ``numeric_bins`` quantile
+    bins first.  The order is never made: the digest that the last training
+    row has is found by counting (``selection.digest_cuts``), and the rows are
+    compared with it where they are; no row is moved.  A NULL stratum is a
+    stratum.
     """
     s = F.col(strata)
     if numeric_bins:
@@ -192,12 +202,9 @@ def stratified_split(df: DataFrame, key: Sequence[str], strata: str, prop: float
         df = df.withColumn("_stratum", s)
     h = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     df = df.withColumn("_h", h)
-    sizes = df.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_ns"))
-    ranked = row_number_in_group(df, ["_stratum"], ["_h", *key], "_rs")
-    # a NULL stratum is a stratum
-    out = join_keys_null_safe(ranked, sizes, ["_stratum"], "left") \
-                .withColumn(flag, (F.col("_rs") <= F.floor(F.col("_ns") * prop)).cast("int"))
-    return out.drop("_stratum", "_h", "_rs", "_ns")
+    cuts = broadcast_if_small(digest_cuts(df, ["_stratum"], "_h", prop))
+    out = join_keys_null_safe(df, cuts, ["_stratum"], "left").withColumn(flag, (F.col("_h") <= F.col("_cut")).cast("int"))
+    return out.drop("_stratum", "_h", "_n", "_cut")
 
 
 def describe_quantiles(df: DataFrame, col: str, prefix: str = "") -> DataFrame:

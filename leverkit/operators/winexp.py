@@ -40,11 +40,10 @@ def game_winner_label(pitches: DataFrame, game: str, order: Sequence[str],
 
 def side_win_label(home_win: str, half: str, name: str = "pitching_win",
                    top: str = "Top", bottom: str = "Bot") -> Column:
-    """Did the fielding side win?  The home side fields in the top half."""
+    """Did the fielding side win?  The home side fields in the top half, so it
+    won where "home won" and "top half" are both true or both false."""
     hw, h = F.col(home_win), F.col(half)
-    return (F.when(((hw == 1) & (h == top)) | ((hw == 0) & (h == bottom)), 1)
-             .when(((hw == 1) & (h == bottom)) | ((hw == 0) & (h == top)), 0)
-             .alias(name))
+    return F.when(hw.isin(0, 1) & h.isin(top, bottom), ((hw == 1) == (h == top)).cast("int")).alias(name)
 
 
 def starter_id(pitches: DataFrame, by: Sequence[str], order: Sequence[str],
