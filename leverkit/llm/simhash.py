@@ -191,7 +191,7 @@ def links(fps: DataFrame, n: int, distance: int = DISTANCE, block: int = BLOCK,
     keys = fps.select("fp", _keys(width, distance))
     met = keys.withColumns({"x": F.lit(0), "y": F.lit(0)})
     hot = saved(keys.groupBy("key").count().where(F.col("count") > block)
-                .select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hotkeys", 1)
+                .select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hotkeys")
     if hot.take(1):
         hot = small_or_plain(hot, 16)
         own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
