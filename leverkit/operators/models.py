@@ -22,13 +22,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import state as st
 from ..functions.nulls import flag
 from ..functions.zones import ZONES
+from ..session import materialize, shared_dir
 from .verbs import one_hot, stratified_split
 
 # --- fixed values: the published tuning grids (60 points each), learning
@@ -52,11 +53,21 @@ RUN_EXP_BEST = dict(max_depth=6, weight=4, subsample=1.0, eta=0.3)
 RUNS_STATE_BEST = dict(max_depth=3, weight=20, subsample=0.5, eta=0.05, rounds=241)
 RUNS_STATLINE_BEST = dict(max_depth=4, weight=12, subsample=1.0, eta=0.1)
 SWING_BEST = dict(max_depth=6, weight=16, subsample=1.0, eta=0.5, rounds=67)
+_BEST = {"win": WIN_BEST, "run_exp": RUN_EXP_BEST, "runs_state": RUNS_STATE_BEST, "runs_statline": RUNS_STATLINE_BEST, "swing": SWING_BEST}
 BB_TYPES = ["fly_ball", "ground_ball", "line_drive", "popup"]
 OUTCOME_PROBS = ["prob_1B", "prob_2B", "prob_3B", "prob_HR", "prob_K", "prob_BB",
                  "prob_SF", "prob_out"]
 
 
+def published(name: str, tune: bool = False) -> dict:
+    """Arguments of ``fit_gbt`` as published for a model: the best settings and
+    the round ceiling, or (``tune``) the 60-point search with its learning rate."""
+    t = TUNING[name]
+    if tune:
+        return {"grid": dict(t["grid"]), "fixed": dict(t["fixed"]), "max_rounds": t["max_rounds"]}
+    return {"fixed": dict(_BEST[name]), "max_rounds": t["max_rounds"]}
+
+
 @dataclass
 class FitResult:
     model: PipelineModel
@@ -96,28 +107,23 @@ def _stages(features: Sequence[str], nullable: Sequence[str], est):
                               outputCols=[f"{c}__imp" for c in imp]))
     cols = [f"{c}__imp" if c in imp else c for c in features] + [f"{c}__na" for c in imp]
     stages.append(VectorAssembler(inputCols=cols, outputCol="features"))
-    stages.append(est)
-    return stages
+    return stages + [est] if est else stages
+
+
+def _least_rows(kind: str, p: dict) -> int:
+    # a logistic node's hessian is at most 1/4 per row, so a weight of w needs
+    # at least 4w rows
+    return max(1, int(p.get("weight", 1)) * (4 if kind == "classifier" else 1))
 
 
 def _estimator(kind: str, label: str, p: dict, rounds: int, seed: int):
-    w = int(p.get("weight", 1))
     common = dict(labelCol=label, featuresCol="features", maxDepth=int(p.get("max_depth", 4)),
                   subsamplingRate=float(p.get("subsample", 1.0)),
                   stepSize=float(p.get("eta", 0.3)), maxIter=int(rounds), seed=seed,
                   maxBins=64, checkpointInterval=10)
     if kind == "classifier":
-        # a logistic node's hessian is at most 1/4 per row, so a weight of w
-        # needs at least 4w rows
-        return GBTClassifier(minInstancesPerNode=max(1, 4 * w), **common)
-    return GBTRegressor(minInstancesPerNode=max(1, w), lossType="squared", **common)
-
-
-def _losses(model: PipelineModel, valid: DataFrame, kind: str) -> list[float]:
-    """Held-out loss after every round, in one pass."""
-    gbt = model.stages[-1]
-    x = PipelineModel(stages=model.stages[:-1]).transform(valid)
-    return gbt.evaluateEachIteration(x) if kind == "classifier" else gbt.evaluateEachIteration(x, "squared")
+        return GBTClassifier(minInstancesPerNode=_least_rows(kind, p), **common)
+    return GBTRegressor(minInstancesPerNode=_least_rows(kind, p), lossType="squared", **common)
 
 
 def _constant_loss(train: DataFrame, valid: DataFrame, label: str, kind: str) -> float | None:
@@ -145,12 +151,15 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, kind: str = "reg
     ``grid`` maps max_depth / weight / subsample / eta to candidate lists;
     without a grid the ``fixed`` settings are used.  The rounds of a point are
     those with the least held-out loss; boosting goes on until ``patience``
-    more rounds bring nothing better, ``max_rounds`` at most.  With
+    more rounds bring nothing better, ``max_rounds`` at most
+    (``boosted_losses``).  All points share one written table of assembled
+    features and are fitted by a pool of driver threads; with
+    ``spark.scheduler.mode=FAIR`` their jobs share the cluster evenly.  With
     ``fixed['rounds']`` and no grid nothing is tuned, so nothing is fitted but
     the model itself.
     """
-    from ..session import materialize, shared_dir
-    shared_dir(df.sparkSession)  # GBT checkpoints its state every 10 rounds there
+    spark = df.sparkSession
+    shared_dir(spark)  # GBT checkpoints its state every 10 rounds there
     data = df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
     fixed, context = dict(fixed or {}), dict(context or {})
 
@@ -169,31 +178,88 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, kind: str = "reg
     # the split is read by every grid fit: written once to the shared
     # folder, so fits (and recovery from a lost executor) start from it
     split = materialize(stratified_split(data, key, strata, prop, seed=seed, numeric_bins=bins))
-    train = split.where("is_train = 1")
-    valid = split.where("is_train = 0")
+    train, valid = split.where("is_train = 1"), split.where("is_train = 0")
     points = [dict(zip(grid, v)) for v in itertools.product(*grid.values())] if grid else [{}]
+    # every point fits the same vectors: imputed and assembled once, and written
+    prep = Pipeline(stages=_stages(features, nullable, None)).fit(train)
+    table = materialize(prep.transform(split).select(label, "features", "is_train"))
 
     def run(p):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "tuning")  # shared fairly, if so scheduled
         q = {**fixed, **p}
-        rounds = min(max_rounds, 2 * patience)
-        while True:
-            # the same seed grows the same first trees, so doubling only goes on
-            losses = _losses(fit(q, train, rounds), valid, kind)
-            best = min(range(len(losses)), key=lambda i: (losses[i], i))
-            if best + patience < rounds or rounds >= max_rounds:
-                return {**q, "rounds": best + 1, "metric": float(losses[best])}
-            rounds = min(max_rounds, 2 * rounds)
+        losses = boosted_losses(table, label, kind, q, max_rounds, patience, seed)
+        best = min(range(len(losses)), key=lambda i: (losses[i], i))
+        return {**q, "rounds": best + 1, "metric": float(losses[best]), "tried": len(losses)}
 
     with ThreadPoolExecutor(max(1, min(parallelism, len(points)))) as ex:
         results = list(ex.map(run, points))
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
     best = min(enumerate(results), key=lambda t: (t[1]["metric"], t[0]))[1]
     rounds = int(fixed.get("rounds", best["rounds"]))
-    params = {k: v for k, v in best.items() if k not in ("rounds", "metric")}
+    params = {k: v for k, v in best.items() if k not in ("rounds", "metric", "tried")}
     model = fit(params, split.drop("_rowkey", "is_train"), rounds)
     return FitResult(model, params, rounds, best["metric"], results,
                      _constant_loss(train, valid, label, kind), context)
 
 
+#: rounds that go on from written sums before these are written again
+BLOCK = 10
+
+
+def _side(y, kind: str):
+    return 2 * y - 1 if kind == "classifier" else y
+
+
+def _residual(y, f, kind: str):
+    """What the next tree is fitted to: the negative gradient of the loss at the sum ``f``."""
+    y = _side(y, kind)
+    return 4 * y / (1 + F.exp(2 * y * f)) if kind == "classifier" else 2 * (y - f)
+
+
+def _loss(y, f, kind: str):
+    y = _side(y, kind)
+    return 2 * F.log1p(F.exp(-2 * y * f)) if kind == "classifier" else (y - f) ** 2
+
+
+def boosted_losses(table: DataFrame, label: str, kind: str, params: dict, max_rounds: int, patience: int, seed: int,
+                   first: int | None = None) -> list[float]:
+    """Held-out loss after each round, until ``patience`` rounds bring nothing
+    better (``max_rounds`` at most).  ``table`` has ``features``, ``label`` and
+    ``is_train``.
+
+    The first rounds are one ensemble fit.  If they do not settle it, boosting
+    goes on from the sum so far instead of starting again: each further round
+    is one tree fitted to the gradient at that sum, and the sums are written
+    every BLOCK rounds, when the block's held-out losses are read in one pass.
+    """
+    train, valid = table.where("is_train = 1"), table.where("is_train = 0")
+    rounds = min(max_rounds, first or 2 * patience)
+    model = _estimator(kind, label, params, rounds, seed).fit(train)
+    losses = model.evaluateEachIteration(valid) if kind == "classifier" else model.evaluateEachIteration(valid, "squared")
+    losses, state = list(losses), None
+    settled = lambda: len(losses) >= max_rounds or min(range(len(losses)), key=lambda i: (losses[i], i)) + patience < len(losses)
+    while not settled():
+        if state is None:
+            sums = model.transform(table)
+            f = vector_to_array("rawPrediction")[1] if kind == "classifier" else F.col("prediction")
+            state = materialize(sums.select(label, "features", "is_train", f.alias("_f")))
+        now, names = state, []
+        for i in range(min(BLOCK, max_rounds - len(losses))):
+            at = seed + len(losses) + i
+            rows = now.where("is_train = 1").withColumn("_r", _residual(F.col(label), F.col("_f"), kind))
+            share = float(params.get("subsample", 1.0))
+            tree = DecisionTreeRegressor(labelCol="_r", featuresCol="features", predictionCol="_t", maxDepth=int(params.get("max_depth", 4)),
+                                         minInstancesPerNode=_least_rows(kind, params), maxBins=64, seed=at)
+            tree = tree.fit(rows.sample(share, seed=at) if share < 1 else rows)
+            names.append(f"_f{i}")
+            now = tree.transform(now).withColumn("_f", F.col("_f") + float(params.get("eta", 0.3)) * F.col("_t")).drop("_t").withColumn(names[-1], F.col("_f"))
+        now = materialize(now)
+        got = now.where("is_train = 0").agg(*[F.avg(_loss(F.col(label), F.col(c), kind)).alias(c) for c in names]).first()
+        losses += [float(got[c]) for c in names]
+        state = now.drop(*names)
+    return losses
+
+
 def cross_fit_score(df: DataFrame, features: Sequence[str], label: str, name: str,
                     fold_key: str, k: int = 5, kind: str = "regressor",
                     params: dict | None = None, rounds: int = 50, seed: int = 101,

@@ -30,9 +30,10 @@ APP_KEYS = ["game_pk", "pitcher", "inning"]
 
 def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | None = None,
                   names: DataFrame | None = None, min_pa: int = 100,
-                  **fit_args) -> dict[str, DataFrame]:
-    """Path A.  ``fit_args`` go to every ``fit_gbt`` (the published settings by
-    default).  ``relief_pa`` holds the plate appearances to credit (same
+                  tune: bool = False, **fit_args) -> dict[str, DataFrame]:
+    """Path A.  The models are fitted with the published settings, or with
+    ``tune`` searched over the published grids; ``fit_args`` go to every
+    ``fit_gbt`` on top.  ``relief_pa`` holds the plate appearances to credit (same
     columns as ``pitches``, one row per PA); ``probs`` optional per
     (batter, game_year) outcome probabilities; ``names`` (pitcher,
     player_name)."""
@@ -50,9 +51,9 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
                fld_score="fld_score", inning="inning", outs="outs_when_up", state="base_sit")
     wdf, wfeats = models.win_expectancy_features(pa, **ctx)
     wfit = models.fit_gbt(wdf, wfeats, "pitching_win", kind="classifier",
-                          fixed=models.WIN_BEST, prop=0.65,
+                          prop=0.65,
                           key=["game_pk", "at_bat_number"], nullable=["_rate"],
-                          context={"drop_level": level or ""}, **fit_args)
+                          context={"drop_level": level or ""}, **{**models.published("win", tune), **fit_args})
     we = models.score(wfit.model, wdf, "updated_pitcher_win_exp", kind="classifier")
     delta = winexp.delta_win_expectancy(we, "game_pk", "inning_topbot", "at_bat_number",
                                         "updated_pitcher_win_exp", "post_bat_score",
@@ -67,18 +68,18 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
     # a plate appearance without a change has no swing and takes no part in the mean
     sdf = sdf.where(F.col(slabel).isNotNull())
     sfit = models.fit_gbt(sdf, sfeats, slabel,
-                          fixed=models.SWING_BEST, prop=0.65,
+                          prop=0.65,
                           key=["game_pk", "at_bat_number"], nullable=sfeats_null,
-                          context={"drop_level": level or ""}, **fit_args)
+                          context={"drop_level": level or ""}, **{**models.published("swing", tune), **fit_args})
     swing = models.score(sfit.model, sdf, "ab_win_expect", floor=0.001)
     # run expectancy of a plate appearance, trained on all PAs
     pz = pa.withColumn("attack_zone", attack_zone("plate_x", "plate_z", "sz_top", "sz_bot"))
     rdf, rfeats, rlabel = models.run_expectancy_features(
         pz, "bat_score", "post_bat_score", "hit_distance_sc", "launch_speed", "launch_angle",
         "launch_speed_angle", "attack_zone", "batter_season_wOBA", "base_sit", "bb_type")
-    rfit = models.fit_gbt(rdf, rfeats, rlabel, fixed=models.RUN_EXP_BEST,
+    rfit = models.fit_gbt(rdf, rfeats, rlabel, 
                           key=["game_pk", "at_bat_number"],
-                          nullable=["is_400ft", "below_0_LA", "barrel", "batter_woba"], **fit_args)
+                          nullable=["is_400ft", "below_0_LA", "barrel", "batter_woba"], **{**models.published("run_exp", tune), **fit_args})
     # relief PAs: scored run expectancy joined to the swing (leverage) table
     rel = relief_pa.join(woba_b, ["batter", "game_year"], "left") \
                    .withColumns({"base_sit": st.base_state("on_1b", "on_2b", "on_3b"),
@@ -110,7 +111,7 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
 
 def runs_saved_path(pitches: DataFrame, relief_pa: DataFrame, woba: DataFrame,
                     names: DataFrame | None = None, min_games: int = 25,
-                    **fit_args) -> dict[str, DataFrame]:
+                    tune: bool = False, **fit_args) -> dict[str, DataFrame]:
     """Path B.  ``woba`` is the (batter, game_year, wOBA) lookup; ``fit_args``
     as in path A."""
     p = pitches.withColumn("attack_zone", attack_zone("plate_x", "plate_z", "sz_top", "sz_bot"))
@@ -127,16 +128,16 @@ def runs_saved_path(pitches: DataFrame, relief_pa: DataFrame, woba: DataFrame,
                                                                     "base_3b")))
     a1, f1 = models.runs_allowed_state_features(t, "outs_start", "initial_base_sit",
                                                 "mean_wOBA", "pitch_number_appearance")
-    m1 = models.fit_gbt(a1, f1, "runs_allowed", fixed=models.RUNS_STATE_BEST, key=APP_KEYS,
-                        nullable=["mean_wOBA"], **fit_args)
+    m1 = models.fit_gbt(a1, f1, "runs_allowed", key=APP_KEYS,
+                        nullable=["mean_wOBA"], **{**models.published("runs_state", tune), **fit_args})
     statline = ["batters_faced", "outs_made", "strikeouts", "walks", "barrels",
                 "avg_exit_velocity", "Chase", "Heart", "Shadow", "Waste", "BIP", "GB", "LD",
                 "FB", "Pop"]
     a2, f2 = models.runs_allowed_statline_features(t, "outs_start", "initial_base_sit",
                                                    "mean_wOBA", "pitch_number_appearance",
                                                    statline)
-    m2 = models.fit_gbt(a2, f2, "runs_allowed", fixed=models.RUNS_STATLINE_BEST, key=APP_KEYS,
-                        nullable=["mean_wOBA", "outs_made"], **fit_args)
+    m2 = models.fit_gbt(a2, f2, "runs_allowed", key=APP_KEYS,
+                        nullable=["mean_wOBA", "outs_made"], **{**models.published("runs_statline", tune), **fit_args})
     s1 = models.score(m1.model, a1, "runs_bs").select(*APP_KEYS, "runs_bs")
     s2 = models.score(m2.model, a2, "exp_runs_allowed").select(*APP_KEYS, "exp_runs_allowed")
     years = pitches.select("game_pk", "game_year").distinct()

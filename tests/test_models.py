@@ -129,3 +129,35 @@ def test_null_stratum_and_null_groups(spark):
         (None, 1): 15, (None, 0): 5, ("a", 1): 15, ("a", 0): 5}
     assert saved.trim_open_quantiles(df, ["g"], "v").groupBy("g").count().count() == 2
     assert verbs.having_group_total(df, ["g"], "v", 0).count() == 40
+
+
+@pytest.mark.parametrize("kind", ["regressor", "classifier"])
+def test_boosting_goes_on_as_one_fit(spark, toy, kind):
+    """Rounds that go on from the written sums have the losses of one straight
+    fit of as many rounds."""
+    from pyspark.ml.feature import VectorAssembler
+    label = "y" if kind == "classifier" else "z"
+    x = toy.withColumn(label, F.col(label).cast("double")).withColumn("is_train", (F.col("k") % 4 > 0).cast("int"))
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(x).select(label, "features", "is_train").coalesce(1).checkpoint()
+    how = dict(max_depth=2, weight=2, subsample=1.0, eta=0.1)
+    straight = models.boosted_losses(x, label, kind, how, 16, 16, 7, first=16)
+    on = models.boosted_losses(x, label, kind, how, 16, 16, 7, first=4)
+    assert len(on) == len(straight) == 16
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(on, straight))
+
+
+def test_patience_ends_the_boosting(spark):
+    """Noise: nothing gets better, so it ends ``patience`` rounds after its best."""
+    from pyspark.ml.feature import VectorAssembler
+    r = random.Random(3)
+    df = spark.createDataFrame([(r.random(), r.gauss(0, 1), int(i % 3 > 0)) for i in range(300)], "a double, z double, is_train int")
+    x = VectorAssembler(inputCols=["a"], outputCol="features").transform(df).select("z", "features", "is_train").coalesce(1).checkpoint()
+    got = models.boosted_losses(x, "z", "regressor", dict(max_depth=4, eta=0.5), 200, 6, 1, first=3)
+    best = got.index(min(got))
+    assert best + 6 < len(got) <= best + 6 + 2 * models.BLOCK
+
+
+def test_published_arguments():
+    assert models.published("runs_statline") == {"fixed": models.RUNS_STATLINE_BEST, "max_rounds": 5000}
+    search = models.published("swing", tune=True)
+    assert search["fixed"] == {"eta": 0.5} and search["max_rounds"] == 500 and math.prod(map(len, search["grid"].values())) == 60
