@@ -44,6 +44,18 @@ def has_heavy_groups(df: DataFrame, by: Sequence[str], max_rows: int | None = No
     return g.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).limit(1).count() > 0
 
 
+def _neighbour(edges: DataFrame, step: int) -> DataFrame:
+    """Each range's row with, as ``_near``, that of the range ``step`` places
+    on.  One row a range, so as many as there are tasks: they are put in order
+    as one array, which needs no window over the table."""
+    row = F.struct("_p", *[c for c in edges.columns if c != "_p"])
+    one = edges.agg(F.sort_array(F.collect_list(row)).alias("a"))
+    # a place outside the array gives NULL, and a negative one must not count from its end
+    near = lambda i: F.when(i + step >= 0, F.get("a", i + step))
+    pairs = F.transform("a", lambda x, i: F.struct(x.alias("x"), near(i).alias("n")))
+    return one.select(F.explode(pairs).alias("e")).select("e.x.*", F.col("e.n").alias("_near"))
+
+
 class _Ranges:
     """A table range-partitioned on (by, order) and written.
 
@@ -80,8 +92,8 @@ class _Ranges:
         first = self.rows.groupBy("_p").agg(
             F.min_by(F.struct(self._group().alias("g"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in cols]).alias("v")),
                      self.place()).alias("f"))
-        w = Window.orderBy("_p")  # one row a range
-        return first.select("_p", F.lead("f").over(w).alias("f")).select("_p", F.col("f.g").alias("_g"), F.col("f.v").alias("_nf"))
+        n = _neighbour(first, 1)
+        return n.select("_p", F.col("_near.f.g").alias("_g"), F.col("_near.f.v").alias("_nf"))
 
     def before(self, total: Column) -> DataFrame:
         """Per range: ``_g``, its first group, and ``_before``, what ``total``
@@ -89,10 +101,9 @@ class _Ranges:
         size = self.rows.groupBy("_p", *self.by).agg(total.alias("t")).withColumn("g", self._group())
         ends = size.groupBy("_p").agg(F.min("g").alias("lo"), F.max(F.struct("g", "t")).alias("hi"))
         run = F.sum("hi.t").over(Window.partitionBy("hi.g").orderBy("_p"))
-        ends = ends.withColumn("run", run)
-        w = Window.orderBy("_p")
-        return ends.select("_p", F.col("lo").alias("_g"), F.when(
-            F.lag("hi.g").over(w).eqNullSafe(F.col("lo")), F.lag("run").over(w)).alias("_before"))
+        n = _neighbour(ends.withColumn("run", run), -1)
+        return n.select("_p", F.col("lo").alias("_g"), F.when(
+            F.col("_near.hi.g").eqNullSafe(F.col("lo")), F.col("_near.run")).alias("_before"))
 
     def attach(self, df: DataFrame, edges: DataFrame) -> DataFrame:
         # one row a range, as many as there are tasks
@@ -103,7 +114,8 @@ class _Ranges:
 
 
 def _heavy(df: DataFrame, by: Sequence[str], limit: int, assume_light: bool) -> bool:
-    return not assume_light and has_heavy_groups(df, by, limit)
+    # the whole table in one order is always ranged, whatever its size
+    return not assume_light and (not by or has_heavy_groups(df, by, limit))
 
 
 def lead_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str],
@@ -194,6 +206,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     by, limit = list(by), max_group_rows(df, max_rows)
     base = df.select(*by, value)
     if not has_heavy_groups(base, by, limit):
+        # an aggregate, not an order
         return base.groupBy(*by).agg(*[F.percentile(F.col(value), p).alias(k) for k, p in probs.items()])
     all_null = base.groupBy(*by).agg(F.count(value).alias("_n"))
     counts = base.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))

@@ -23,6 +23,7 @@ from ..functions.zones import attack_zone
 from ..operators import appearance as app
 from ..operators import models, persist, rest, saved, winexp
 from ..session import materialize
+from ..sources import io
 
 GAME_ORDER = ["at_bat_number", "pitch_number"]
 APP_KEYS = ["game_pk", "pitcher", "inning"]
@@ -30,10 +31,13 @@ APP_KEYS = ["game_pk", "pitcher", "inning"]
 
 def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | None = None,
                   names: DataFrame | None = None, min_pa: int = 100,
-                  tune: bool = False, **fit_args) -> dict[str, DataFrame]:
+                  tune: bool = False, pa_table: str | None = None, buckets: int = 200,
+                  **fit_args) -> dict[str, DataFrame]:
     """Path A.  The models are fitted with the published settings, or with
     ``tune`` searched over the published grids; ``fit_args`` go to every
-    ``fit_gbt`` on top.  ``relief_pa`` holds the plate appearances to credit (same
+    ``fit_gbt`` on top.  ``pa_table`` writes the plate appearances as a table
+    of that name, in ``buckets`` buckets by game, so that no later step of a
+    game moves them again.  ``relief_pa`` holds the plate appearances to credit (same
     columns as ``pitches``, one row per PA); ``probs`` optional per
     (batter, game_year) outcome probabilities; ``names`` (pitcher,
     player_name)."""
@@ -45,7 +49,9 @@ def leverage_path(pitches: DataFrame, relief_pa: DataFrame, probs: DataFrame | N
     x = x.withColumns({"pitching_win": winexp.side_win_label("home_win", "inning_topbot"),
                        "base_sit": st.base_state("on_1b", "on_2b", "on_3b")})
     x = x.join(woba_b, ["batter", "game_year"], "left")
-    pa = materialize(winexp.to_plate_appearance(x, "game_pk", "at_bat_number", "pitch_number"))
+    pa = winexp.to_plate_appearance(x, "game_pk", "at_bat_number", "pitch_number")
+    # by game in the warehouse, the leads below find each game in one place
+    pa = io.write_bucketed(pa, pa_table, ["game_pk"], buckets, GAME_ORDER) if pa_table else materialize(pa)
     level = models.modal_state(pa, "base_sit")
     ctx = dict(drop_level=level, half="inning_topbot", rate="batter_season_wOBA", bat_score="bat_score",
                fld_score="fld_score", inning="inning", outs="outs_when_up", state="base_sit")
@@ -200,7 +206,6 @@ def write_outputs(results: dict, out_dir: str, fmt: str = "parquet",
     from pyspark.sql import DataFrame as _DF
 
     from ..operators.models import FitResult, save_fit
-    from ..sources import io
 
     written = []
     for name, value in results.items():

@@ -257,6 +257,21 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()):
     w.parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, by: Sequence[str], buckets: int, sort: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as a table under the shared folder, dealt into ``buckets``
+    by ``by`` (and sorted inside by ``by`` and ``sort``), and read it back.
+
+    Windows, aggregates and joins on ``by`` (or on more columns than ``by``)
+    then need no exchange, and joins of two tables with the same buckets
+    neither.  Rows are dealt out once before the write, so each bucket is one
+    file, not one a task.
+    """
+    w = df.repartition(buckets, *by).write.mode("overwrite").format("parquet").bucketBy(buckets, *by)
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{table}"
+    w.sortBy(*by, *sort).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def date_spine(spark: SparkSession, start: str, end: str, name: str = "day") -> DataFrame:
     """One row per day from ``start`` to ``end`` inclusive."""
     return spark.range(1).select(F.explode(F.sequence(

@@ -33,7 +33,7 @@ def test_outs_per_half_inning_is_three(spark, game):
 
 def test_leverage_path(spark, game):
     pitches, pa, relief, names = game
-    out = paths.leverage_path(pitches, relief, names=names, min_pa=1, **FEW)
+    out = paths.leverage_path(pitches, relief, names=names, min_pa=1, pa_table="pa_of_the_path", buckets=4, **FEW)
     # the mean is taken over the credited (relief) appearances
     lev = out["credit"].agg(F.avg("leverage")).first()[0]
     assert math.isclose(lev, 1.0, rel_tol=1e-9)
