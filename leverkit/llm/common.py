@@ -20,12 +20,16 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leverkit.session import shared_dir
 
 CHUNK_BYTES = 1 << 20
+#: a sum of powers modulo 2^64 cannot tell some words of 1,024 bytes and more
+#: apart, whatever its base; longer words than this get a hash of another kind
+LONG_WORD = 255
 
 
 def importable(spark: SparkSession) -> None:
@@ -178,6 +182,8 @@ def scan_words(col: pa.Array, words: np.ndarray, limit: int = CHUNK_BYTES, lower
             run = np.zeros(len(d) + 1, np.uint64)
             np.cumsum(_BYTE[d] * up[:len(d)], out=run[1:])
             h = mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+        for j in np.flatnonzero(end - start > LONG_WORD):
+            h[j] = xxhash.xxh64_intdigest(d[start[j]:end[j]].tobytes(), LONG_WORD)
         yield Chunk(lo, hi, d, start, end, h, np.searchsorted(start, cut))
 
 
