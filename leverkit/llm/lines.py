@@ -34,7 +34,10 @@ from leverkit.llm.common import BROADCAST_BYTES, _power_tables, mix, row_chunks,
 from leverkit.llm.components import components
 
 TAU = 2
+#: characters of a line that takes part in the edit join; shorter ones of
+#: MIN_EXACT characters or more (without the spaces at their ends) meet their exact copies only
 MIN_CHARS = 20
+MIN_EXACT = 3
 SLOTS = 1 << 21
 #: lines per file of an intermediate table
 LINES_A_FILE = 50_000
@@ -235,13 +238,14 @@ def _verified(spark, d: DataFrame, keys: DataFrame, pairs: DataFrame, tau: int,
             .select("a", "b", "sa", "sb").mapInArrow(_near(tau), "a long, b long"))
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_exact: int = MIN_EXACT) -> DataFrame:
     """One row a line: doc_id, key (content key of the document's text),
     line_no (from 0), first_doc, first_key, first_line (the first occurrence of
     its class, in order of doc_id, content key and line), kept.
 
     Lines are split at line feeds.  Lines of fewer than ``min_chars``
-    characters and blank lines are classes of their own and are kept.
+    characters are linked with their exact copies only, and those of fewer than
+    ``min_exact`` (trimmed) and blank ones with nothing: they are kept.
 
     Defined cases: a null or empty text has no lines; a null doc_id sorts
     first; rows alike in id and text count as one document, so both keep the
@@ -253,7 +257,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     text_batches(spark)
     occ = (d.where(F.length("text") > 0).select("doc_id", text_key().alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "s"))
            .select("doc_id", "key", "line_no", F.unhex(F.md5("s")).alias("line"),
-                   ((F.length("s") >= min_chars) & (F.length(F.trim("s")) > 0)).alias("long")))
+                   ((F.length("s") >= min_chars) & (F.length(F.trim("s")) > 0) | (F.length(F.trim("s")) >= min_exact)).alias("long")))
     occ = saved(occ, "occurrences")
     parts = 1 + occ.count() // LINES_A_FILE
     keys = d.select("text").mapInArrow(_keys(tau, min_chars), "line binary, copies long, sig long, index array<long>, probe array<long>")
@@ -309,11 +313,11 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
                     F.col("f.line_no").alias("first_line"), F.col("f").eqNullSafe(me).alias("kept")))
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, min_exact: int = MIN_EXACT) -> DataFrame:
     """The documents, all their columns, with later lines of each class cut
     from ``text``.  A document that loses all its lines is dropped; one that
     had none stays.  ``n_chars``, where there is one, is the new length."""
-    cut = saved(line_classes(docs, tau, min_chars).where("not kept").groupBy("doc_id", "key")
+    cut = saved(line_classes(docs, tau, min_chars, min_exact).where("not kept").groupBy("doc_id", "key")
                 .agg(F.collect_set("line_no").alias("__cut")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__cut"), "cut")
     size = cut.agg(F.sum(F.size("__cut") * F.lit(4) + F.lit(96).cast("long"))).first()[0] or 0
     cut = F.broadcast(cut) if size <= BROADCAST_BYTES else cut

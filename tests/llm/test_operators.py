@@ -237,7 +237,7 @@ def brute_lines(rows, tau=lines.TAU, least=lines.MIN_CHARS):
         for i, s in enumerate(t.split("\n")):
             at = (-1 if d is None else d, key(t), i)
             seen.append((d, i, s, at))
-            if len(s) >= least and s.strip():
+            if len(s) >= least and s.strip() or len(s.strip(" ")) >= lines.MIN_EXACT:
                 where[s].append(at)
     names = list(where)
     up = {s: s for s in names}
@@ -247,7 +247,7 @@ def brute_lines(rows, tau=lines.TAU, least=lines.MIN_CHARS):
             x = up[x]
         return x
     for a, b in combinations(names, 2):
-        if abs(len(a) - len(b)) <= tau and distance(a, b) <= tau:
+        if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= tau and distance(a, b) <= tau:
             up[find(a)] = find(b)
     first = {}
     for s in names:
@@ -274,6 +274,14 @@ def test_lines(spark, rows, docs, empty):
     assert sorted((r.doc_id, r.first_doc) for r in lines.line_classes(pair).collect()) == [(1, 1), (2, 1), (3, 3)]
 
 
+def test_short_lines_meet_exact_copies(spark):
+    """A short footer is cut from all but its first document, a copy of short
+    lines goes whole; near copies of short lines, scraps and blanks stay."""
+    rows = [(1, "Menu\nHome\nab\n \nOf."), (2, "Menu\nHone\nab\n \nrest of it"), (3, "Menu\nHome\nOf."), (4, "ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == {1: rows[0][1], 2: "Hone\nab\n \nrest of it", 4: "ab"}
+
+
 # ---------------------------------------------------------------- language ID
 
 def test_language_id(spark, docs, empty, sf):

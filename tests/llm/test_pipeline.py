@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leverkit.llm import langid, pipeline, queries
+from leverkit.llm import langid, lines, pipeline, queries
+from leverkit.llm.common import saved
 
 from .test_operators import DOC, bench_words, brute_components, brute_lines, corpus, space_words, targets
 
@@ -91,6 +92,23 @@ def test_near_copy_stage_links_from_four_fifths(spark, tmp_path):
     assert {r.doc_id for r in got} == {0, 3, 4}
 
 
+def test_no_exact_copy_survives(spark, sf):
+    """Of documents alike in text, one at most is left after the two stages,
+    short lines or not."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    first, later = {}, set()
+    for i, t in sorted(rows):
+        if t and any(len(s.strip(" ")) >= lines.MIN_EXACT for s in t.split("\n")):
+            if t in first:
+                later.add(i)
+            first.setdefault(t, i)
+    left = pipeline.drop_near_copies(spark, saved(pipeline.dedup_lines(spark, docs, sf)), sf)
+    kept = {r.doc_id for r in left.select("doc_id").collect()}
+    assert len(later) > 50 and not later & kept
+    assert len(kept) > 0.8 * len(first)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, name):
     sf = "/root/testdata/sf0.001"
