@@ -54,13 +54,13 @@ def digest_cuts(df: DataFrame, by: Sequence[str], digest: str, share: float, lef
     while True:
         taken = min(length, taken + digits)
         counts = rows.groupBy(*by, F.substring("_d", 1, taken).alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
-        if open_ is None:
-            counts = materialize(counts)
-            open_ = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(
-                *by, "_n", F.floor(F.col("_n") * F.lit(share)).alias("_want"), F.lit("").alias("_cut"))
         # over counts of heads, not over rows: at most 16^digits or ``left`` a group
-        upto = Window.partitionBy(*by).orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-        run = _beside(counts, open_, by).withColumn("_to", F.sum("_c").over(upto))
+        every = Window.partitionBy(*by)
+        if open_ is None:
+            run = counts.withColumn("_n", F.sum("_c").over(every)).withColumns({"_want": F.floor(F.col("_n") * F.lit(share)), "_cut": F.lit("")})
+        else:
+            run = _beside(counts, open_, by)
+        run = run.withColumn("_to", F.sum("_c").over(every.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)))
         fits = F.col("_to") <= F.col("_want")
         fit = run.groupBy(*by).agg(F.max("_n").alias("_n"), F.max("_want").alias("_want"), F.max("_cut").alias("_old"),
                                    F.max(F.when(fits, F.col("_h"))).alias("_fit"), F.max(F.when(fits, F.col("_to"))).alias("_have"),
