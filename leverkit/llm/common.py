@@ -61,6 +61,7 @@ def text_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Rows of an Arrow batch of texts.  Spark's default of 10,000 is meant for
     narrow rows; texts of a few kilobytes make batches of tens of megabytes,
     held several times over by the JVM and the Python worker."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leverkit.llm.common import saved, small_or_plain, table
+from leverkit.llm.common import importable, saved, small_or_plain, table
 
 HASHES = 8
 TABLES = 3
@@ -274,6 +274,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     other columns are not looked at.
     """
     spark = df.sparkSession
+    importable(spark)
     vectors, dim = clean_vectors(df)
     queries = vectors.where(F.col("vec_id") % every == 0)
     got = fit(vectors, queries, dim, k)

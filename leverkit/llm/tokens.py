@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverkit.llm.common import SPACE_WORDS, row_chunks, scan_words, table, text_buffers
+from leverkit.llm.common import SPACE_WORDS, importable, row_chunks, scan_words, table, text_buffers
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -117,6 +117,7 @@ def token_counts(docs: DataFrame, scores: dict[str, float] | None = None, vocabu
     so repeated rows agree; a very long word is cut whole; an empty table gives
     no rows; other columns are not looked at.
     """
+    importable(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Unigram(zipf_scores(vocabulary) if scores is None else scores))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _count(model), "doc_id long, n_words long, n_tokens long")
