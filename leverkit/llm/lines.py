@@ -39,6 +39,9 @@ TAU = 2
 MIN_CHARS = 20
 MIN_EXACT = 3
 SLOTS = 1 << 21
+#: lines that occur more often than one in so many occurrences are told of by
+#: broadcast; there are fewer of them than this
+HEAVY = 4096
 #: lines per file of an intermediate table
 LINES_A_FILE = 50_000
 
@@ -255,11 +258,14 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, mi
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text_batches(spark)
-    occ = (d.where(F.length("text") > 0).select("doc_id", text_key().alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "s"))
+    # the content key is named before the lines are: beside them it would be taken once a line
+    occ = (d.where(F.length("text") > 0).withColumn("key", text_key())
+           .select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "s"))
            .select("doc_id", "key", "line_no", F.unhex(F.md5("s")).alias("line"),
                    ((F.length("s") >= min_chars) & (F.length(F.trim("s")) > 0) | (F.length(F.trim("s")) >= min_exact)).alias("long")))
     occ = saved(occ, "occurrences")
-    parts = 1 + occ.count() // LINES_A_FILE
+    n_lines = occ.count()
+    parts = 1 + n_lines // LINES_A_FILE
     keys = d.select("text").mapInArrow(_keys(tau, min_chars), "line binary, copies long, sig long, index array<long>, probe array<long>")
     keys = saved(keys.groupBy("line").agg(F.sum("copies").alias("copies"), *[F.first(c, ignorenulls=True).alias(c) for c in ("sig", "index", "probe")])
                  .withColumn("id", F.monotonically_increasing_id()), "line-keys", parts)
@@ -301,14 +307,23 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, mi
     first = F.min(F.struct("doc_id", "key", "line_no"))
     # the class of a line that has links, by the line
     named = saved(labels.join(keys.select(F.col("id").alias("node"), "line"), "node").select("line", "label"), "line-classes", parts)
-    firsts = saved(occ.where("long").groupBy("line").agg(first.alias("f")), "line-firsts", parts)
+    firsts = saved(occ.where("long").groupBy("line").agg(first.alias("f"), F.count("*").alias("n")), "line-firsts", parts)
     linked = firsts.join(named, "line")
     ahead = linked.groupBy("label").agg(F.min("f").alias("g"))
     linked = linked.join(ahead, "label").select("line", "g")
-    firsts = firsts.join(linked, "line", "left").select("line", F.coalesce("g", "f").alias("f"))
-    firsts = firsts.withColumn("long", F.lit(True))
+    # a line that occurs once and is linked with nothing is its own first occurrence
+    firsts = (firsts.join(linked, "line", "left").where((F.col("n") > 1) | F.col("g").isNotNull())
+              .select("line", F.coalesce("g", "f").alias("f"), "n"))
+    firsts = saved(firsts, "line-classes-firsts", parts)
+    # fewer than HEAVY lines can each have more than 1 / HEAVY of all occurrences:
+    # these are broadcast, so that their occurrences stay where they are
+    heavy = F.col("n") > n_lines // HEAVY
+    met = occ.join(F.broadcast(firsts.where(heavy).select("line", F.col("f").alias("h"))), "line", "left")
+    apart = F.unhex(F.md5(F.concat_ws(",", F.hex("key"), F.col("doc_id").cast("string"), F.col("line_no").cast("string"))))
+    met = met.withColumn("at", F.when(F.col("long") & F.col("h").isNull(), F.col("line")).otherwise(apart))
+    met = met.join(firsts.where(~heavy).select(F.col("line").alias("at"), "f"), "at", "left")
     me = F.struct("doc_id", "key", "line_no")
-    return (occ.join(firsts, ["line", "long"], "left").withColumn("f", F.coalesce("f", me))
+    return (met.withColumn("f", F.coalesce(F.when(F.col("long"), F.coalesce("h", "f")), me))
             .select("doc_id", "key", "line_no", F.col("f.doc_id").alias("first_doc"), F.col("f.key").alias("first_key"),
                     F.col("f.line_no").alias("first_line"), F.col("f").eqNullSafe(me).alias("kept")))
 

@@ -282,6 +282,16 @@ def test_short_lines_meet_exact_copies(spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == {1: rows[0][1], 2: "Hone\nab\n \nrest of it", 4: "ab"}
 
 
+def test_frequent_lines(spark, docs, monkeypatch):
+    """Lines told of by broadcast and lines joined by their digest give the same."""
+    def got():
+        return Counter(map(tuple, lines.line_classes(docs).collect()))
+    want = got()
+    for share in (1, 10, 1 << 40):  # none, some, all that occur twice
+        monkeypatch.setattr(lines, "HEAVY", share)
+        assert got() == want
+
+
 # ---------------------------------------------------------------- language ID
 
 def test_language_id(spark, docs, empty, sf):
