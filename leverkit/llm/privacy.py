@@ -1,8 +1,8 @@
 """Operator 9: personal data, with information-theoretic sanitisation.
 
 Protected entities are the e-mail addresses, IP addresses, card numbers and
-phone numbers that patterns find.  A term (word of three letters or more) in a
-document with an entity reveals it as far as the corpus says so: with N
+phone numbers that patterns find.  A term (word of three letters or more, of two
+in Han, kana and hangul) in a document with an entity reveals it as far as the corpus says so: with N
 documents, n(e) of them naming the entity, n(t) containing the term and
 n(e, t) naming the entity and containing the term outside of all entities,
 
@@ -15,7 +15,9 @@ are generalised (or removed) wherever they stand in the documents that name
 the entity, as the entity itself is.
 
 DataFrame functions only.  Positions are counted from the lengths of what lies
-between matches: ``split`` and ``regexp_extract_all`` walk the same matches.
+between matches: ``split`` and ``regexp_extract_all`` walk the same matches.  A
+text is cut in pieces of fixed length once, and running sums go by blocks, so
+the work grows with the text and, in its n spans, with n times their root.
 """
 from __future__ import annotations
 
@@ -44,24 +46,73 @@ _IP_OK = rf"^{_PART}(?:\.{_PART}){{3}}$"
 CONTEXT = 60
 THRESHOLD = 0.8
 SUPPORT = 2
-_TERM = r"(?<=[^\p{L}])\p{L}{3,}+(?=[^\p{L}])"
+#: scripts in which two letters are a word or a name
+_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2}"
+_TERM = rf"(?<=[^\p{{L}}])(?:\p{{L}}{{3,}}+|{_DENSE})(?=[^\p{{L}}])"
+#: code points of a piece of a text; see _pieces
+PIECE = 512
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value found once.  Inside a function over an array
+    an expression from outside is evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(values: Column, first, step) -> Column:
+    """What ``step`` has made of ``first`` before each of the (integer) values."""
+    return F.aggregate(values, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")),
+                       lambda acc, v: F.struct(step(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                       lambda acc: acc["out"])
+
+
+def _larger(u: Column, v: Column) -> Column:
+    return F.greatest(u, v)
+
+
+def _before(values: Column, step) -> Column:
+    """The running sum or maximum of an array of integers, from 0 and without
+    the value itself.  Appending copies what is there, so the array is cut into
+    blocks of the root of its size: n values cost n times that root."""
+    zero = F.lit(0)
+
+    def by_blocks(blocks):
+        total = F.transform(blocks, lambda b: F.aggregate(b, zero, step))
+        return F.flatten(F.zip_with(blocks, _scan(total, zero, step), lambda b, at: _scan(b, at, step)))
+
+    def cut(a, size):
+        return F.transform(F.sequence(zero, F.size(a) - 1, size), lambda i: F.slice(a, i + 1, size))
+
+    return _let(values, lambda a: F.when(F.size(a) > 0, _let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda n: _let(
+        cut(a, n), by_blocks))).otherwise(F.array().cast("array<int>")))
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points: a substring of a whole text
+    walks the text from its start, one of its pieces only these."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, size: Column) -> Column:
+    """``size`` code points from ``start`` (counted from 0) of a text in pieces."""
+    low = F.floor(start / PIECE).cast("int")
+    n = F.floor((start + size - 1) / PIECE).cast("int") - low + 1
+    return F.when(size > 0, F.substring(F.array_join(F.slice(pieces, low + 1, n), ""), start - low * PIECE + 1, size)).otherwise(F.lit(""))
 
 
 def _found(text: Column, pattern: str, ok, offset: Column | None = None) -> Column:
     """array<struct<start, end, s>> of the matches for which ok(match) holds."""
     hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    zero = F.struct((F.lit(0) if offset is None else offset).cast("int").alias("at"),
-                    F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out"))
+    zero = (F.lit(0) if offset is None else offset).cast("int")
+    pairs = _let(hit, lambda h: F.zip_with(h, F.slice(gaps, 1, F.greatest(F.lit(0), F.size(h))), lambda m, g: F.struct(m.alias("m"), g.alias("g"))))
 
-    def step(acc, x):
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.when(ok(x["m"]), F.concat(acc["out"], F.array(
-            F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s"))))).otherwise(acc["out"]).alias("out"))
+    def placed(p):
+        at = _before(F.transform(p, lambda x: x["g"] + F.length(x["m"])), lambda u, v: u + v)
+        return F.zip_with(p, at, lambda x, u: F.struct(
+            (zero + u + x["g"]).alias("start"), (zero + u + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("s")))
 
-    pairs = F.zip_with(hit, F.slice(gaps, 1, F.greatest(F.lit(1), F.size(hit))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    return F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), zero, step, lambda acc: acc["out"])
+    return F.filter(_let(pairs, placed), lambda x: ok(x["s"]))
 
 
 def _luhn(digits: Column) -> Column:
@@ -104,41 +155,64 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*out))
 
 
+def _terms_in(text: Column, offset: Column) -> Column:
+    return F.transform(_found(text, _TERM, lambda m: F.lit(True), offset), lambda t: F.struct(
+        F.lower(t["s"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+
+
 def _near(text: Column, spans: Column, context: int) -> Column:
     """One struct an entity: kind, value, a digest of its context, and the
     terms around it with their places."""
-    def one(s, i):
+    def one(pieces, size, s, i):
         before = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
         lo = F.greatest(s["start"] - context, F.least(before, s["start"]))
-        after = F.coalesce(F.get(spans, i + 1)["start"], F.length(text))
+        after = F.coalesce(F.get(spans, i + 1)["start"], size)
         hi = F.least(s["end"] + context, F.greatest(after, s["end"]))
         # one character more on the outer side tells a whole word from a cut one
-        left = F.concat(F.when(lo > 0, F.substring(text, lo, F.lit(1))).otherwise(F.lit(" ")),
-                        F.substring(text, lo + 1, s["start"] - lo), F.lit(" "))
-        right = F.concat(F.lit(" "), F.substring(text, s["end"] + 1, hi - s["end"]),
-                         F.when(hi < F.length(text), F.substring(text, hi + 1, F.lit(1))).otherwise(F.lit(" ")))
-        terms = F.concat(_found(left, _TERM, lambda m: F.lit(True), lo - 1), _found(right, _TERM, lambda m: F.lit(True), s["end"] - 1))
+        left = F.concat(F.when(lo > 0, _cut(pieces, lo - 1, F.lit(1))).otherwise(F.lit(" ")), _cut(pieces, lo, s["start"] - lo), F.lit(" "))
+        right = F.concat(F.lit(" "), _cut(pieces, s["end"], hi - s["end"]),
+                         F.when(hi < size, _cut(pieces, hi, F.lit(1))).otherwise(F.lit(" ")))
         value = F.lit(None).cast("string")
         for k, kind in enumerate(KINDS):
             value = F.when(s["kind"] == k, _VALUE[kind](s["s"])).otherwise(value)
-        return F.struct(s["kind"].alias("kind"), value.alias("value"), F.xxhash64(left, right).alias("context"),
-                        F.transform(terms, lambda t: F.struct(F.lower(t["s"]).alias("term"), t["start"].alias("start"), t["end"].alias("end"))).alias("terms"))
-    return F.transform(spans, one)
+
+        def told(around):
+            terms = F.concat(_terms_in(around["left"], around["lo"] - 1), _terms_in(around["right"], s["end"] - 1))
+            return F.struct(s["kind"].alias("kind"), value.alias("value"), F.xxhash64(around["left"], around["right"]).alias("context"), terms.alias("terms"))
+        return _let(F.struct(left.alias("left"), right.alias("right"), lo.alias("lo")), told)
+    return _let(_pieces(text), lambda pieces: _let(F.length(text), lambda size: F.transform(spans, lambda s, i: one(pieces, size, s, i))))
 
 
 def _terms(text: Column) -> Column:
     """The distinct terms of a text, in lower case."""
     runs = F.array_distinct(F.split(text, r"[^\p{L}]++"))
-    return F.array_distinct(F.transform(F.filter(runs, lambda w: F.length(w) >= 3), F.lower))
+    return F.array_distinct(F.transform(F.filter(runs, lambda w: (F.length(w) >= 3) | w.rlike(f"^{_DENSE}$")), F.lower))
+
 
+def _between(text: Column, spans: Column, glue: str, name=None) -> Column:
+    """The text with ``name(span)`` (or nothing) and then ``glue`` for every
+    span; a span that overlaps an earlier one only extends it."""
+    def parts(pieces, size):
+        def joined(at):
+            head = F.zip_with(spans, at, lambda s, u: F.concat(
+                _cut(pieces, u, s["start"] - u), F.when(s["start"] >= u, name(s)).otherwise(F.lit("")) if name else F.lit("")))
+            end = F.greatest(F.lit(0), F.array_max(F.transform(spans, lambda s: s["end"])))
+            return F.array_join(F.concat(head, F.array(_let(end, lambda e: _cut(pieces, e, size - e)))), glue)
+        return _let(_before(F.transform(spans, lambda s: s["end"]), _larger), joined)
+    return _let(_pieces(text), lambda pieces: _let(F.length(text), lambda size: parts(pieces, size)))
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text with a blank for every span."""
-    def step(acc, s):
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.lit(" ")).alias("out"))
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                       lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+def _free(places: Column, spans: Column) -> Column:
+    """The places (in order, apart from each other) that no span overlaps: of
+    the spans that begin before a place's end, none ends after its start."""
+    def event(x, at, place, end):
+        return F.struct(at.cast("int").alias("at"), F.lit(place).alias("place"), end.alias("reach"), x.alias("x"))
+
+    events = F.array_sort(F.concat(F.transform(spans, lambda x: event(x, x["start"], 0, x["end"])),
+                                   F.transform(places, lambda x: event(x, x["end"] - 1, 1, F.lit(0)))))
+    told = _let(events, lambda e: F.zip_with(e, _before(F.transform(e, lambda v: v["reach"]), _larger), lambda v, u: F.struct(
+        v["place"].alias("place"), u.alias("u"), v["x"].alias("x"))))
+    return F.transform(F.filter(told, lambda v: (v["place"] == 1) & (v["u"] <= v["x"]["start"])), lambda v: v["x"])
 
 
 def scan(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
@@ -149,12 +223,14 @@ def scan(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     d = d.withColumn("spans", base_spans(F.col("text")))
     has = lambda c: F.when(F.size("spans") > 0, c)
     return d.select("doc_id", "key", "spans", has(_near(F.col("text"), F.col("spans"), context)).alias("near"),
-                    has(_terms(_outside(F.col("text"), F.col("spans")))).alias("terms"), has(F.col("text")).alias("text"))
+                    has(_terms(_between(F.col("text"), F.col("spans"), " "))).alias("terms"), has(F.col("text")).alias("text"))
 
 
 def _named() -> Column:
-    """array<struct<kind, value>> of the distinct entities of a document."""
-    return F.array_distinct(F.transform("near", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
+    """array<struct<kind, value>> of the distinct entities of a document;
+    strings are told apart by their hash, structs one by one."""
+    names = F.array_distinct(F.transform("near", lambda x: F.concat(x["kind"].cast("string"), F.lit(":"), x["value"])))
+    return F.transform(names, lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("kind"), F.substring(x, 3, F.length(x)).alias("value")))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -170,12 +246,18 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> Da
     # an entity seen in fewer texts and contexts has no term with that support
     entities = saved(entities.where(F.greatest("texts", "contexts") >= support).select("kind", "value", "n_e"), "known")
     named = (texts.select("key", "copies", F.inline(_named())).join(small_or_plain(entities, 64), ["kind", "value"], "left_semi")
-             .groupBy("key").agg(F.collect_list(F.struct("kind", "value")).alias("e")))
-    both = (texts.select("key", "copies", "terms").join(named, "key").select("copies", "terms", F.inline("e"))
-            .select("kind", "value", "copies", F.explode("terms").alias("term"))
-            .groupBy("kind", "value", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")))
+             .groupBy("key", "copies").agg(F.collect_list(F.struct("kind", "value")).alias("e")))
     close = (near.select("kind", "value", "context", F.explode("terms.term").alias("term")).distinct()
              .groupBy("kind", "value", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support))
+    close = saved(close, "close-terms")
+    # a term of fewer texts, that is not near an entity often enough either, can make no pair
+    held = saved(texts.select("key", "terms").join(named.select("key"), "key").select("key", F.explode("terms").alias("term")), "held-terms")
+    enough = (held.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("term")
+              .unionByName(close.select("term")).distinct())
+    held = held.join(enough, "term").groupBy("key").agg(F.collect_list("term").alias("terms"))
+    both = (held.join(named, "key").select("copies", "terms", F.inline("e"))
+            .select("kind", "value", "copies", F.explode("terms").alias("term"))
+            .groupBy("kind", "value", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")))
     both = (both.join(close, ["kind", "value", "term"], "left")
             .withColumn("support", F.greatest("texts", "contexts")).where(F.col("support") >= support))
     both = saved(both.select("kind", "value", "term", "n_et", "support"), "shared-terms")
@@ -207,7 +289,7 @@ def personal_data(docs: DataFrame, context: int = CONTEXT, threshold: float = TH
     places = _found(F.concat(F.lit(" "), "text", F.lit(" ")), _TERM, lambda m: F.array_contains("t", F.lower(m)), F.lit(-1))
     places = F.transform(places, lambda x: F.struct(
         x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end"), F.lower(x["s"]).alias("s")))
-    free = F.filter(places, lambda x: ~F.exists("spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = _free(places, F.col("spans"))
     return found.select("doc_id", "key", "spans", "text").join(terms, "key", "left").select(
         "doc_id", "key", "spans", F.when(F.col("t").isNotNull(), free).otherwise(F.array().cast(_SPAN)).alias("term_spans"))
 
@@ -220,13 +302,7 @@ def sanitise(docs: DataFrame, remove: bool = False, **how) -> DataFrame:
     d = docs.withColumn("__k", text_key()).join(p, F.col("__k") == F.col("__key"), "left")
     names = F.array(*[F.lit("" if remove else f"[{k.upper()}]") for k in (*KINDS, "term")])
 
-    def step(acc, s):  # a span that overlaps the one before only extends it
-        new = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(
-            acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]),
-                                                              F.element_at(names, s["kind"] + 1))).otherwise(F.lit(""))).alias("out"))
-        return new
-    text = F.aggregate("__s", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                       lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    text = _between(F.col("text"), F.col("__s"), "", lambda s: F.element_at(names, s["kind"] + 1))
     return d.withColumn("text", F.when(F.col("__s").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 

@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from leverkit.llm import chat, ctw, decontaminate, jaccard, langid, lines, mixing, neighbours, privacy, tokens
@@ -353,6 +354,84 @@ def test_personal_data_base(spark, docs, empty):
     assert len(privacy.personal_data(docs).collect()) == docs.count()
 
 
+TERM = regex.compile(r"(?<!\p{L})(?:\p{L}{3,}|[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]{2})(?!\p{L})")
+
+
+def brute_terms(texts, context=privacy.CONTEXT, threshold=privacy.THRESHOLD, support=privacy.SUPPORT):
+    """Spans of the terms that give away an entity, by the definition."""
+    def entities(t):
+        spans = brute_pii(t)
+        for i, (a, k, b) in enumerate(spans):
+            lo = max(a - context, min(spans[i - 1][2] if i else 0, a))
+            hi = min(b + context, max(spans[i + 1][0] if i + 1 < len(spans) else len(t), b))
+            left, right = (t[lo - 1] if lo else " ") + t[lo:a] + " ", " " + t[b:hi] + (t[hi] if hi < len(t) else " ")
+            value = t[a:b].lower() if k == 0 else t[a:b] if k == 1 else re.sub("[^0-9]", "", t[a:b])
+            yield (k, value), (left, right), {m[0].lower() for x in (left, right) for m in TERM.finditer(x)}
+
+    def outside(t):
+        hidden = list(t)
+        for a, _, b in brute_pii(t):
+            hidden[a:b] = " " * (b - a)
+        return {m[0].lower() for m in TERM.finditer("".join(hidden))}
+    n_e, n_t, n_et, in_texts, in_contexts = Counter(), Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for t in texts:
+        found, terms = list(entities(t)), outside(t)
+        n_t.update({m[0].lower() for m in TERM.finditer(t)})
+        for e in {e for e, _, _ in found}:
+            n_e[e] += 1
+            for w in terms:
+                n_et[e, w] += 1
+                in_texts[e, w].add(t)
+        for e, where, near in found:
+            for w in near:
+                in_contexts[e, w].add(where)
+    bad = defaultdict(set)
+    for (e, w), n in n_et.items():
+        ic = -math.log2(n_e[e] / len(texts))
+        pmi = math.log2(len(texts) * n / (n_e[e] * max(n_t[w], n)))
+        if max(len(in_texts[e, w]), len(in_contexts[e, w])) >= support and ic > 0 and pmi / ic >= threshold:
+            bad[e].add(w)
+    out = []
+    for t in texts:
+        wanted = {w for e, _, _ in entities(t) for w in bad[e]}
+        base = brute_pii(t)
+        out.append([(m.start(), m.end(), m[0].lower()) for m in TERM.finditer(t)
+                    if m[0].lower() in wanted and not any(a < m.end() and m.start() < b for a, _, b in base)])
+    return out
+
+
+def test_disclosing_terms_brute_force(spark):
+    r = random.Random(21)
+    words = ["the", "of", "met", "Quagga", "okapi", "zanzibar", "Gnu", "ibis", "李", "한국", "été", "a", "line\n", "jo", "x"]
+    names = ["jo@x.org", "al@quagga.net", "10.1.2.3", "+1 555 123 4567", "4111 1111 1111 1111"]
+    texts = [" ".join(r.choice(words) if r.random() < 0.9 else r.choice(names) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    texts += [" ".join(r.choice(["the", "of", "met", "a"]) for _ in range(9)) for _ in range(150)]
+    texts += [f"{w} {'the of ' * k}{e}" for w, e in (("王芳", "wf@y.cn"), ("李", "li@y.cn"), ("Okapi", "ok@z.org")) for k in (1, 30)] + texts[:3]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold, least in ((privacy.THRESHOLD, {"王芳"}), (0.2, {"王芳", "quagga", "한국"})):
+        got = {x.doc_id: [(s.start, s.end, s.s) for s in x.term_spans] for x in privacy.personal_data(d, threshold=threshold).collect()}
+        want = brute_terms(texts, threshold=threshold)
+        assert [got[i] for i in range(len(texts))] == want
+        assert {s[2] for x in want for s in x} >= least
+
+
+def test_many_entities_in_one_text(spark):
+    """Positions stay exact, and the text is cut and joined right, over many
+    pieces and blocks; spans that overlap are joined."""
+    text = "".join(f"é{'😀' * (i % 5)} Name{chr(97 + i % 26) * 3} u{i}@h{i % 7}.org, +1 555 {1000000 + i} 10.0.{i % 200}.1@k.io; " for i in range(4000))
+    d = spark.createDataFrame([(1, text), (2, "Namezzz u25@h4.org"), *((i, "none") for i in range(3, 40))], "doc_id long, text string")
+    got = {x.doc_id: x for x in privacy.personal_data(d).collect()}[1]
+    base = brute_pii(text)
+    assert [(s.start, s.kind, s.end) for s in got.spans] == base
+    assert got.term_spans and [(s.start, s.end) for s in got.term_spans if s.s == "namezzz"] == [m.span() for m in re.finditer("Namezzz", text)]
+    spans = sorted(base + [(s.start, s.kind, s.end) for s in got.term_spans])
+    at, want = 0, []
+    for a, k, b in spans:
+        want += [text[at:a], ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]"][k]] if a >= at else []
+        at = max(at, b)
+    assert {x.doc_id: x.text for x in privacy.sanitise(d).collect()}[1] == "".join(want) + text[at:]
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"We met zanzibar{'' if i % 2 else ' once'} and his mail jo@x.org is here for all number {i}", None) for i in range(3)]
     rows = [(i, t.replace("zanzibar", "Zanzibar"), s) for i, t, s in rows]
