@@ -1,8 +1,10 @@
 """Operator 7: mix sources to target weights.
 
-Every document gets a hash-random key; the rows are range-sorted by source and
+Every document gets a hash-random key; the sizes are range-sorted by source and
 key; a distributed running sum of sizes cuts each source at its exact budget,
-after as many whole epochs as the budget holds.  DataFrame functions only.
+after as many whole epochs as the budget holds.  The documents themselves stay
+where they are and are compared with their source's cut.  DataFrame functions
+only.
 """
 from __future__ import annotations
 
@@ -65,20 +67,42 @@ def mix_sources(docs: DataFrame, seed: str = "mix", cap: int = 3,
     columns named as the four outputs are replaced.
     """
     d = docs.drop("source_size", "target", "taken").withColumn("size", word_count())
-    return mix_sized(d, seed, cap, weights)
+    at = F.struct(_key(seed).alias("key"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))
+    sized = mix_sized(saved(d.select("doc_id", "source", "size"), "sizes"), seed, cap, weights)
+    epochs = F.coalesce(F.floor(_budget() / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
+    rows = saved(sized.select("source", "source_size", "target", at.alias("at"), epochs.alias("epochs"),
+                              (F.col("taken") - epochs * F.col("size")).alias("part")), "sized")
+    # a source's rows before its cut go whole, those after it not at all
+    last = F.max(F.when(F.col("part") > 0, F.struct("at", "part")))
+    cuts = saved(rows.groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "epochs")], last.alias("__cut")), "cuts")
+    cuts = small_or_plain(cuts.withColumnsRenamed({"source": "__source", "epochs": "__epochs"}), SOURCE_ROW_BYTES)
+    here = F.col("source").eqNullSafe(F.col("__source"))
+    alike = rows.join(cuts.select("__source", "__cut"), here & (F.col("at") == F.col("__cut.at"))).groupBy("source").count()
+    if alike.where("count > 1").take(1):  # rows alike in id and size share a cut among them: only their order tells it
+        return mix_sized(d, seed, cap, weights)
+    part = F.when(at < F.col("__cut.at"), F.col("size")).when(at == F.col("__cut.at"), F.col("__cut.part")).otherwise(F.lit(0))
+    d = d.join(cuts, here).withColumn("taken", (F.col("__epochs") * F.col("size") + part).cast("long"))
+    return d.drop("__source", "__epochs", "__cut")
+
+
+def _key(seed: str):
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def _budget():
+    return F.floor(F.col("target") + 0.5)
 
 
 def mix_sized(d: DataFrame, seed: str = "mix", cap: int = 3,
               weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``mix_sources`` for documents that have their ``size`` already."""
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = d.withColumn("__key", key)
+    d = d.withColumn("__key", _key(seed))
     order = [F.col("source").asc_nulls_last(), F.col("__key").asc(), F.col("doc_id").asc(), F.col("size").asc()]
     d = prefix_sum(d, order, {"size": "__run"}, name="mix")
     s = saved(source_targets(d.select("source", "size"), cap, weights), "targets")
     s = small_or_plain(s.withColumnsRenamed({"source": "__source", "start": "__start"}), SOURCE_ROW_BYTES)
     d = d.join(s, F.col("source").eqNullSafe(F.col("__source")))
-    budget = F.floor(F.col("target") + 0.5)
+    budget = _budget()
     epochs = F.coalesce(F.floor(budget / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
     left = budget - epochs * F.col("source_size") - (F.col("__run") - F.col("__start"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))

@@ -98,6 +98,20 @@ def test_mixing(spark, rows, docs, empty):
     assert mixing.mix_sources(empty).collect() == []
 
 
+def test_mixing_moves_sizes_only(spark, docs):
+    """The documents are not shuffled, and take what the sort of whole rows
+    gives them; rows alike in id and size at a cut included."""
+    plain = docs.dropDuplicates(["doc_id"]).checkpoint()
+    got = mixing.mix_sources(plain)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    alike = spark.createDataFrame([(None if i % 4 else i, f"w{i} x y", "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    for d in (plain, alike, alike.where("doc_id is not null or text = 'w3 x y'")):
+        whole = mixing.mix_sized(d.select("doc_id", "source", mixing.word_count().alias("size")))
+        cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
+        assert Counter(map(tuple, mixing.mix_sources(d).select(cols).collect())) == Counter(map(tuple, whole.select(cols).collect()))
+
+
 # ---------------------------------------------------------------- decontamination
 
 def bench_words(text):
