@@ -18,7 +18,10 @@ a fragment rarer shingles come first.  Work goes in this order:
    (for chains of copies of copies, which no leader resembles).  Classes
    connected by now need no further comparison.  Then all pairs of a bucket that lie in different
    components are compared, as far as their sizes, the shingle's places and
-   the shingles that only they have leave a link possible.  So a large group of near copies costs about its
+   the shingles that only they have leave a link possible, and their parity
+   sketches: a class has one bit a slot of the hash space, the parity of its
+   shingles there, and two sets differ in at least as many shingles as their
+   sketches in bits.  So a large group of near copies costs about its
    size, not its square, and no link between components is lost;
 4. a pair's overlap is counted fragment by fragment and summed.  Fragment 0 is
    counted first and drops pairs that the rest could not save.
@@ -51,6 +54,8 @@ NEIGHBOURS = 3
 #: slots of the filter of wanted classes that is broadcast, one byte each
 SLOTS = 1 << 21
 ALONE_ROUNDS = 3
+#: longs of a parity sketch
+SKETCH = 8
 #: documents per file of an intermediate table
 ROWS_A_FILE = 5_000
 
@@ -80,6 +85,12 @@ def _digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each slot of the hash space."""
+    odd = np.bincount((s // np.uint64(2**64 // (64 * SKETCH))).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefix_size(n: int, num: int, den: int) -> int:
     return n + num * n // -den + 1
 
@@ -123,10 +134,10 @@ def _segments(k: int, slots_b, word_class, bounds: np.ndarray):
                     continue
                 seen.add(cid)
                 cut = [0, *np.searchsorted(s, bounds).tolist(), len(s)]
-                out += [(cid, f, s[cut[f]:cut[f + 1]].view(np.int64)) for f in range(len(cut) - 1)]
+                out += [(cid, f, s[cut[f]:cut[f + 1]].view(np.int64), None if f else _sketch(s)) for f in range(len(cut) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))],
-                ["cid", "f", "toks"])
+                [pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
+                ["cid", "f", "toks", "sketch"])
     return run
 
 
@@ -166,6 +177,12 @@ def _least_overlap(num: int, den: int) -> str:
     return f"{num + den} * c >= {num} * (n + n2)"
 
 
+def _may_link(num: int, den: int):
+    """Whether the sketches x and y leave a link of sets of n and n2 shingles possible."""
+    bits = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(SKETCH))
+    return F.expr(f"{num + den} * ({bits}) <= {den - num} * (n + n2)")
+
+
 def _verify(pairs: DataFrame, segs: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """Pairs (a, b, n, n2) whose overlap, summed over the fragments, links them."""
     def side(f, name):
@@ -249,7 +266,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     pre = saved(pre.join(some, "tok"), "buckets", parts)
     slots = spark.sparkContext.broadcast(_slots(pre, "cid"))
     segs = saved(d.select("text").mapInArrow(_segments(shingle, slots, word_class, _bounds(num, den)),
-                                             "cid long, f int, toks array<long>").dropDuplicates(["cid", "f"]), "segments", parts)
+                                             "cid long, f int, toks array<long>, sketch array<long>").dropDuplicates(["cid", "f"]), "segments", parts)
     # now that few classes are left, count all their shingles: one that no other
     # class left has cannot be shared, so the overlap is bounded by the rest
     # (again, as what one count drops makes more shingles single)
@@ -287,15 +304,16 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
         else:
             if not now.take(1):
                 break
-            now = saved(now, "left", parts)
+            sketches = segs.where("f = 0").select("cid", *[F.col("sketch")[i].alias(f"x{i}") for i in range(SKETCH)])
+            now = saved(now.join(sketches, "cid"), "left", parts)
             # which components can meet at all, by size and by the earliest place of the shingle
             kinds = now.groupBy("tok", "label", "n").agg(F.min("pos").alias("pos"), F.min("own").alias("own"))
             kinds2 = kinds.select(F.col("tok").alias("tok2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"))
             meet = (kinds.join(kinds2, (F.col("tok") == F.col("tok2")) & (F.col("label") < F.col("label2")) & _comparable(num, den) & bound)
                     .select("tok", "label", "n", "label2", "n2"))
-            here = meet.join(now.select("tok", "label", "n", "cid", "pos", "own"), ["tok", "label", "n"])
-            there = now.select(F.col("tok").alias("tok2"), F.col("label").alias("label2_"), F.col("n").alias("n2_"), F.col("cid").alias("cid2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"))
-            cand = here.join(there, (F.col("tok") == F.col("tok2")) & (F.col("label2") == F.col("label2_")) & (F.col("n2") == F.col("n2_")) & bound)
+            here = meet.join(now.select("tok", "label", "n", "cid", "pos", "own", *[f"x{i}" for i in range(SKETCH)]), ["tok", "label", "n"])
+            there = now.select(F.col("tok").alias("tok2"), F.col("label").alias("label2_"), F.col("n").alias("n2_"), F.col("cid").alias("cid2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(SKETCH)])
+            cand = here.join(there, (F.col("tok") == F.col("tok2")) & (F.col("label2") == F.col("label2_")) & (F.col("n2") == F.col("n2_")) & bound & _may_link(num, den))
         pairs = _ordered_pairs(cand)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")

@@ -186,6 +186,24 @@ def test_jaccard(spark, seed):
     assert got == brute_components(rows)
 
 
+def test_jaccard_pairs_just_below_the_threshold(spark, monkeypatch):
+    """A group of near copies, each shingle in half of them, no two linked:
+    hardly any pair is left to compare."""
+    rnd, n, made = random.Random(4), 60, []
+    texts = [" ".join(f"w{i}" if i % 5 else f"w{i}{rnd.choice('xy')}" for i in range(60)) for _ in range(n)]
+    plain = jaccard.saved
+
+    def spy(df, name="t", parts=None):
+        out = plain(df, name, parts)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "saved", spy)
+    got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), neighbour_rounds=0).collect()
+    assert len(got) == n and all(r.component_id <= r.doc_id for r in got)
+    assert made[-1] < n, made
+
+
 def test_jaccard_edges(spark, rows, docs, empty):
     got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs).collect())
     assert got == brute_components(rows)
