@@ -157,6 +157,18 @@ def test_patience_ends_the_boosting(spark):
     assert best + 6 < len(got) <= best + 6 + 2 * models.BLOCK
 
 
+def test_further_rounds_are_of_one_fit(spark, toy, monkeypatch):
+    """Rounds beyond the first are not fitted a tree at a time: few fits, each
+    several times as long, up to the ceiling."""
+    from pyspark.ml.feature import VectorAssembler
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(toy.withColumn("is_train", (F.col("k") % 4 > 0).cast("int")))
+    x, asked, plain = x.select("z", "features", "is_train").coalesce(1).checkpoint(), [], models._estimator
+    monkeypatch.setattr(models, "_estimator", lambda kind, label, p, rounds, seed: (asked.append(rounds), plain(kind, label, p, rounds, seed))[1])
+    got = models.boosted_losses(x, "z", "regressor", dict(max_depth=1, eta=0.01), 12, 12, 1, first=2)
+    assert asked == [2, 12] and len(got) == 12
+    assert models._until([3, 2, 2, 2, 1], 2) == (4, True) and models._until([3, 2, 1], 2) == (3, False)
+
+
 def test_published_arguments():
     assert models.published("runs_statline") == {"fixed": models.RUNS_STATLINE_BEST, "max_rounds": 5000}
     search = models.published("swing", tune=True)
