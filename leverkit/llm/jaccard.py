@@ -21,8 +21,11 @@ a fragment rarer shingles come first.  Work goes in this order:
    the shingles that only they have leave a link possible, and their parity
    sketches: a class has one bit a slot of the hash space, the parity of its
    shingles there, and two sets differ in at least as many shingles as their
-   sketches in bits.  So a large group of near copies costs about its
-   size, not its square, and no link between components is lost;
+   sketches in bits.  A bucket of more than CROWD classes is not paired by its
+   shingle, which nearly all of a large group of near copies have, but by what
+   sets its classes apart from one of them, the pivot (see ``_crowd_pairs``).
+   So a large group of near copies costs about its size, and no link between
+   components is lost;
 4. a pair's overlap is counted fragment by fragment and summed.  Fragment 0 is
    counted first and drops pairs that the rest could not save.
 
@@ -54,10 +57,14 @@ NEIGHBOURS = 3
 #: slots of the filter of wanted classes that is broadcast, one byte each
 SLOTS = 1 << 21
 ALONE_ROUNDS = 3
+#: classes of a bucket whose pairs are listed by the bucket's shingle
+CROWD = 32
 #: longs of a parity sketch
 SKETCH = 8
 #: documents per file of an intermediate table
 ROWS_A_FILE = 5_000
+#: bytes assumed for a row of a few ids when its broadcast is checked
+ROW_BYTES = 64
 
 def _bounds(num: int, den: int) -> np.ndarray:
     """Where the fragments above fragment 0 begin.  Fragment 0 has 15/8 of the
@@ -240,6 +247,57 @@ def _neighbours(now: DataFrame, turn: int, parts: int) -> DataFrame:
     return pairs.where("label <> label2")
 
 
+def _differences(crowds: DataFrame, segs: DataFrame, parts: int) -> DataFrame:
+    """(p, np, cid, n, d, f): what sets the classes of each bucket apart from
+    the bucket's pivot p, the shingles that only one of the two has, by
+    fragments.  A class and a pivot meet once, however many buckets they share."""
+    pivots = crowds.groupBy("tok").agg(F.min_by(F.struct("cid", "n"), F.struct("own", "cid")).alias("l"))
+    near = (crowds.join(small_or_plain(saved(pivots, "pivots", parts), ROW_BYTES), "tok").where("cid <> l.cid")
+            .select(F.col("l.cid").alias("p"), F.col("l.n").alias("np"), "cid", "n").distinct())
+    mine = near.join(segs.select("cid", "f", F.col("toks").alias("t")), "cid")
+    its = segs.select(F.col("cid").alias("p"), "f", F.col("toks").alias("tp"))
+    return saved(mine.join(its, ["p", "f"]).select("p", "np", "cid", "n", "f", F.concat(
+        F.array_except("t", "tp"), F.array_except("tp", "t")).alias("d")), "differences", parts)
+
+
+def _crowd_pairs(diff: DataFrame, apart: DataFrame, now: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """Candidates (cid, n, cid2, n2) of the classes that were set apart from the
+    same pivot p and are not in one component.
+
+    Let D be a class's difference from p and e its size.  Two classes of n and
+    n2 shingles differ in e + e2 - 2 * |D & D2| shingles and link if that is at
+    most T = (den - num) / (num + den) * (n + n2), so their differences share
+    k >= (e + e2 - T) / 2.  If that is not positive, both classes link with p
+    (e <= T - e2 and n2 <= np + e2), whose links are known by now.  Else the
+    differences meet in their prefixes by rarity: what nearly all classes have
+    or lack as against p comes last.  A class in p's component needs partners
+    that do not link with p, which gives k > num / (num + den) * e at least.
+    """
+    t = F.lit((den - num) / (num + den))
+    some = apart.where(F.col("e") > 0).join(now.select("cid", "label").distinct(), "cid")
+    pivot_label = now.select(F.col("cid").alias("p"), F.col("label").alias("lp")).distinct()
+    most = (den - num) / num  # T is at most this times n, by the sizes that can link
+    k = F.when(F.col("label") == F.col("lp"), F.floor(F.lit(num / (num + den)) * F.col("e") - 1e-6) + 1).otherwise(
+        F.ceil((F.col("e") + F.greatest(F.lit(0.0), F.col("e") - most * F.col("n")) - most * F.col("n")) / 2 - 1e-6))
+    some = some.join(pivot_label, "p").select("p", "cid", "n", "e", "label", F.greatest(F.lit(1), k).cast("int").alias("k"))
+    toks = diff.select("p", "cid", F.explode("d").alias("tok"))
+    counts = saved(toks.groupBy("p", "tok").agg(F.count("*").alias("cnt")).where("cnt > 1"), "differing", parts)
+    shared = (toks.join(small_or_plain(counts, ROW_BYTES), ["p", "tok"])
+              .groupBy("p", "cid").agg(F.array_sort(F.collect_list(F.struct("cnt", "tok"))).alias("s")))
+    pos = F.transform("s", lambda x, i: F.struct(x["tok"].alias("tok"), (i + F.col("e") - F.size("s")).cast("int").alias("pos")))
+    sketches = [f"x{i}" for i in range(SKETCH)]
+    rows = (shared.join(some, ["p", "cid"])
+            .select("p", "cid", "n", "e", "label", F.inline(F.filter(pos, lambda x: x["pos"] <= F.col("e") - F.col("k"))))
+            .join(now.select("cid", *sketches).distinct(), "cid"))
+    rows = saved(rows, "apart", parts)
+    other = small_or_plain(rows.select("p", "tok", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "e", "label", "pos")],
+                                       *[F.col(f"x{i}").alias(f"y{i}") for i in range(SKETCH)]), 4 * ROW_BYTES)
+    enough = 2 * F.least(F.expr("e - pos"), F.expr("e2 - pos2")) >= F.expr("e + e2") - t * F.expr("n + n2") - 1e-6
+    return (rows.withColumnsRenamed({"p": "p_", "tok": "tok_"})
+            .join(other, F.expr("p = p_ and tok = tok_ and label < label2") & _comparable(num, den) & enough & _may_link(num, den))
+            .select("cid", "n", "cid2", "n2"))
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN,
                        word_class: np.ndarray = SPACE_WORDS, neighbour_rounds: int = NEIGHBOUR_ROUNDS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest
@@ -306,14 +364,31 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
                 break
             sketches = segs.where("f = 0").select("cid", *[F.col("sketch")[i].alias(f"x{i}") for i in range(SKETCH)])
             now = saved(now.join(sketches, "cid"), "left", parts)
-            # which components can meet at all, by size and by the earliest place of the shingle
-            kinds = now.groupBy("tok", "label", "n").agg(F.min("pos").alias("pos"), F.min("own").alias("own"))
-            kinds2 = kinds.select(F.col("tok").alias("tok2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"))
-            meet = (kinds.join(kinds2, (F.col("tok") == F.col("tok2")) & (F.col("label") < F.col("label2")) & _comparable(num, den) & bound)
-                    .select("tok", "label", "n", "label2", "n2"))
-            here = meet.join(now.select("tok", "label", "n", "cid", "pos", "own", *[f"x{i}" for i in range(SKETCH)]), ["tok", "label", "n"])
-            there = now.select(F.col("tok").alias("tok2"), F.col("label").alias("label2_"), F.col("n").alias("n2_"), F.col("cid").alias("cid2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(SKETCH)])
-            cand = here.join(there, (F.col("tok") == F.col("tok2")) & (F.col("label2") == F.col("label2_")) & (F.col("n2") == F.col("n2_")) & bound & _may_link(num, den))
+            size = now.groupBy("tok").agg(F.count("*").alias("size")).where(F.col("size") > CROWD)
+            size = saved(size, "crowds", parts)
+            crowded = bool(size.take(1))
+            if crowded:
+                diff = _differences(now.join(small_or_plain(size, ROW_BYTES), "tok"), segs, parts)
+                apart = saved(diff.groupBy("p", "np", "cid", "n").agg(F.sum(F.size("d")).alias("e")), "distances", parts)
+                # these distances are exact, so the pairs need no further comparison
+                got = (apart.where(F.expr(f"{num + den} * e <= {den - num} * (n + np)")).select(F.col("p").alias("a"), F.col("cid").alias("b"))
+                       .join(now.select(F.col("cid").alias("a"), F.col("label").alias("la")).distinct(), "a")
+                       .join(now.select(F.col("cid").alias("b"), F.col("label").alias("lb")).distinct(), "b").where("la <> lb").select("a", "b"))
+                got = saved(got, "verified", parts)
+                if got.take(1):
+                    links = got if links is None else links.unionByName(got)
+                    labels = saved(components(links, parts=parts), "labels", parts)
+                    now = (now.drop("label").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
+                           .withColumn("label", F.coalesce("label", "cid")))
+                    now = saved(now, "left", parts)
+                few = now.join(small_or_plain(size, ROW_BYTES), "tok", "left_anti")
+            else:
+                few = now
+            there = few.select(F.col("tok").alias("tok2"), *[F.col(c).alias(f"{c}2") for c in _SIDE], *[F.col(f"x{i}").alias(f"y{i}") for i in range(SKETCH)])
+            cand = (few.join(there, F.expr("tok = tok2 and label < label2") & _comparable(num, den) & bound & _may_link(num, den))
+                    .select("cid", "n", "cid2", "n2"))
+            if crowded:
+                cand = cand.unionByName(_crowd_pairs(diff, apart, now, num, den, parts))
         pairs = _ordered_pairs(cand)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -341,10 +416,6 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
                     F.when(linked, F.col("component")).alias("component"), "key"))
 
 
-#: bytes assumed for a dropped document's id and key when their broadcast is checked
-ROW_BYTES = 64
-
-
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """The documents, all their columns, without all but one of each group of
     linked documents: the one with the smallest doc_id (null first), then

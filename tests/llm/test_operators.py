@@ -204,6 +204,63 @@ def test_jaccard_pairs_just_below_the_threshold(spark, monkeypatch):
     assert made[-1] < n, made
 
 
+def made_by_joins(df):
+    """Rows that each join of a frame's run put out."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        else:
+            if "Join" in node.nodeName():
+                out.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+@pytest.mark.parametrize(("seed", "crowd", "rounds"), [(1, 1, 0), (2, 1, 2), (3, 4, 0), (4, 1, 0)])
+def test_jaccard_crowds(spark, monkeypatch, seed, crowd, rounds):
+    """Buckets told apart by their pivots give the links of the brute force."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    r = random.Random(seed)
+    rows = corpus(seed, 20)
+    base = [r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(120)]
+    for i in range(90):  # on both sides of the threshold, by changes that are shared or not
+        t = list(base)
+        for _ in range(r.randint(0, 6)):
+            t[r.randrange(0, len(t), r.choice([1, 7, 20]))] = f"x{r.randint(0, r.choice([1, 1000]))}"
+        rows.append((200 + i, " ".join(t[r.choice([0, 0, 6]):r.randint(105, 120)]), "en", "a", 1))
+    got = Counter((x.doc_id, x.n_shingles, x.component_id)
+                  for x in jaccard.jaccard_components(spark.createDataFrame(rows, DOC), neighbour_rounds=rounds).collect())
+    assert got == brute_components(rows)
+
+
+def test_jaccard_large_group_beside_a_component(spark, monkeypatch):
+    """Copies of one text with one to three words changed: those that do not
+    link are not paired with each class of the group's component."""
+    r, n, made = random.Random(8), 400, []
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base), "en", "a", 1)]
+    for i in range(1, n):
+        t = list(base)
+        for at in r.sample(range(150), r.choice([1, 1, 2, 3])):
+            t[at] = f"x{r.randint(0, 40)}"
+        rows.append((i, " ".join(t), "en", "a", 1))
+    plain = jaccard._ordered_pairs
+
+    def spy(df):
+        made.append(made_by_joins(df))
+        return plain(df)
+    monkeypatch.setattr(jaccard, "_ordered_pairs", spy)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(rows, DOC)).collect())
+    assert got == brute_components(rows)
+    last = max(made[-1])
+    assert len(made) == jaccard.NEIGHBOUR_ROUNDS + 2 and last < 25 * n, made
+
+
 def test_jaccard_edges(spark, rows, docs, empty):
     got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs).collect())
     assert got == brute_components(rows)
