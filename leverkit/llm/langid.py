@@ -27,7 +27,8 @@ HASHES = 2
 #: a gram belongs to a language if its frequency there is at least this share of its largest one
 SHARE = 0.25
 GRAM = 4
-_CHUNK = 1 << 22
+#: bytes of text at a time: the arrays of a chunk take about a hundred times as much
+_CHUNK = 1 << 18
 
 
 def _letters() -> np.ndarray:

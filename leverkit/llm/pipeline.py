@@ -17,10 +17,11 @@ def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts of which no language has half
     the n-grams; fills in a missing ``lang``."""
     model = langid.learn(docs.where(langid.id_hash(4) != 2))
-    # the row goes along as one value, so its column names cannot clash
-    d = langid.predict(docs.select("text", F.struct("*").alias("__row")), model)
+    # the other columns go along as one value, so their names cannot clash
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    d = langid.predict(docs.select("text", rest.alias("__row")), model)
     kept = d.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    kept = kept.select("__row.*", F.col("lang_pred").alias("__lang"))
+    kept = kept.select("__row.*", "text", F.col("lang_pred").alias("__lang"))
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 

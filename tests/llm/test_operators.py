@@ -384,6 +384,24 @@ def test_frequent_lines(spark, docs, monkeypatch):
 
 # ---------------------------------------------------------------- language ID
 
+def test_language_id_memory():
+    """A batch of 4 MB of text is worked on in pieces: its arrays would take
+    hundreds of megabytes in each worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+    r = random.Random(3)
+    texts = ["".join(r.choices("abcdefgh üß", k=2000)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en", "fr"] * 1000})
+    model = langid.Model(["en", "fr"], np.full((langid.SLOTS, 1), 3, np.uint8), 0)
+    for run in (langid._predict(type("Sent", (), {"value": model})), langid._count(["en", "fr"])):
+        tracemalloc.start()
+        assert sum(x.num_rows for x in run([batch])) >= 2000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20, peak
+
+
 def test_language_id(spark, docs, empty, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     out = langid.id_hash(4) == 2

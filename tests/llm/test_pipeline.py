@@ -31,6 +31,23 @@ def drop_lines(rows):
     return out
 
 
+def test_identify_language_sends_each_text_once(spark, monkeypatch):
+    """The text goes to Python as the operator's own column only, not in the
+    row beside it; columns, their order and names stay."""
+    docs = spark.createDataFrame([(i, "some words of a text", "en") for i in range(8)], "doc_id long, text string, lang string")
+    docs = docs.select("lang", "text", "doc_id", F.lit("mine").alias("lang_pred"))
+    sent, plain = [], langid.predict
+
+    def spy(d, model):
+        sent.append(d)
+        return plain(d, model)
+    monkeypatch.setattr(langid, "predict", spy)
+    got = pipeline.identify_language(spark, docs, "")
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [("en", "some words of a text", i, "mine") for i in range(8)]
+    assert got.columns == docs.columns
+    assert str(sent[0].schema.jsonValue()).count("'text'") == 1
+
+
 def test_pipeline(spark, tmp_path):
     rows = [r for r in corpus(11, 40) if r[0] not in (None, 105)]
     rows = list({r[0]: r for r in rows}.values())  # one row an id: the brute force goes by id
