@@ -16,7 +16,9 @@ a fragment rarer shingles come first.  Work goes in this order:
    (at most one pair a class); then, in a few rounds, classes that stand next
    to each other in a bucket ordered by the least hashes of their prefixes
    (for chains of copies of copies, which no leader resembles).  Classes
-   connected by now need no further comparison.  Then all pairs of a bucket that lie in different
+   connected by now need no further comparison.  Then the classes that may
+   still miss a link take new prefixes, the rarest shingles of their whole
+   sets, and all pairs of a bucket that lie in different
    components are compared, as far as their sizes, the shingle's places and
    the shingles that only they have leave a link possible, and their parity
    sketches: a class has one bit a slot of the hash space, the parity of its
@@ -175,6 +177,24 @@ def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
     return d.select("cid", "n", F.inline(F.filter(pos, lambda x: x["pos"] < need)))
 
 
+def _left_prefixes(now: DataFrame, segs: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """The prefixes of the classes of ``now`` taken anew, from whole sets and by
+    rarity among these classes.  What no class of another component has comes
+    first: it is in no link that is still missing (``own`` counts it)."""
+    ids = now.select("cid", "n", "label").distinct()
+    t = segs.join(ids, "cid").select("cid", "n", "label", F.explode("toks").alias("tok"))
+    counts = (t.groupBy("tok").agg(F.count("*").alias("cnt"), F.min("label").alias("x"), F.max("label").alias("y"))
+              .where("x < y").select("tok", "cnt"))
+    shared = (t.join(counts.hint("shuffle_hash"), "tok")
+              .groupBy("cid", "n", "label").agg(F.array_sort(F.collect_list(F.struct("cnt", "tok"))).alias("s")))
+    shared = shared.withColumn("own", F.col("n") - F.size("s")).where(f"{den} * (n - own) >= {num} * n")
+    pos = F.transform("s", lambda x, i: F.struct(x["tok"].alias("tok"), (i + F.col("own")).alias("pos")))
+    need = F.expr(f"n - ((n * {num} + {den - 1}) div {den}) + 1")
+    rows = saved(shared.select("cid", "n", "label", "own", F.inline(F.filter(pos, lambda x: x["pos"] < need))), "rarest", parts)
+    split = rows.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("tok")
+    return rows.join(split, "tok")
+
+
 def _comparable(num: int, den: int):
     """The length bound on (n, n2)."""
     return F.expr(f"{den} * least(n, n2) >= {num} * greatest(n, n2)")
@@ -363,7 +383,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
             if not now.take(1):
                 break
             sketches = segs.where("f = 0").select("cid", *[F.col("sketch")[i].alias(f"x{i}") for i in range(SKETCH)])
-            now = saved(now.join(sketches, "cid"), "left", parts)
+            now = saved(_left_prefixes(now, segs, num, den, parts).join(sketches, "cid"), "left", parts)
             size = now.groupBy("tok").agg(F.count("*").alias("size")).where(F.col("size") > CROWD)
             size = saved(size, "crowds", parts)
             crowded = bool(size.take(1))

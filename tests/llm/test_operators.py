@@ -261,6 +261,30 @@ def test_jaccard_large_group_beside_a_component(spark, monkeypatch):
     assert len(made) == jaccard.NEIGHBOUR_ROUNDS + 2 and last < 25 * n, made
 
 
+def test_jaccard_rarest_of_the_whole_set(spark, monkeypatch):
+    """Texts mostly of one common passage, the rest of passages that a few of
+    them share: told apart by their rarest shingles, not by what all have."""
+    r, n, listed = random.Random(5), 150, []
+    say = lambda k, name: [f"{name}{i}" for i in range(k)]
+    common, pool = say(120, "c"), [say(30, f"p{j}x") for j in range(20)]
+    rows = []
+    for i in range(n):
+        a, b = sorted(r.sample(range(20), 2))
+        rows.append((i, " ".join(common + pool[a] + pool[b]), "en", "a", 1))
+    rows += [(n + i, rows[i][1] + " end", "en", "a", 1) for i in range(0, n, 10)]
+    plain = jaccard.saved
+
+    def spy(df, name="t", parts=None):
+        out = plain(df, name, parts)
+        if name == "differences":
+            listed.append(out.agg(F.sum(F.size("d"))).first()[0])
+        return out
+    monkeypatch.setattr(jaccard, "saved", spy)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(rows, DOC)).collect())
+    assert got == brute_components(rows)
+    assert sum(listed) < n, listed
+
+
 def test_jaccard_edges(spark, rows, docs, empty):
     got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs).collect())
     assert got == brute_components(rows)
