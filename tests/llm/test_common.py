@@ -1,12 +1,16 @@
 """Word hashes: equal words hash alike wherever they stand; words that a
 polynomial modulo 2^64 confuses do not."""
 import random
+import time
+import tracemalloc
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from leverkit.llm import jaccard
-from leverkit.llm.common import SPACE_WORDS, scan_words, spaced_words
+from leverkit.llm.common import SHUFFLE_CLEANUP, SPACE_WORDS, saved, scan_words, spaced_words
 
 
 def thue_morse(n):
@@ -54,3 +58,30 @@ def test_long_words_do_not_link(spark):
     df = spark.createDataFrame([(1, f"{t} same words here"), (2, f"{swapped(t)} other words there"), (3, t), (4, swapped(t)), (5, t.upper())], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_chunks_take_little_memory():
+    texts = pa.array([f"some words of text {i} " * 100 for i in range(2000)])
+    tracemalloc.start()
+    try:
+        assert sum(len(c.hash) for c in scan_words(texts, SPACE_WORDS)) == 2000 * 500
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 << 20, peak
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    dirs = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in dirs for f in d.rglob("shuffle_*.data")}
+
+    before, conf = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    got = saved(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.sum("id").alias("s")))
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # files go in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert {r.k: r.s for r in got.collect()} == {k: sum(range(k, 1000, 10)) for k in range(10)}
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == conf
