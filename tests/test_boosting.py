@@ -108,3 +108,18 @@ def test_scores_are_those_of_mllib(spark, rows, kind, monkeypatch, tmp_path):
         out = models.score(model, x, "p", kind=kind, floor=0.2)
         assert out.columns == [*x.columns, "p"]
         assert np.allclose([r.p for r in out.orderBy("k").collect()], want, rtol=1e-9)
+
+
+def test_a_query_makes_its_rows_once(spark, monkeypatch):
+    """The model queries fit and score a written copy of their feature table."""
+    from leverkit.plans import model_bindings
+    seen = []
+
+    def fit(df, *a, **k):
+        seen.append(df)
+        raise StopIteration
+    monkeypatch.setattr(models, "fit_gbt", fit)
+    with pytest.raises(StopIteration):
+        model_bindings.q_gbt_regress(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and not any(w in plan for w in ("Exchange", "Join", "Window", "Aggregate", "FileScan"))
